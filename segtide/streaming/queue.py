@@ -2,58 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from segtide.functions.times import micros, us
+from segtide.functions.times import micros
 
-OUTPUT = "node bigint, filepath string, state string, at_us bigint"
-ENTRY = "start_us bigint, end_us bigint, playing boolean"
-
-
-class PlayoutQueue(StatefulProcessor):
-    """State of one file: when it plays and when it expires."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._entry = handle.getValueState("entry", ENTRY)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        starts = [(int(p["start_us"].iloc[0]), int(p["end_us"].iloc[0])) for p in rows if len(p)]
-        if starts and not self._entry.exists():
-            start, end = min(starts)
-            self._entry.update((start, end, False))
-            self._handle.registerTimer(start // 1000 + 1)  # first millisecond after the delay
-        return iter(())
-
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        start, end, playing = self._entry.get()
-        state, at = ("expired", end) if playing else ("playing", start)
-        if playing:
-            self._entry.clear()
-        else:
-            self._entry.update((start, end, True))
-            self._handle.registerTimer(end // 1000 + 1)
-        yield pd.DataFrame({"node": [key[0]], "filepath": [key[1]], "state": [state], "at_us": [at]})
-
-    def close(self) -> None:
-        pass
+OUTPUT = "node bigint, filepath string, state string, at timestamp"
 
 
 def stream_playout_queue(converted: DataFrame, delay: timedelta, lateness: timedelta) -> DataFrame:
     """``playing`` when a file's delay is over and ``expired`` when it has played, in event time.
 
-    State and timers are kept per file, not per node, so a busy node is spread over all tasks.
+    Each file becomes two entries that are due at a time of their own. An entry is held as a
+    session of one file whose gap reaches one microsecond past that time: Spark keeps it in
+    state, merges copies of the file, and gives it out and frees it once the watermark is past
+    it. State is keyed by file, not by node, so a busy node is spread over all tasks.
     """
-    timed = (converted.withColumn("file_time", F.col("file_time").cast("timestamp"))
-             .withColumn("start_us", us("file_time") + micros(delay))
-             .withColumn("end_us", F.col("start_us") + (F.col("duration_s") * 1_000_000).cast("bigint"))
-             .select("node", "filepath", "file_time", "start_us", "end_us")
-             .withWatermark("file_time", f"{micros(lateness) // 1000} milliseconds"))
-    return timed.groupBy("node", "filepath").transformWithStateInPandas(
-        PlayoutQueue(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+    length = (F.col("duration_s") * 1_000_000).cast("bigint")
+    wait = F.lit(micros(delay))
+    entries = F.explode(F.array(F.struct(F.lit("playing").alias("state"), wait.alias("wait_us")),
+                                F.struct(F.lit("expired").alias("state"), (wait + length).alias("wait_us"))))
+    held = (converted.withColumn("file_time", F.col("file_time").cast("timestamp"))
+            .withWatermark("file_time", f"{micros(lateness) // 1000} milliseconds")
+            .select("node", "filepath", "file_time", entries.alias("_e"))
+            .select("node", "filepath", "file_time", "_e.state", "_e.wait_us"))
+    due = F.session_window("file_time", F.concat((F.col("wait_us") + 1).cast("string"), F.lit(" microseconds")))
+    return (held.groupBy("node", "filepath", "state", due.alias("_w")).agg(F.count("*").alias("_copies"))
+            .select("node", "filepath", "state",
+                    (F.col("_w.end") - F.lit(timedelta(microseconds=1))).alias("at")))

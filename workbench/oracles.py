@@ -289,8 +289,8 @@ ORACLES: dict[str, str] = {
                           "samples"),
     "xrun_flags": sql(f"SELECT event_id, node, gap_us, coalesce(gap_us > {H // 2}, false) AS xrun FROM gaps", "gaps"),
     "reset_islands": sql("SELECT node, first_ts, last_ts, n_packets FROM islands", "islands"),
-    "clock_fit": sql("""SELECT node, min(ts) AS first_ts, count(*) AS n_packets, round(regr_slope(y, k), 6) AS slope,
-        round(regr_intercept(y, k), 6) AS intercept, CASE WHEN count(*) > 1 THEN round(regr_r2(y, k), 6) END AS r2 FROM (SELECT *,
+    "clock_fit": sql("""SELECT node, min(ts) AS first_ts, count(*) AS n_packets, CASE WHEN count(*) > 1 THEN round(regr_slope(y, k), 8) END AS slope,
+        round(regr_intercept(y, k), 8) AS intercept, CASE WHEN count(*) > 1 THEN round(regr_r2(y, k), 8) END AS r2 FROM (SELECT *,
         (row_number() OVER (PARTITION BY node, island ORDER BY ts, event_id) - 1)::DOUBLE AS k,
         (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY node, island))) / 1000000 AS y FROM marked) m
         GROUP BY node, island""", "marked"),
@@ -319,10 +319,10 @@ ORACLES: dict[str, str] = {
         - INTERVAL 10 DAY THEN 'late' ELSE 'kept' END AS outcome FROM catalog""", "catalog"),
     "stream_islands": sql(f"""SELECT node, first_ts, last_ts, n_packets FROM islands, mark
         WHERE epoch_us(last_ts) + {H // 2} <= mark_us""", "islands", "mark"),
-    "stream_playout_queue": sql(f"""SELECT node, filepath, state, at_us FROM (
+    "stream_playout_queue": sql(f"""SELECT node, filepath, state, make_timestamp(at_us) AS "at" FROM (
         SELECT node, filepath, 'playing' AS state, epoch_us(file_time) + {24 * H} AS at_us FROM catalog UNION ALL
         SELECT node, filepath, 'expired', epoch_us(file_time) + {24 * H} + (duration_s * 1000000)::BIGINT FROM catalog) q, mark
-        WHERE (at_us // 1000 + 1) * 1000 <= mark_us""", "catalog", "mark"),
+        WHERE at_us < mark_us""", "catalog", "mark"),
     "stream_stall_alert": sql(f"""SELECT node, last_ts AS silent_since, last_ts + INTERVAL 1 HOUR AS alert_at FROM (
         SELECT node, island, max(ts) AS last_ts FROM wide_marked GROUP BY node, island) i, mark
         WHERE epoch_us(last_ts) + {H} <= mark_us""", "wide_marked", "mark"),
