@@ -25,7 +25,7 @@ def xrun_flags(packets: DataFrame, gap: timedelta, width: timedelta | int = HOUR
     """
     timed = ordered.with_previous_time(packets.withColumn("_us", us("ts")), KEY, "_us", ORDER, width, **kw)
     out = timed.withColumn("gap_us", F.col("_us") - F.col("prev_us"))
-    return (ordered.drop_chunks(out).drop("_us", "prev_us")
+    return (out.drop("_us", "prev_us")
             .withColumn("xrun", F.coalesce(F.col("gap_us") > micros(gap), F.lit(False))))
 
 
@@ -49,11 +49,11 @@ def with_island(packets: DataFrame, gap: timedelta, width: timedelta | int = HOU
         c, KEY, {"_s": F.max("_start"), "_r": F.max("_start_rank")},
         before={"_from": F.max("_s"), "_from_rank": F.max("_r")}))
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
-    return ordered.drop_chunks(
+    return ordered.unchunk(
         c.withColumn("island_us", F.coalesce(F.max("_start").over(so_far), F.col("_from")))
         .withColumn("packet_no",
                     F.col("_rank") - F.coalesce(F.max("_start_rank").over(so_far), F.col("_from_rank")))
-        .drop("_rank", "_start", "_start_rank", "_from", "_from_rank"))
+        .drop("_rank", "_start", "_start_rank", "_from", "_from_rank"), KEY)
 
 
 def reset_islands(packets: DataFrame, gap: timedelta, **kw) -> DataFrame:
@@ -81,4 +81,4 @@ def stall_report(packets: DataFrame, timeout: timedelta, now: datetime | Column,
     timed = ordered.with_next_time(packets.withColumn("_us", us("ts")), KEY, "_us", ORDER, width, **kw)
     end = F.coalesce("next_us", us(instant(now, type_of(packets, "ts"))))
     out = timed.withColumn("silent_us", end - F.col("_us")).withColumn("open", F.col("next_us").isNull())
-    return ordered.drop_chunks(out.where(F.col("silent_us") > micros(timeout))).drop("_us", "next_us")
+    return out.where(F.col("silent_us") > micros(timeout)).drop("_us", "next_us")

@@ -84,7 +84,7 @@ def conversion_order(files: DataFrame, n: int, tie: str = "filepath") -> DataFra
         return files.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n)
     timed = files.withColumn("_us", us("file_time"))
     ranked = ordered.with_rank(timed, ["node"], "_us", ["_us", tie])
-    return ordered.drop_chunks(ranked.where(F.col("rank") <= n)).drop("_us")
+    return ranked.where(F.col("rank") <= n).drop("_us")
 
 
 def next_available(files: DataFrame, ticks: DataFrame, done: DataFrame, delay: timedelta,

@@ -4,13 +4,16 @@ A window over ``partition by node order by time`` puts a whole node into one tas
 is cut into time chunks; a small table with one row per chunk carries what a chunk must know of
 the chunks before or after it, and windows run inside a chunk only.
 
-Keys must not be null (every capture row names its node). Rows of one key at one microsecond
-always share a chunk.
+Key columns are replaced by never-null stand-ins while rows are chunked, and restored by
+``unchunk``: rows without a key form a stream of their own, and both uses of the chunked data (the
+carried table and the windows) read one shuffle. Rows of one key at one microsecond always
+share a chunk.
 """
 
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,13 +21,21 @@ from pyspark.sql import functions as F
 
 from segtide.functions.times import HOUR, micros, slot_number, slot_start
 
-CHUNK = ["_bucket", "_part"]
 FINE_SLOTS = 1 << 16  # a hot bucket is measured, and may be cut, at this many places
+NULL_BITS = 40        # the part number keeps which keys are null above this bit
+
+
+def _stands(keys: list[str]) -> list[str]:
+    return [f"_key_{k}" for k in keys]
+
+
+def chunk_columns(keys: list[str]) -> list[str]:
+    return [*_stands(keys), "_bucket", "_part"]
 
 
 def chunk(df: DataFrame, keys: list[str], time_us: str, width: timedelta | int = HOUR,
           max_rows: int = 5_000_000) -> DataFrame:
-    """Add ``_bucket`` and ``_part``: a fixed-width time bucket, cut further where it is hot.
+    """Cut every key's rows into ``_bucket`` (fixed width) and ``_part`` (where a bucket is hot).
 
     A (key, bucket) with more than ``max_rows`` rows is cut so that each part holds about that
     many. The cuts come from exact counts, so every evaluation finds the same ones. There are at
@@ -33,8 +44,13 @@ def chunk(df: DataFrame, keys: list[str], time_us: str, width: timedelta | int =
     """
     width = micros(width)
     fine = max(width // FINE_SLOTS, 1)
-    slotted = df.withColumn("_bucket", slot_number(F.col(time_us), width))
-    group = [*keys, "_bucket"]
+    group = [*_stands(keys), "_nulls", "_bucket"]
+    nulls = reduce(lambda a, b: a + b, [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)],
+                   F.lit(0))
+    solid = [F.coalesce(F.col(k), F.lit("0").cast(df.schema[k].dataType)).alias(s) for k, s in zip(keys, _stands(keys))]
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    slotted = df.select(*rest, *solid, nulls.cast("bigint").alias("_nulls"),
+                        slot_number(F.col(time_us), width).alias("_bucket"))
     hot = slotted.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows).select(*group)
     counts = (slotted.select(*group, slot_start(F.col(time_us), fine).alias("_slot"))
               .join(F.broadcast(hot), group, "left_semi")
@@ -47,39 +63,46 @@ def chunk(df: DataFrame, keys: list[str], time_us: str, width: timedelta | int =
     part = F.when(F.col("_cuts").isNull(), 0).otherwise(
         F.size(F.filter("_cuts", lambda c: c <= F.col(time_us))))
     return (slotted.join(F.broadcast(cuts), group, "left")
-            .withColumn("_part", part).drop("_cuts"))
+            .withColumn("_part", F.shiftleft("_nulls", NULL_BITS) + part).drop("_cuts", "_nulls"))
+
+
+def unchunk(chunked: DataFrame, keys: list[str]) -> DataFrame:
+    """Put the key columns back, in front."""
+    nulls = F.shiftright("_part", NULL_BITS)
+    back = [F.when(nulls.bitwiseAND(F.lit(1 << i)) == 0, F.col(s)).alias(k)
+            for i, (k, s) in enumerate(zip(keys, _stands(keys)))]
+    return chunked.select(*back, *[c for c in chunked.columns if c not in chunk_columns(keys)])
 
 
 def chunk_window(keys: list[str], *order: Column | str) -> W:
-    return W.partitionBy(*keys, *CHUNK).orderBy(*order)
+    return W.partitionBy(*chunk_columns(keys)).orderBy(*order)
 
 
 def carry(chunked: DataFrame, keys: list[str], summary: dict[str, Column],
           before: dict[str, Column] | None = None, after: dict[str, Column] | None = None) -> DataFrame:
     """One row per chunk with what the other chunks of its key hand to it.
 
-    ``summary`` holds aggregates of a chunk (they must combine partially: max, min, max_by over
+    ``summary`` holds aggregates of a chunk (they must combine partially: max, min, min_by over
     plain numbers, sum, count); ``before`` and ``after`` combine them over all earlier or later
     chunks of the key. The window here sees one row per chunk, not the data.
     """
-    parts = chunked.groupBy(*keys, *CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
-    group = W.partitionBy(*(keys or [F.lit(0)]))
+    columns = chunk_columns(keys)
+    parts = chunked.groupBy(*columns).agg(*[c.alias(n) for n, c in summary.items()])
+    key = W.partitionBy(*_stands(keys), F.shiftright("_part", NULL_BITS))
     # growing frames in both directions: a shrinking frame is recomputed for every row
-    earlier = group.orderBy(*CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    later = group.orderBy(*[F.desc(c) for c in CHUNK]).rowsBetween(W.unboundedPreceding, -1)
-    return parts.select(
-        *keys, *CHUNK,
-        *[c.over(earlier).alias(n) for n, c in (before or {}).items()],
-        *[c.over(later).alias(n) for n, c in (after or {}).items()])
+    earlier = key.orderBy("_bucket", "_part").rowsBetween(W.unboundedPreceding, -1)
+    later = key.orderBy(F.desc("_bucket"), F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    return parts.select(*columns, *[c.over(earlier).alias(n) for n, c in (before or {}).items()],
+                        *[c.over(later).alias(n) for n, c in (after or {}).items()])
 
 
 def attach(chunked: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
     """Give every row the carried values of its chunk.
 
-    Both sides are hashed by (key, chunk), which is also the layout the windows inside a chunk
-    need: the data is shuffled once for the join and the windows together.
+    Both sides are hashed by chunk, which is also the layout the windows inside a chunk need:
+    the data is shuffled once for the join and the windows together.
     """
-    return chunked.join(carried.hint("shuffle_hash"), [*keys, *CHUNK], "left")
+    return chunked.join(carried.hint("shuffle_hash"), chunk_columns(keys), "left")
 
 
 def with_previous_time(df: DataFrame, keys: list[str], time_us: str, order: list[str],
@@ -88,7 +111,7 @@ def with_previous_time(df: DataFrame, keys: list[str], time_us: str, order: list
     c = chunk(df, keys, time_us, width, **kw)
     c = attach(c, keys, carry(c, keys, {"_tail": F.max(time_us)}, before={"_before": F.max("_tail")}))
     local = F.lag(time_us).over(chunk_window(keys, *order))
-    return c.withColumn("prev_us", F.coalesce(local, F.col("_before"))).drop("_before")
+    return unchunk(c.withColumn("prev_us", F.coalesce(local, F.col("_before"))).drop("_before"), keys)
 
 
 def with_next_time(df: DataFrame, keys: list[str], time_us: str, order: list[str],
@@ -97,7 +120,7 @@ def with_next_time(df: DataFrame, keys: list[str], time_us: str, order: list[str
     c = chunk(df, keys, time_us, width, **kw)
     c = attach(c, keys, carry(c, keys, {"_head": F.min(time_us)}, after={"_after": F.min("_head")}))
     local = F.lead(time_us).over(chunk_window(keys, *order))
-    return c.withColumn("next_us", F.coalesce(local, F.col("_after"))).drop("_after")
+    return unchunk(c.withColumn("next_us", F.coalesce(local, F.col("_after"))).drop("_after"), keys)
 
 
 def with_rank(df: DataFrame, keys: list[str], time_us: str, order: list[str],
@@ -106,7 +129,7 @@ def with_rank(df: DataFrame, keys: list[str], time_us: str, order: list[str],
     c = chunk(df, keys, time_us, width, **kw)
     c = attach(c, keys, carry(c, keys, {"_rows": F.count("*")}, before={"_offset": F.sum("_rows")}))
     local = F.row_number().over(chunk_window(keys, *order))
-    return c.withColumn("rank", local + F.coalesce("_offset", F.lit(0))).drop("_offset")
+    return unchunk(c.withColumn("rank", local + F.coalesce("_offset", F.lit(0))).drop("_offset"), keys)
 
 
 def with_running_sum(df: DataFrame, keys: list[str], time_us: str, order: list[str], value: str,
@@ -116,8 +139,4 @@ def with_running_sum(df: DataFrame, keys: list[str], time_us: str, order: list[s
     c = attach(c, keys, carry(c, keys, {"_sum": F.sum(value)}, before={"_offset": F.sum("_sum")}))
     local = F.sum(value).over(chunk_window(keys, *order).rowsBetween(W.unboundedPreceding, -1))
     zero = F.lit(0)
-    return c.withColumn(out, F.coalesce(local, zero) + F.coalesce("_offset", zero)).drop("_offset")
-
-
-def drop_chunks(df: DataFrame) -> DataFrame:
-    return df.drop(*CHUNK)
+    return unchunk(c.withColumn(out, F.coalesce(local, zero) + F.coalesce("_offset", zero)).drop("_offset"), keys)

@@ -32,8 +32,7 @@ def concat_timeline(items: DataFrame, width: int = 4096) -> DataFrame:
 
     Lists are cut into ranges of positions, so a long list is summed by many tasks.
     """
-    out = ordered.with_running_sum(items, ["list_id"], "pos", ["pos"], "duration_s", "offset_s", width=width)
-    return ordered.drop_chunks(out)
+    return ordered.with_running_sum(items, ["list_id"], "pos", ["pos"], "duration_s", "offset_s", width=width)
 
 
 def loop_expand(items: DataFrame, n: int) -> DataFrame:

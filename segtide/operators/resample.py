@@ -39,7 +39,7 @@ def resample_up(samples: DataFrame, step: timedelta, width: timedelta | int = HO
     share = (F.col("_grid") - F.col("_us")) / (F.col("_next") - F.col("_us"))
     value = F.when(F.col("_grid") == F.col("_us"), F.col("_v")).otherwise(
         F.col("_v") + (F.col("_next_v") - F.col("_v")) * share)
-    return (c.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    return (ordered.unchunk(c, ["node"]).withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
             .withColumn("_grid", F.explode(F.sequence("_first", "_last", F.lit(w))))
             .select("node", from_us("_grid").alias("slot"), value.alias("value")))
 

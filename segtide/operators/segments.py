@@ -26,7 +26,7 @@ def asof_run(samples: DataFrame, runs: DataFrame, width: timedelta | int = HOUR,
         c, ["node"], {"_newest": F.max("_start")}, before={"_before": F.max("_newest")}))
     so_far = ordered.chunk_window(["node"], "_us").rangeBetween(W.unboundedPreceding, 0)
     found = c.withColumn("run_start_us", F.coalesce(F.max("_start").over(so_far), F.col("_before")))
-    return (ordered.drop_chunks(found.where("_sample"))
+    return (ordered.unchunk(found.where("_sample"), ["node"])
             .withColumn("run_id", F.call_function("div", F.col("run_start_us"), F.lit(1_000_000)))
             .drop("_us", "_start", "_sample", "_before"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from segtide.functions.routing import Buckets
 from segtide.functions.names import segment_names
 from segtide.functions.times import us
-from segtide.operators.ordered import drop_chunks, with_rank
+from segtide.operators.ordered import with_rank
 from segtide.operators.schedule import segment_schedule
 from segtide.sources.listing import listing_extract
 
@@ -35,9 +35,12 @@ TYPES = ("research", "hls-only", "dev-virt-s3", "debug", "other")
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._read: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._read:  # the footer is read once
+            self._read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._read[name]
 
     def events(self) -> DataFrame:
         return self.raw("events")
@@ -145,6 +148,6 @@ class Tables:
     def items(self) -> DataFrame:
         """The files of each node as a play list in time order."""
         timed = self.catalog().withColumn("_us", us("file_time"))
-        ranked = drop_chunks(with_rank(timed, ["node"], "_us", ["_us", "event_id"]))
+        ranked = with_rank(timed, ["node"], "_us", ["_us", "event_id"])
         return ranked.select(F.col("node").alias("list_id"), F.col("rank").alias("pos"),
                              F.col("filepath").alias("file"), "duration_s")
