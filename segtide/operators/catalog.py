@@ -96,7 +96,7 @@ def next_available(files: DataFrame, ticks: DataFrame, done: DataFrame, delay: t
     times matter, so copies are merged first; ticks and times then meet in time chunks, and
     each chunk is handed the first time of the chunks after it.
     """
-    flagged = files.join(done.select("filepath").groupBy("filepath").agg(F.lit(True).alias("_done")),
+    flagged = files.select("file_time", "filepath").distinct().join(done.select("filepath").groupBy("filepath").agg(F.lit(True).alias("_done")),
                          "filepath", "left")
     times = (flagged.groupBy(us("file_time").alias("_us"))
              .agg(F.min(F.coalesce("_done", F.lit(False))).alias("_all_done"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from segtide.functions.times import MINUTE, slot_number
 
-BASE = 15 * MINUTE
-GROWTH = 4
-LEVELS = 10   # the widest buckets span 15 min * 4**9, about 7.5 years
+BASE = MINUTE
+GROWTH = 8
+LEVELS = 8    # the widest buckets span 8**7 minutes, about four years
 SPAN = 4      # an interval may be this many buckets long before it moves to wider ones
 
 

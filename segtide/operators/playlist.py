@@ -30,11 +30,12 @@ def _in_order(order: list[str], text: str) -> Column:
 def _joined_lines(segments: DataFrame, by: list[str]) -> DataFrame:
     """Segment lines of each playlist in time order.
 
-    Built in two steps, per day and then per playlist, so that the list of single segments is
-    only ever gathered for one day.
+    Copies of a segment are merged first. Then it is built in two steps, per day and per
+    playlist, so that single segments are only ever gathered for one day.
     """
     day = slot_number(us("seg_start"), DAY).alias("_day")
-    daily = (playlist_lines(segments).groupBy(*by, day)
+    once = segments.groupBy(*by, "seg_start", "ts_name").agg(F.max("seg_end").alias("seg_end"))
+    daily = (playlist_lines(once).groupBy(*by, day)
              .agg(_in_order(["seg_start", "ts_name"], "line").alias("_text"), F.max(_seconds()).alias("_longest")))
     return daily.groupBy(*by).agg(_in_order(["_day"], "_text").alias("lines"),
                                   F.max("_longest").alias("longest"))

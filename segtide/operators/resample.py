@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from segtide.functions.times import HOUR, from_us, micros, slot_start, us
 from segtide.operators import ordered
 from segtide.operators.schedule import segment_schedule
+from segtide.operators.steps import explode_steps
 
 
 def resample_down(samples: DataFrame, step: timedelta) -> DataFrame:
@@ -39,8 +40,7 @@ def resample_up(samples: DataFrame, step: timedelta, width: timedelta | int = HO
     share = (F.col("_grid") - F.col("_us")) / (F.col("_next") - F.col("_us"))
     value = F.when(F.col("_grid") == F.col("_us"), F.col("_v")).otherwise(
         F.col("_v") + (F.col("_next_v") - F.col("_v")) * share)
-    return (ordered.unchunk(c, ["node"]).withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
-            .withColumn("_grid", F.explode(F.sequence("_first", "_last", F.lit(w))))
+    return (explode_steps(ordered.unchunk(c, ["node"]), first, last, w, "_grid")
             .select("node", from_us("_grid").alias("slot"), value.alias("value")))
 
 
@@ -53,7 +53,7 @@ def gap_fill(samples: DataFrame, segments: DataFrame, step: timedelta) -> DataFr
         F.sum("value").alias("_sum"), F.count("value").alias("_n"))
     grid = segment_schedule(
         segments.select("node", F.col("seg_start").alias("segment"), F.col("seg_start").alias("start"),
-                        F.col("seg_end").alias("end")), step)
+                        F.col("seg_end").alias("end")).distinct(), step)
     filled = grid.select("node", "segment", us("seg_start").alias("_slot")).join(slots, ["node", "_slot"], "left")
     whole = W.partitionBy("node", "segment")
     mean = F.sum("_sum").over(whole) / F.sum("_n").over(whole)

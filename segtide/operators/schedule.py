@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segtide.functions.names import DAY_PATH
-from segtide.functions.times import from_us, micros, slot_start, us
+from segtide.functions.times import from_us, micros, slot_start, type_of, us
+from segtide.operators.steps import explode_steps
 
 
 def plan_listing_days(requests: DataFrame, base: str) -> DataFrame:
@@ -20,10 +21,10 @@ def plan_listing_days(requests: DataFrame, base: str) -> DataFrame:
 
 def segment_schedule(ranges: DataFrame, length: timedelta) -> DataFrame:
     """Half-open segments of every range ``[start, end)``; the last one ends with the range."""
-    starts = F.sequence(F.col("start"), F.col("end") - F.lit(timedelta(microseconds=1)), F.lit(length))
-    return (ranges.where(F.col("start") < F.col("end"))
-            .withColumn("seg_start", F.explode(starts))
-            .withColumn("seg_end", F.least(F.col("seg_start") + F.lit(length), F.col("end"))))
+    ntz = type_of(ranges, "start") == "timestamp_ntz"
+    steps = explode_steps(ranges, us("start"), us("end") - 1, micros(length), "_at")
+    return (steps.withColumn("seg_start", from_us("_at", ntz))
+            .withColumn("seg_end", F.least(F.col("seg_start") + F.lit(length), F.col("end"))).drop("_at"))
 
 
 def near_and_backfill(requests: DataFrame, length: timedelta, near: timedelta = timedelta(hours=8),

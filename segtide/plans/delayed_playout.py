@@ -4,32 +4,44 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from segtide.functions.names import derive_names
+from segtide.functions.names import short_name
 from segtide.operators.catalog import anti_done, build_catalog, eligible_files, queue_state
 
 
 def selected_files(names: DataFrame, done: DataFrame, now: datetime, delay: timedelta, segment: timedelta,
                    prefix: str, postfix: str) -> DataFrame:
-    """Files to convert in this pass, with their output names.
+    """Files to convert in this pass.
 
     The age test comes before the ledger join, so the join meets the few files in the window.
     """
     good, _ = build_catalog(names, prefix, postfix)
-    return derive_names(anti_done(eligible_files(good, now, delay, segment), done))
+    return anti_done(eligible_files(good, now, delay, segment), done)
 
 
 def delayed_playout(names: DataFrame, done: DataFrame, now: datetime, delay: timedelta, segment: timedelta,
                     prefix: str, postfix: str, later: timedelta) -> DataFrame:
-    """Queue counts per node at a pass ``later`` than the one that selected the files."""
-    chosen = selected_files(names, done, now, delay, segment, prefix, postfix)
+    """Queue counts per node at a pass ``later`` than the one that selected the files.
+
+    The listing is read once: files are counted per node, output name and state, and the
+    collisions of a name come from those counts, of which there are few per name.
+    """
+    chosen = queue_state(selected_files(names, done, now, delay, segment, prefix, postfix), now + later, delay)
+    counts = chosen.groupBy("node", "state", short_name(F.col("filepath"), "ts").alias("_name")).agg(
+        F.count("*").alias("_n"))
+    counts = counts.withColumn("_shared", F.sum("_n").over(W.partitionBy("_name")) > 1)
+
+    def total(when) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("_n"))), F.lit(0))
+
     state = F.col("state")
-    return queue_state(chosen, now + later, delay).groupBy("node").agg(
-        F.count("*").alias("selected"),
-        F.count_if(state == "expired").alias("expired"),
-        F.count_if(state == "playing").alias("playing"),
-        F.count_if(state == "pending").alias("pending"),
-        F.count_if(state != "pending").alias("deleted"),
-        F.count_if("name_collision").alias("collisions"))
+    return counts.groupBy("node").agg(
+        F.sum("_n").alias("selected"),
+        total(state == "expired").alias("expired"),
+        total(state == "playing").alias("playing"),
+        total(state == "pending").alias("pending"),
+        total(state != "pending").alias("deleted"),
+        total(F.col("_shared")).alias("collisions"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,11 @@ def new_session(name: str = "segtide", master: str | None = None, **conf: str) -
     return configure(builder.getOrCreate())
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="segtide-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder all executors can reach, below ``spark.checkpoint.dir``.
 
@@ -55,6 +61,5 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not _is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="segtide-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")

@@ -12,6 +12,7 @@ from segtide.functions.names import segment_names
 from segtide.functions.times import us
 from segtide.operators.ordered import with_rank
 from segtide.operators.schedule import segment_schedule
+from segtide.session import shared_dir
 from segtide.sources.listing import listing_extract
 
 NOW = datetime(2024, 1, 16)
@@ -146,8 +147,10 @@ class Tables:
             F.lit(48000).alias("rate"), F.array(F.col("event_id") % 64, F.col("event_id") % 32).alias("latencies"))
 
     def items(self) -> DataFrame:
-        """The files of each node as a play list in time order."""
+        """The files of each node as a play list in time order: a table of its own."""
         timed = self.catalog().withColumn("_us", us("file_time"))
         ranked = with_rank(timed, ["node"], "_us", ["_us", "event_id"])
-        return ranked.select(F.col("node").alias("list_id"), F.col("rank").alias("pos"),
-                             F.col("filepath").alias("file"), "duration_s")
+        path = shared_dir(self.spark, "items")
+        ranked.select(F.col("node").alias("list_id"), F.col("rank").alias("pos"),
+                      F.col("filepath").alias("file"), "duration_s").write.parquet(path)
+        return self.spark.read.parquet(path)
