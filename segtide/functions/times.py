@@ -31,10 +31,14 @@ def from_us(col: Column | str, ntz: bool = True) -> Column:
     return out.cast("timestamp_ntz") if ntz else out
 
 
+def is_ntz(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.TimestampNTZType)
+
+
 def type_of(df: DataFrame, name: str) -> str:
     """``timestamp`` or ``timestamp_ntz``: literals take the column's own type, so that
     a comparison needs no cast on the column and reaches the scan."""
-    return "timestamp_ntz" if isinstance(df.schema[name].dataType, T.TimestampNTZType) else "timestamp"
+    return "timestamp_ntz" if is_ntz(df, name) else "timestamp"
 
 
 def instant(value: datetime | Column, kind: str) -> Column:

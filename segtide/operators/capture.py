@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from segtide.functions.times import HOUR, from_us, instant, micros, type_of, us
+from segtide.functions.times import HOUR, from_us, instant, is_ntz, micros, type_of, us
 from segtide.operators import ordered
 
 KEY = ["node"]
@@ -58,9 +58,10 @@ def with_island(packets: DataFrame, gap: timedelta, width: timedelta | int = HOU
 
 def reset_islands(packets: DataFrame, gap: timedelta, **kw) -> DataFrame:
     """First and last packet time and packet count of every island."""
+    ntz = is_ntz(packets, "ts")
     return (with_island(packets, gap, **kw).groupBy("node", "island_us")
             .agg(F.max("_us").alias("_last"), F.count("*").alias("n_packets"))
-            .select("node", from_us("island_us").alias("first_ts"), from_us("_last").alias("last_ts"),
+            .select("node", from_us("island_us", ntz).alias("first_ts"), from_us("_last", ntz).alias("last_ts"),
                     "n_packets"))
 
 
@@ -72,7 +73,7 @@ def clock_fit(packets: DataFrame, gap: timedelta, **kw) -> DataFrame:
     return (fitted.groupBy("node", "island_us")
             .agg(F.count("*").alias("n_packets"), F.regr_slope("_y", "_x").alias("slope"),
                  F.regr_intercept("_y", "_x").alias("intercept"), F.regr_r2("_y", "_x").alias("r2"))
-            .withColumn("first_ts", from_us("island_us")).drop("island_us"))
+            .withColumn("first_ts", from_us("island_us", is_ntz(packets, "ts"))).drop("island_us"))
 
 
 def stall_report(packets: DataFrame, timeout: timedelta, now: datetime | Column,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Outputs by node type, and the support matrix of architectures and types.
 OUTPUT_KINDS = [("research", "flac"), ("research", "hls"), ("hls-only", "hls"), ("dev-virt-s3", "hls")]

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segtide.functions.times import HOUR, micros, slot_number, slot_start
 
@@ -29,6 +30,14 @@ def _stands(keys: list[str]) -> list[str]:
     return [f"_key_{k}" for k in keys]
 
 
+def _any_value(kind: T.DataType) -> Column:
+    """Some value of a type, to stand for null beside a null mark."""
+    if isinstance(kind, T.StringType):
+        return F.lit("")
+    text = "0" if isinstance(kind, (T.NumericType, T.BooleanType)) else "1970-01-01"
+    return F.lit(text).cast(kind)
+
+
 def chunk_columns(keys: list[str]) -> list[str]:
     return [*_stands(keys), "_bucket", "_part"]
 
@@ -47,7 +56,7 @@ def chunk(df: DataFrame, keys: list[str], time_us: str, width: timedelta | int =
     group = [*_stands(keys), "_nulls", "_bucket"]
     nulls = reduce(lambda a, b: a + b, [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)],
                    F.lit(0))
-    solid = [F.coalesce(F.col(k), F.lit("0").cast(df.schema[k].dataType)).alias(s) for k, s in zip(keys, _stands(keys))]
+    solid = [F.coalesce(F.col(k), _any_value(df.schema[k].dataType)).alias(s) for k, s in zip(keys, _stands(keys))]
     rest = [F.col(c) for c in df.columns if c not in keys]
     slotted = df.select(*rest, *solid, nulls.cast("bigint").alias("_nulls"),
                         slot_number(F.col(time_us), width).alias("_bucket"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from segtide.functions.times import micros, us
 from segtide.operators import ordered
 from segtide.operators.intervals import stab_join
+from segtide.operators.steps import explode_steps
 
 
 def playing_at(files: DataFrame, ticks: DataFrame, delay: timedelta) -> DataFrame:
@@ -27,7 +28,7 @@ def on_air_top1(playing: DataFrame) -> DataFrame:
             .select("node", "tick", "_best.file_time", "_best.filepath"))
 
 
-def concat_timeline(items: DataFrame, width: int = 4096) -> DataFrame:
+def concat_timeline(items: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Add ``offset_s``: start of each item when a list is played in order of ``pos``.
 
     Lists are cut into ranges of positions, so a long list is summed by many tasks.
@@ -38,12 +39,10 @@ def concat_timeline(items: DataFrame, width: int = 4096) -> DataFrame:
 def loop_expand(items: DataFrame, n: int) -> DataFrame:
     """Play every list ``n`` times: repeat its items, keeping the order in ``pos`` (from 0).
 
-    The length of a list is a partial aggregate joined back; the repeats come from a generator
-    on each row.
+    The length of a list is a partial aggregate joined back; the repeats are generated per row.
     """
     length = items.groupBy("list_id").agg(F.count("*").alias("_len"), F.min("pos").alias("_first"))
-    return (items.join(length, "list_id")
-            .withColumn("loop_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return (explode_steps(items.join(length, "list_id"), F.lit(0), F.lit(n - 1), 1, "loop_no")
             .withColumn("pos", F.col("loop_no") * F.col("_len") + F.col("pos") - F.col("_first"))
             .drop("_len", "_first"))
 

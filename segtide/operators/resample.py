@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from segtide.functions.times import HOUR, from_us, micros, slot_start, us
+from segtide.functions.times import HOUR, from_us, is_ntz, micros, slot_start, us
 from segtide.operators import ordered
 from segtide.operators.schedule import segment_schedule
 from segtide.operators.steps import explode_steps
@@ -18,7 +18,7 @@ def resample_down(samples: DataFrame, step: timedelta) -> DataFrame:
     """Mean value per slot of ``step`` (a box filter)."""
     return (samples.groupBy("node", slot_start(us("ts"), step).alias("_slot"))
             .agg(F.avg("value").alias("value"), F.count("*").alias("n_samples"))
-            .select("node", from_us("_slot").alias("slot"), "value", "n_samples"))
+            .select("node", from_us("_slot", is_ntz(samples, "ts")).alias("slot"), "value", "n_samples"))
 
 
 def resample_up(samples: DataFrame, step: timedelta, width: timedelta | int = HOUR, **kw) -> DataFrame:
@@ -41,7 +41,7 @@ def resample_up(samples: DataFrame, step: timedelta, width: timedelta | int = HO
     value = F.when(F.col("_grid") == F.col("_us"), F.col("_v")).otherwise(
         F.col("_v") + (F.col("_next_v") - F.col("_v")) * share)
     return (explode_steps(ordered.unchunk(c, ["node"]), first, last, w, "_grid")
-            .select("node", from_us("_grid").alias("slot"), value.alias("value")))
+            .select("node", from_us("_grid", is_ntz(samples, "ts")).alias("slot"), value.alias("value")))
 
 
 def gap_fill(samples: DataFrame, segments: DataFrame, step: timedelta) -> DataFrame:
@@ -57,5 +57,5 @@ def gap_fill(samples: DataFrame, segments: DataFrame, step: timedelta) -> DataFr
     filled = grid.select("node", "segment", us("seg_start").alias("_slot")).join(slots, ["node", "_slot"], "left")
     whole = W.partitionBy("node", "segment")
     mean = F.sum("_sum").over(whole) / F.sum("_n").over(whole)
-    return filled.select("node", "segment", from_us("_slot").alias("slot"),
+    return filled.select("node", "segment", from_us("_slot", is_ntz(segments, "seg_start")).alias("slot"),
                          F.coalesce(F.col("_sum") / F.col("_n") - mean, F.lit(0.0)).alias("value"))

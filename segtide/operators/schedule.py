@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segtide.functions.names import DAY_PATH
-from segtide.functions.times import from_us, micros, slot_start, type_of, us
+from segtide.functions.times import from_us, is_ntz, micros, slot_start, us
 from segtide.operators.steps import explode_steps
 
 
@@ -21,9 +21,8 @@ def plan_listing_days(requests: DataFrame, base: str) -> DataFrame:
 
 def segment_schedule(ranges: DataFrame, length: timedelta) -> DataFrame:
     """Half-open segments of every range ``[start, end)``; the last one ends with the range."""
-    ntz = type_of(ranges, "start") == "timestamp_ntz"
     steps = explode_steps(ranges, us("start"), us("end") - 1, micros(length), "_at")
-    return (steps.withColumn("seg_start", from_us("_at", ntz))
+    return (steps.withColumn("seg_start", from_us("_at", is_ntz(ranges, "start")))
             .withColumn("seg_end", F.least(F.col("seg_start") + F.lit(length), F.col("end"))).drop("_at"))
 
 
@@ -35,7 +34,7 @@ def near_and_backfill(requests: DataFrame, length: timedelta, near: timedelta =
     several requests reach keeps its latest end, and counts as near if any near range holds it.
     """
     def part(span: timedelta, rank: int) -> DataFrame:
-        first = from_us(slot_start(us(F.col("now") - F.lit(span)), length, origin))
+        first = from_us(slot_start(us(F.col("now") - F.lit(span)), length, origin), is_ntz(requests, "now"))
         ranges = requests.select("node", first.alias("start"), F.col("now").alias("end"))
         return segment_schedule(ranges, length).withColumn("_rank", F.lit(rank))
 

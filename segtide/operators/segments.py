@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from segtide.functions.times import HOUR, from_us, micros, us
+from segtide.functions.times import HOUR, from_us, is_ntz, micros, us
 from segtide.operators import ordered
 
 
@@ -34,10 +34,11 @@ def asof_run(samples: DataFrame, runs: DataFrame, width: timedelta | int = HOUR,
 def cut_runs(tied: DataFrame, length: timedelta) -> DataFrame:
     """Fixed-length cuts of samples tied to their run (``asof_run``); one row per segment."""
     index = F.call_function("div", us("ts") - F.col("run_start_us"), F.lit(micros(length)))
+    start = F.col("run_start_us") + F.col("seg_index") * micros(length)
     return (tied.where("run_start_us is not null").withColumn("seg_index", index)
             .groupBy("node", "run_start_us", "run_id", "seg_index")
             .agg(F.count("*").alias("n_samples"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-            .withColumn("seg_start", from_us(F.col("run_start_us") + F.col("seg_index") * micros(length))))
+            .withColumn("seg_start", from_us(start, is_ntz(tied, "ts"))))
 
 
 def run_segments(samples: DataFrame, runs: DataFrame, length: timedelta, **kw) -> DataFrame:

@@ -32,9 +32,11 @@ def configure(spark: SparkSession) -> SparkSession:
     """Put the runtime settings on a session made elsewhere."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
-    if _is_local(spark) and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        # one machine: the 200 of a default session only adds task overhead
-        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    if spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # the unset default: too many for one machine, too few for a large cluster, where the
+        # adaptive planner can merge small partitions but not add any
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores if _is_local(spark) else max(200, 3 * cores)))
     return spark
 
 

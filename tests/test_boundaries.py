@@ -257,3 +257,24 @@ def test_node_kinds_and_support(spark, rows):
         ("a", "flac"), ("a", "hls"), ("b", "flac"), ("b", "hls"), ("c", "")]
     yes, no = nodes.support_check(df, nodes.support_matrix(spark))
     assert [r.node_name for r in yes.collect()] == ["a"] and sorted(r.node_name for r in no.collect()) == ["b", "c"]
+
+
+def test_no_loops_give_no_rows(rows):
+    items = rows([("l", 1, "a", 2.0)], "list_id string, pos bigint, file string, duration_s double")
+    assert playout.loop_expand(items, 0).count() == 0
+
+
+def test_small_limits_are_cut_before_the_shuffle(rows):
+    plan = catalog.conversion_order(files(rows, DELAY), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_hot_names_and_copies(rows):
+    """A third of the rows share one name, one file, one node: results stay whole."""
+    data = [(1, NOW, "hot-2024-01-16T00:00:00.000000.mseed", 1.0)] * 200
+    data += [(i % 5, NOW, f"f{i}-2024-01-16T00:00:00.000000.mseed", 1.0) for i in range(400)]
+    df = rows(data, FILES)
+    named = names.derive_names(df)
+    assert named.count() == 600 and named.where("name_collision").count() == 200
+    assert catalog.anti_done(df, df.where("filepath like 'hot%'").select("filepath")).count() == 400
+    assert playout.accumulate_converted([df, df]).count() == 401

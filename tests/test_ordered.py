@@ -88,3 +88,13 @@ def test_asof_run(packets, max_rows):
     plain = (packets.alias("s").join(runs.alias("r"), F.expr("s.node <=> r.node and r.started_at <= s.ts"), "left")
              .groupBy("event_id").agg(F.max(us("started_at")).alias("run_start_us")))
     same(found, plain)
+
+
+def test_zoned_times_and_other_key_types(rows):
+    df = rows([("a", datetime(2024, 1, 1), 0), ("a", datetime(2024, 1, 3), 1), (None, datetime(2024, 1, 2), 2)],
+              "node string, ts timestamp, event_id bigint")
+    got = capture.reset_islands(df, timedelta(hours=1))
+    assert dict(got.dtypes)["first_ts"] == "timestamp" and got.count() == 3
+    by_day = df.withColumn("day", F.to_date("ts")).withColumn("_us", us("ts"))
+    ranked = ordered.with_rank(by_day, ["node", "day"], "_us", ["_us"])
+    assert [r["rank"] for r in ranked.collect()] == [1, 1, 1]

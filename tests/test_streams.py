@@ -173,3 +173,7 @@ def test_tee_partials_combine(spark, feed):
                     feed.dir("cp")).awaitTermination()
     day = sinks.read_batches(spark, feed.dir("day"), "n_samples bigint").agg(F.sum("n_samples")).first()[0]
     assert day == sinks.read_batches(spark, feed.dir("raw"), PACKETS).count() == 120
+
+
+def test_no_batch_reads_as_no_rows(spark, tmp_path):
+    assert sinks.read_batches(spark, str(tmp_path / "never"), "a bigint").count() == 0

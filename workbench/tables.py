@@ -47,8 +47,8 @@ class Tables:
         return self.raw("events")
 
     def event_stream(self) -> DataFrame:
-        return (self.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
-                .parquet(self.dir))
+        # a pattern serves a single file and a folder of files alike
+        return self.spark.readStream.schema(EVENTS).parquet(f"{self.dir}/events.parque[t]")
 
     def samples(self, events: DataFrame | None = None) -> DataFrame:
         events = self.events() if events is None else events
