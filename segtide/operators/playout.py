@@ -41,10 +41,10 @@ def loop_expand(items: DataFrame, n: int) -> DataFrame:
 
     The length of a list is a partial aggregate joined back; the repeats are generated per row.
     """
-    length = items.groupBy("list_id").agg(F.count("*").alias("_len"), F.min("pos").alias("_first"))
+    length = items.groupBy("list_id").agg(F.count("*").alias("_len"), F.min("pos").alias("_lowest"))
     return (explode_steps(items.join(length, "list_id"), F.lit(0), F.lit(n - 1), 1, "loop_no")
-            .withColumn("pos", F.col("loop_no") * F.col("_len") + F.col("pos") - F.col("_first"))
-            .drop("_len", "_first"))
+            .withColumn("pos", F.col("loop_no") * F.col("_len") + F.col("pos") - F.col("_lowest"))
+            .drop("_len", "_lowest"))
 
 
 def accumulate_converted(batches: list[DataFrame]) -> DataFrame:
