@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segtide.functions.times import us
+from segtide.operators.keys import per_key
 
 # Layouts of the names that other systems read.
 ISO_MICROS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
@@ -42,7 +43,7 @@ def derive_names(files: DataFrame) -> DataFrame:
     """
     named = files.withColumn("wav_name", short_name(F.col("filepath"), "wav")) \
                  .withColumn("ts_name", short_name(F.col("filepath"), "ts"))
-    shared = (named.groupBy("ts_name").agg(F.count("*").alias("_n"))
+    shared = (per_key(named, ["ts_name"], F.count("*").alias("_n"))
               .where("_n > 1").select("ts_name", F.lit(True).alias("_shared")))
     return (named.join(shared, "ts_name", "left")
             .withColumn("name_collision", F.coalesce("_shared", F.lit(False))).drop("_shared"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from segtide.functions.names import parse_file_time
 from segtide.functions.times import HOUR, instant, micros, type_of, us
 from segtide.operators import ordered
+from segtide.operators.keys import per_key
 
 GROUP_LIMIT = 1000  # row_number limits up to this size are cut down before the shuffle
 
@@ -47,7 +48,7 @@ def anti_done(files: DataFrame, done: DataFrame) -> DataFrame:
     The ledger is first cut to one row per path; a path with very many catalogue copies is
     split by the adaptive skew join.
     """
-    return files.join(done.select("filepath").distinct(), "filepath", "left_anti")
+    return files.join(per_key(done, ["filepath"]), "filepath", "left_anti")
 
 
 def queue_state_of(files: DataFrame, now: datetime | Column, delay: timedelta) -> Column:
@@ -96,8 +97,8 @@ def next_available(files: DataFrame, ticks: DataFrame, done: DataFrame, delay: t
     times matter, so copies are merged first; ticks and times then meet in time chunks, and
     each chunk is handed the first time of the chunks after it.
     """
-    flagged = files.select("file_time", "filepath").distinct().join(done.select("filepath").groupBy("filepath").agg(F.lit(True).alias("_done")),
-                         "filepath", "left")
+    flagged = files.select("file_time", "filepath").distinct().join(
+        per_key(done, ["filepath"]).withColumn("_done", F.lit(True)), "filepath", "left")
     times = (flagged.groupBy(us("file_time").alias("_us"))
              .agg(F.min(F.coalesce("_done", F.lit(False))).alias("_all_done"))
              .select("_us", F.col("_us").alias("_any"), F.when(~F.col("_all_done"), F.col("_us")).alias("_open")))

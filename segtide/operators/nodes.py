@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from segtide.operators.keys import per_key
+
 # Outputs by node type, and the support matrix of architectures and types.
 OUTPUT_KINDS = [("research", "flac"), ("research", "hls"), ("hls-only", "hls"), ("dev-virt-s3", "hls")]
 SUPPORT = [("arm32v7", "hls-only", True), ("arm32v7", "research", True), ("arm32v7", "dev-virt-s3", False),
@@ -23,11 +25,11 @@ def node_outputs(nodes: DataFrame, kinds: DataFrame) -> DataFrame:
 
     No broadcast is forced: Spark broadcasts the table of kinds while it is small.
     """
-    return nodes.join(kinds.dropDuplicates(["node_type", "kind"]), "node_type", "left")
+    return nodes.join(kinds.distinct(), "node_type", "left")
 
 
 def support_check(nodes: DataFrame, support: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes whose architecture supports their type, and the others."""
-    yes = support.where("supported").select("node_arch", "node_type").dropDuplicates()
     on = ["node_arch", "node_type"]
+    yes = per_key(support.where("supported"), on)
     return nodes.join(yes, on, "left_semi"), nodes.join(yes, on, "left_anti")

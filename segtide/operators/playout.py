@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from segtide.functions.times import micros, us
 from segtide.operators import ordered
 from segtide.operators.intervals import stab_join
+from segtide.operators.keys import per_key
 from segtide.operators.steps import explode_steps
 
 
@@ -41,7 +42,7 @@ def loop_expand(items: DataFrame, n: int) -> DataFrame:
 
     The length of a list is a partial aggregate joined back; the repeats are generated per row.
     """
-    length = items.groupBy("list_id").agg(F.count("*").alias("_len"), F.min("pos").alias("_lowest"))
+    length = per_key(items, ["list_id"], F.count("*").alias("_len"), F.min("pos").alias("_lowest"))
     return (explode_steps(items.join(length, "list_id"), F.lit(0), F.lit(n - 1), 1, "loop_no")
             .withColumn("pos", F.col("loop_no") * F.col("_len") + F.col("pos") - F.col("_lowest"))
             .drop("_len", "_lowest"))

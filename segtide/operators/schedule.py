@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from segtide.functions.names import DAY_PATH
 from segtide.functions.times import from_us, is_ntz, micros, slot_start, us
+from segtide.operators.keys import per_key
 from segtide.operators.steps import explode_steps
 
 
@@ -45,7 +46,7 @@ def near_and_backfill(requests: DataFrame, length: timedelta, near: timedelta =
 
 def skip_existing(segments: DataFrame, present: DataFrame, on: tuple[str, ...] = ("node", "subdir", "ts_name")) -> DataFrame:
     """Scheduled segments that are not stored yet."""
-    return segments.join(present.select(*on).dropDuplicates(), list(on), "left_anti")
+    return segments.join(per_key(present, list(on)), list(on), "left_anti")
 
 
 def with_sample_counts(segments: DataFrame, samples: DataFrame, length: timedelta, origin: int = 0) -> DataFrame:
@@ -54,7 +55,7 @@ def with_sample_counts(segments: DataFrame, samples: DataFrame, length: timedelt
     Samples are counted per grid slot first, so the join meets one row per slot.
     """
     slot = slot_start(us("ts"), length, origin)
-    counts = samples.groupBy("node", slot.alias("_slot")).agg(F.count("*").alias("n_samples"))
+    counts = per_key(samples.select("node", slot.alias("_slot")), ["node", "_slot"], F.count("*").alias("n_samples"))
     keyed = segments.withColumn("_slot", slot_start(us("seg_start"), length, origin))
     return (keyed.join(counts, ["node", "_slot"], "left").drop("_slot")
             .withColumn("n_samples", F.coalesce("n_samples", F.lit(0))))
