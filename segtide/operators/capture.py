@@ -15,7 +15,8 @@ from segtide.functions.times import HOUR, from_us, instant, is_ntz, micros, type
 from segtide.operators import ordered
 
 KEY = ["node"]
-ORDER = ["_us", "event_id"]
+TIE = "event_id"
+ORDER = ["_us", TIE]
 
 
 def xrun_flags(packets: DataFrame, gap: timedelta, width: timedelta | int = HOUR, **kw) -> DataFrame:
@@ -23,7 +24,7 @@ def xrun_flags(packets: DataFrame, gap: timedelta, width: timedelta | int = HOUR
 
     Only the first packet after a gap over the threshold is flagged.
     """
-    timed = ordered.with_previous_time(packets.withColumn("_us", us("ts")), KEY, "_us", ORDER, width, **kw)
+    timed = ordered.with_previous_time(packets.withColumn("_us", us("ts")), KEY, "_us", ORDER, width, tie=TIE, **kw)
     out = timed.withColumn("gap_us", F.col("_us") - F.col("prev_us"))
     return (out.drop("_us", "prev_us")
             .withColumn("xrun", F.coalesce(F.col("gap_us") > micros(gap), F.lit(False))))
@@ -35,7 +36,7 @@ def with_island(packets: DataFrame, gap: timedelta, width: timedelta | int = HOU
     A gap strictly over the threshold starts an island. Starts only grow along a stream, so the
     current one is a running maximum, carried from chunk to chunk like the packet count.
     """
-    c = ordered.chunk(packets.withColumn("_us", us("ts")), KEY, "_us", width, **kw)
+    c = ordered.chunk(packets.withColumn("_us", us("ts")), KEY, "_us", width, tie=TIE, **kw)
     c = ordered.attach(c, KEY, ordered.carry(
         c, KEY, {"_tail": F.max("_us"), "_rows": F.count("*")},
         before={"_before": F.max("_tail"), "_offset": F.sum("_rows")}))
@@ -79,7 +80,7 @@ def clock_fit(packets: DataFrame, gap: timedelta, **kw) -> DataFrame:
 def stall_report(packets: DataFrame, timeout: timedelta, now: datetime | Column,
                  width: timedelta | int = HOUR, **kw) -> DataFrame:
     """Packets followed by a silence over the timeout; ``open`` where it lasts until ``now``."""
-    timed = ordered.with_next_time(packets.withColumn("_us", us("ts")), KEY, "_us", ORDER, width, **kw)
+    timed = ordered.with_next_time(packets.withColumn("_us", us("ts")), KEY, "_us", ORDER, width, tie=TIE, **kw)
     end = F.coalesce("next_us", us(instant(now, type_of(packets, "ts"))))
     out = timed.withColumn("silent_us", end - F.col("_us")).withColumn("open", F.col("next_us").isNull())
     return out.where(F.col("silent_us") > micros(timeout)).drop("_us", "next_us")

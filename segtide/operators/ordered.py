@@ -6,8 +6,7 @@ the chunks before or after it, and windows run inside a chunk only.
 
 Key columns are replaced by never-null stand-ins while rows are chunked, and restored by
 ``unchunk``: rows without a key form a stream of their own, and both uses of the chunked data (the
-carried table and the windows) read one shuffle. Rows of one key at one microsecond always
-share a chunk.
+carried table and the windows) read one shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +22,9 @@ from pyspark.sql import types as T
 from segtide.functions.times import HOUR, micros, slot_number, slot_start
 
 FINE_SLOTS = 1 << 16  # a hot bucket is measured, and may be cut, at this many places
-NULL_BITS = 40        # the part number keeps which keys are null above this bit
+# A part number holds, from the low end: the part of a hot instant, the part of the bucket's
+# time, and which keys are null.
+TIME_BITS, NULL_BITS = 20, 40
 
 
 def _stands(keys: list[str]) -> list[str]:
@@ -42,14 +43,30 @@ def chunk_columns(keys: list[str]) -> list[str]:
     return [*_stands(keys), "_bucket", "_part"]
 
 
+def _full_slots(counts: DataFrame, group: list[str], max_rows: int) -> DataFrame:
+    """Of the counted slots (``_slot``, ``_n``) of a group: those at which a new part begins."""
+    in_order = W.partitionBy(*group).orderBy("_slot")  # at most FINE_SLOTS rows
+    filled = F.coalesce(F.sum("_n").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return (counts.withColumn("_p", F.call_function("div", filled, F.lit(max_rows)))
+            .withColumn("_new", F.col("_p") != F.lag("_p", 1, 0).over(in_order))
+            .where("_new").select(*group, "_slot"))
+
+
+def _passed(cuts: str, value: str) -> Column:
+    """How many cuts lie at or below a value; 0 where there are none."""
+    return F.when(F.col(cuts).isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col(value)))).cast("bigint")
+
+
 def chunk(df: DataFrame, keys: list[str], time_us: str, width: timedelta | int = HOUR,
-          max_rows: int = 5_000_000) -> DataFrame:
+          tie: str | None = None, max_rows: int = 5_000_000) -> DataFrame:
     """Cut every key's rows into ``_bucket`` (fixed width) and ``_part`` (where a bucket is hot).
 
-    A (key, bucket) with more than ``max_rows`` rows is cut so that each part holds about that
-    many. The cuts come from exact counts, so every evaluation finds the same ones. There are at
-    most 2 * rows / ``max_rows`` cuts of 8 bytes: that is all that is broadcast. Evenly spread
-    data has none, and then only the first count scans it.
+    A (key, bucket) with more than ``max_rows`` rows is cut in time so that each part holds about
+    that many. A single instant with more than that becomes parts of its own, cut by the whole
+    number ``tie``, which must follow the time in the order of the rows. The cuts come from exact
+    counts, so every evaluation finds the same ones. There are at most 4 * rows / ``max_rows``
+    cuts of 8 bytes: that is all that is broadcast. Evenly spread data has none, and then only
+    the first count scans it.
     """
     width = micros(width)
     fine = max(width // FINE_SLOTS, 1)
@@ -60,19 +77,30 @@ def chunk(df: DataFrame, keys: list[str], time_us: str, width: timedelta | int =
     rest = [F.col(c) for c in df.columns if c not in keys]
     slotted = df.select(*rest, *solid, nulls.cast("bigint").alias("_nulls"),
                         slot_number(F.col(time_us), width).alias("_bucket"))
+
     hot = slotted.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows).select(*group)
-    counts = (slotted.select(*group, slot_start(F.col(time_us), fine).alias("_slot"))
-              .join(F.broadcast(hot), group, "left_semi")
-              .groupBy(*group, "_slot").agg(F.count("*").alias("_n")))
-    by_slot = W.partitionBy(*group).orderBy("_slot")  # at most FINE_SLOTS rows
-    filled = F.sum("_n").over(by_slot.rowsBetween(W.unboundedPreceding, -1))
-    numbered = counts.withColumn("_p", F.call_function("div", F.coalesce(filled, F.lit(0)), F.lit(max_rows)))
-    cuts = (numbered.withColumn("_cut", F.col("_p") != F.lag("_p", 1, 0).over(by_slot)).where("_cut")
-            .groupBy(*group).agg(F.collect_list("_slot").alias("_cuts")))
-    part = F.when(F.col("_cuts").isNull(), 0).otherwise(
-        F.size(F.filter("_cuts", lambda c: c <= F.col(time_us))))
-    return (slotted.join(F.broadcast(cuts), group, "left")
-            .withColumn("_part", F.shiftleft("_nulls", NULL_BITS) + part).drop("_cuts", "_nulls"))
+    inside = slotted.select(*group, time_us, *([tie] if tie else [])).join(F.broadcast(hot), group, "left_semi")
+    counts = inside.groupBy(*group, slot_start(F.col(time_us), fine).alias("_slot")).agg(F.count("*").alias("_n"))
+    cuts = _full_slots(counts, group, max_rows)
+    if tie:
+        instant = [*group, time_us]
+        crowded = (inside.groupBy(*instant)
+                   .agg(F.count("*").alias("_n"), F.min(tie).alias("_low"), F.max(tie).alias("_high"))
+                   .where(F.col("_n") > max_rows).drop("_n"))
+        step = F.call_function("div", F.col("_high") - F.col("_low"), F.lit(FINE_SLOTS)) + 1
+        slot = F.col(tie) - F.pmod(F.col(tie) - F.col("_low"), step)
+        tied = (inside.join(F.broadcast(crowded), instant).groupBy(*instant, slot.alias("_slot"))
+                .agg(F.count("*").alias("_n")))
+        ties = _full_slots(tied, instant, max_rows).groupBy(*instant).agg(F.collect_list("_slot").alias("_ties"))
+        alone = F.explode(F.array(F.col(time_us), F.col(time_us) + 1)).alias("_slot")
+        cuts = cuts.unionByName(crowded.select(*group, alone))
+    cuts = cuts.groupBy(*group).agg(F.collect_set("_slot").alias("_cuts"))
+    out = slotted.join(F.broadcast(cuts), group, "left")
+    part = F.shiftleft("_nulls", NULL_BITS) + F.shiftleft(_passed("_cuts", time_us), TIME_BITS)
+    if tie:
+        out = out.join(F.broadcast(ties), instant, "left")
+        part = part + _passed("_ties", tie)
+    return out.withColumn("_part", part).drop("_cuts", "_ties", "_nulls")
 
 
 def unchunk(chunked: DataFrame, keys: list[str]) -> DataFrame:

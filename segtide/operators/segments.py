@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segtide.functions.times import HOUR, from_us, is_ntz, micros, us
 from segtide.operators import ordered
@@ -16,19 +17,23 @@ def asof_run(samples: DataFrame, runs: DataFrame, width: timedelta | int = HOUR,
     """Add ``run_start_us`` and ``run_id``: the node's newest run started at or before ``ts``.
 
     Run starts join the samples as rows of their own. The newest start so far is a running
-    maximum inside a time chunk; each chunk is handed the maximum of the earlier ones.
+    maximum inside a time chunk; each chunk is handed the maximum of the earlier ones. Samples
+    of one instant may be cut apart in any way, as long as a run that starts then comes first.
     """
-    starts = runs.select("node", us("started_at").alias("_us")).distinct().withColumn("_start", F.col("_us"))
-    both = (samples.withColumn("_us", us("ts")).withColumn("_sample", F.lit(True))
+    starts = (runs.select("node", us("started_at").alias("_us")).distinct()
+              .withColumn("_start", F.col("_us")).withColumn("_tie", F.lit(-1).cast("bigint")))
+    plain = [f.name for f in samples.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(1 << 40))
+    both = (samples.withColumn("_us", us("ts")).withColumn("_sample", F.lit(True)).withColumn("_tie", spread)
             .unionByName(starts, allowMissingColumns=True))
-    c = ordered.chunk(both, ["node"], "_us", width, **kw)
+    c = ordered.chunk(both, ["node"], "_us", width, tie="_tie", **kw)
     c = ordered.attach(c, ["node"], ordered.carry(
         c, ["node"], {"_newest": F.max("_start")}, before={"_before": F.max("_newest")}))
     so_far = ordered.chunk_window(["node"], "_us").rangeBetween(W.unboundedPreceding, 0)
     found = c.withColumn("run_start_us", F.coalesce(F.max("_start").over(so_far), F.col("_before")))
     return (ordered.unchunk(found.where("_sample"), ["node"])
             .withColumn("run_id", F.call_function("div", F.col("run_start_us"), F.lit(1_000_000)))
-            .drop("_us", "_start", "_sample", "_before"))
+            .drop("_us", "_start", "_sample", "_before", "_tie"))
 
 
 def cut_runs(tied: DataFrame, length: timedelta) -> DataFrame:

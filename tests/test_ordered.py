@@ -22,6 +22,8 @@ def make(seed: int, n: int = 600):
             node, t = 1, start + timedelta(microseconds=rnd.randrange(60_000_000))
         elif kind < 0.6:    # ties
             node, t = rnd.choice([1, 2]), start + timedelta(seconds=rnd.randrange(5))
+        elif kind < 0.65:   # one instant
+            node, t = 1, start + timedelta(seconds=30)
         elif kind < 0.7:    # no node
             node, t = None, start + timedelta(minutes=rnd.randrange(600))
         else:               # sparse, also before the epoch of the others
@@ -45,7 +47,7 @@ def same(a, b):
 def test_neighbours_and_ranks(packets, max_rows):
     timed = packets.withColumn("_us", us("ts"))
     w = W.partitionBy("node").orderBy("_us", "event_id")
-    kw = dict(keys=["node"], time_us="_us", order=["_us", "event_id"], max_rows=max_rows)
+    kw = dict(keys=["node"], time_us="_us", order=["_us", "event_id"], tie="event_id", max_rows=max_rows)
     pick = ["node", "event_id"]
     same(ordered.with_previous_time(timed, **kw).select(*pick, "prev_us"),
          timed.select(*pick, F.lag("_us").over(w).alias("prev_us")))
@@ -60,11 +62,11 @@ def test_neighbours_and_ranks(packets, max_rows):
 
 def test_hot_bucket_is_cut(packets):
     timed = packets.withColumn("_us", us("ts"))
-    parts = (ordered.chunk(timed, ["node"], "_us", max_rows=50)
+    parts = (ordered.chunk(timed, ["node"], "_us", tie="event_id", max_rows=10)
              .groupBy(*ordered.chunk_columns(["node"])).count())
-    assert parts.where("_part > 0 and _key_node = 1").count() > 1
-    # one instant is never split, so a part may pass the aim by its ties only
-    assert parts.agg(F.max("count")).first()[0] < 50 + 120
+    assert parts.where("_part > 0 and _key_node = 1").count() > 10
+    # a part ends with the slot (of time, or of ties) in which it became full
+    assert parts.agg(F.max("count")).first()[0] <= 20
 
 
 @pytest.mark.parametrize("max_rows", [7, 1_000_000])

@@ -149,7 +149,7 @@ class Tables:
     def items(self) -> DataFrame:
         """The files of each node as a play list in time order: a table of its own."""
         timed = self.catalog().withColumn("_us", us("file_time"))
-        ranked = with_rank(timed, ["node"], "_us", ["_us", "event_id"])
+        ranked = with_rank(timed, ["node"], "_us", ["_us", "event_id"], tie="event_id")
         path = shared_dir(self.spark, "items")
         ranked.select(F.col("node").alias("list_id"), F.col("rank").alias("pos"),
                       F.col("filepath").alias("file"), "duration_s").write.parquet(path)
