@@ -6,16 +6,22 @@ Spark partitions the work; a task turns one Arrow batch of arrays into bytes at
 from __future__ import annotations
 
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The canonical 44-byte header of a 16-bit PCM WAV file.
-HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
+HEADER = "<4sI4s4sIHHIIHH4sI"
+HEADER_SIZE = 44
 FULL_SCALE = 32767
+# Tasks get these functions with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FRAMES_SCHEMA = "path string, rate int, channels int, samples array<float>, error string"
 
 
@@ -24,22 +30,22 @@ def _encode(samples: np.ndarray, rate: int, channels: int) -> bytes:
     scaled = np.floor(np.asarray(samples, dtype="float64") * FULL_SCALE + 0.5)
     body = np.clip(scaled, -FULL_SCALE - 1, FULL_SCALE).astype("<i2").tobytes()
     width = 2 * channels
-    head = HEADER.pack(b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * width,
+    head = struct.pack(HEADER, b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * width,
                        width, 16, b"data", len(body))
     return head + body
 
 
 def _decode(content: bytes) -> tuple[int, int, np.ndarray]:
-    if len(content) < HEADER.size:
+    if len(content) < HEADER_SIZE:
         raise ValueError("shorter than a header")
-    riff, _, wave, fmt, _, codec, channels, rate, _, _, bits, data, size = HEADER.unpack_from(content)
+    riff, _, wave, fmt, _, codec, channels, rate, _, _, bits, data, size = struct.unpack_from(HEADER, content)
     if (riff, wave, fmt, data) != (b"RIFF", b"WAVE", b"fmt ", b"data"):
         raise ValueError("not a canonical WAV file")
     if codec != 1 or bits != 16 or channels < 1 or rate < 1:
         raise ValueError("not 16-bit PCM")
-    if size != len(content) - HEADER.size or size % (2 * channels):
+    if size != len(content) - HEADER_SIZE or size % (2 * channels):
         raise ValueError("cut short")
-    body = np.frombuffer(content, dtype="<i2", offset=HEADER.size)
+    body = np.frombuffer(content, dtype="<i2", offset=HEADER_SIZE)
     return rate, channels, (body / np.float64(FULL_SCALE)).astype("float32")
 
 

@@ -169,9 +169,9 @@ _HEAD = (b"RIFF".hex() + _le32(36 + 128) + b"WAVEfmt ".hex() + _le32(16) + "0100
 STATE = """CASE WHEN epoch_us({now}) - epoch_us(file_time) - 86400000000 > duration_s * 1000000 THEN 'expired'
     WHEN epoch_us({now}) - epoch_us(file_time) - 86400000000 > 0 THEN 'playing' ELSE 'pending' END"""
 ELIGIBLE = f"file_time > {NOW} - INTERVAL 24 HOUR AND file_time < {NOW} - INTERVAL 18 HOUR"
-COUNTERS = f"""count(*) AS listed, count_if({ELIGIBLE}) AS to_convert,
-    count_if({STATE.format(now=NOW)} = 'playing') AS played,
-    count_if({STATE.format(now=NOW)} IN ('playing', 'expired')) AS deleted"""
+COUNTERS = f"""count(*) AS listed, count(*) FILTER ({ELIGIBLE}) AS to_convert,
+    count(*) FILTER ({STATE.format(now=NOW)} = 'playing') AS played,
+    count(*) FILTER ({STATE.format(now=NOW)} IN ('playing', 'expired')) AS deleted"""
 CUT = """SELECT node, run_id, seg_index, count(*) AS n_samples, min(ts) AS first_ts, max(ts) AS last_ts,
     make_timestamp(run_us + seg_index * {w}) AS seg_start
     FROM (SELECT *, (epoch_us(ts) - run_us) // {w} AS seg_index FROM {src} WHERE run_us IS NOT NULL) c
@@ -332,9 +332,9 @@ ORACLES: dict[str, str] = {
         FROM moved m WHERE event_id IN (SELECT event_id FROM finished)""", "moved", "finished"),
     "stream_counters": sql(f"SELECT {COUNTERS} FROM catalog", "catalog"),
 
-    "delayed_playout": sql(f"""SELECT node, count(*) AS selected, count_if(state = 'expired') AS expired,
-        count_if(state = 'playing') AS playing, count_if(state = 'pending') AS pending,
-        count_if(state <> 'pending') AS deleted, count_if(shared > 1) AS collisions FROM (
+    "delayed_playout": sql(f"""SELECT node, count(*) AS selected, count(*) FILTER (state = 'expired') AS expired,
+        count(*) FILTER (state = 'playing') AS playing, count(*) FILTER (state = 'pending') AS pending,
+        count(*) FILTER (state <> 'pending') AS deleted, count(*) FILTER (shared > 1) AS collisions FROM (
         SELECT *, {STATE.format(now=NOW + " + INTERVAL 3 HOUR")} AS state,
           count(*) OVER (PARTITION BY left(filepath, length(filepath) - 12)) AS shared FROM timed
         WHERE {ELIGIBLE} AND filepath NOT IN (SELECT filepath FROM done)) s GROUP BY node""", "timed", "done"),
