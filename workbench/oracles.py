@@ -278,7 +278,7 @@ ORACLES: dict[str, str] = {
           SELECT node, epoch_us(ts) AS us, avg(value) AS v FROM samples GROUP BY ALL) p
           WINDOW w AS (PARTITION BY node ORDER BY us)) q) r""", "samples"),
     "gap_fill": sql("""SELECT g.node, g.segment, make_timestamp(g.slot) AS slot,
-        round(coalesce(s.v - sum(s.total) OVER w / sum(s.n) OVER w, 0), 6) AS value FROM (
+        round(coalesce(s.v - sum(s.total) OVER w / sum(s.n) OVER w, 0), 9) AS value FROM (
         SELECT node, seg_start AS segment, unnest(range(epoch_us(seg_start), epoch_us(seg_end), 600000000)) AS slot
         FROM segments) g LEFT JOIN (SELECT node, (epoch_us(ts) // 600000000) * 600000000 AS slot, avg(value) AS v,
         sum(value) AS total, count(*) AS n FROM samples GROUP BY ALL) s ON g.node = s.node AND g.slot = s.slot
@@ -290,7 +290,7 @@ ORACLES: dict[str, str] = {
     "xrun_flags": sql(f"SELECT event_id, node, gap_us, coalesce(gap_us > {H // 2}, false) AS xrun FROM gaps", "gaps"),
     "reset_islands": sql("SELECT node, first_ts, last_ts, n_packets FROM islands", "islands"),
     "clock_fit": sql("""SELECT node, min(ts) AS first_ts, count(*) AS n_packets, CASE WHEN count(*) > 1 THEN round(regr_slope(y, k), 8) END AS slope,
-        round(regr_intercept(y, k), 8) AS intercept, CASE WHEN count(*) > 1 THEN round(regr_r2(y, k), 8) END AS r2 FROM (SELECT *,
+        round(regr_intercept(y, k), 7) AS intercept, CASE WHEN count(*) > 1 THEN round(regr_r2(y, k), 8) END AS r2 FROM (SELECT *,
         (row_number() OVER (PARTITION BY node, island ORDER BY ts, event_id) - 1)::DOUBLE AS k,
         (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY node, island))) / 1000000 AS y FROM marked) m
         GROUP BY node, island""", "marked"),

@@ -348,7 +348,8 @@ def resample_up(t: Tables) -> DataFrame:
 
 @query
 def gap_fill(t: Tables) -> DataFrame:
-    return resample.gap_fill(t.samples(), t.segments(), tb.STEP_UP).select("node", "segment", "slot", r6("value"))
+    return resample.gap_fill(t.samples(), t.segments(), tb.STEP_UP).select(
+        "node", "segment", "slot", F.round("value", 9).alias("value"))
 
 
 # Windows
@@ -375,8 +376,8 @@ def reset_islands(t: Tables) -> DataFrame:
 
 @query
 def clock_fit(t: Tables) -> DataFrame:
-    # microsecond times put many slopes on a tie in the sixth place, so eight are kept
-    figures = [F.round(c, 8).alias(c) for c in ("slope", "intercept", "r2")]
+    # microsecond times put many slopes on a tie in the sixth place, so more are kept
+    figures = [F.round(c, n).alias(c) for c, n in (("slope", 8), ("intercept", 7), ("r2", 8))]
     return capture.clock_fit(t.samples(), tb.GAP).select("node", "first_ts", "n_packets", *figures)
 
 
