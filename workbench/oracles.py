@@ -289,8 +289,8 @@ ORACLES: dict[str, str] = {
                           "samples"),
     "xrun_flags": sql(f"SELECT event_id, node, gap_us, coalesce(gap_us > {H // 2}, false) AS xrun FROM gaps", "gaps"),
     "reset_islands": sql("SELECT node, first_ts, last_ts, n_packets FROM islands", "islands"),
-    "clock_fit": sql("""SELECT node, min(ts) AS first_ts, count(*) AS n_packets, CASE WHEN count(*) > 1 THEN round(regr_slope(y, k), 8) END AS slope,
-        round(regr_intercept(y, k), 7) AS intercept, CASE WHEN count(*) > 1 THEN round(regr_r2(y, k), 8) END AS r2 FROM (SELECT *,
+    "clock_fit": sql("""SELECT node, min(ts) AS first_ts, count(*) AS n_packets, CASE WHEN count(*) > 100 THEN round(regr_slope(y, k), 6) WHEN count(*) > 1 THEN round(regr_slope(y, k), 8) END AS slope,
+        CASE WHEN count(*) > 100 THEN round(regr_intercept(y, k), 6) ELSE round(regr_intercept(y, k), 8) END AS intercept, CASE WHEN count(*) > 1 THEN round(regr_r2(y, k), 8) END AS r2 FROM (SELECT *,
         (row_number() OVER (PARTITION BY node, island ORDER BY ts, event_id) - 1)::DOUBLE AS k,
         (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY node, island))) / 1000000 AS y FROM marked) m
         GROUP BY node, island""", "marked"),

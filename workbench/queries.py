@@ -376,9 +376,13 @@ def reset_islands(t: Tables) -> DataFrame:
 
 @query
 def clock_fit(t: Tables) -> DataFrame:
-    # microsecond times put many slopes on a tie in the sixth place, so more are kept
-    figures = [F.round(c, n).alias(c) for c, n in (("slope", 8), ("intercept", 7), ("r2", 8))]
-    return capture.clock_fit(t.samples(), tb.GAP).select("node", "first_ts", "n_packets", *figures)
+    # times in microseconds put many figures of short islands on a tie in the sixth place, and long
+    # islands are only that exact
+    def figure(c: str) -> Column:
+        return F.when(F.col("n_packets") > 100, F.round(c, 6)).otherwise(F.round(c, 8)).alias(c)
+
+    return capture.clock_fit(t.samples(), tb.GAP).select(
+        "node", "first_ts", "n_packets", figure("slope"), figure("intercept"), F.round("r2", 8).alias("r2"))
 
 
 @query
