@@ -2,9 +2,21 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from __spark_entry__ import oracle_sql as every_oracle
+from __spark_entry__ import queries as every_query
 from tests.conftest import SF_DIR
 from workbench.compare import compare, connect
+from workbench.oracles import ORACLES
+from workbench.queries import QUERIES
+
+
+def queries():
+    return {n: every_query()[n] for n in QUERIES}
+
+
+def oracle_sql():
+    return {n: every_oracle()[n] for n in ORACLES}
 
 
 @pytest.fixture(scope="module")
