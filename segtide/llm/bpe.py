@@ -99,7 +99,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
                                  binary_pieces(tokens, ends * 4)], names=["doc_id", "n_tokens", "ids"]))
         return pa.concat_tables(out) if out else pa.table(
             {"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()),
-             "ids": pa.array([], pa.large_binary())})
+             "ids": pa.array([], pa.binary())})
 
     held = blocks.select("block", "doc_ids", "lengths", "picks")
     return held.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(

@@ -82,10 +82,10 @@ def ragged_take(flat: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tup
 
 
 def binary_pieces(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Consecutive pieces of a byte array as Arrow binaries, without a Python object for each."""
+    """Consecutive pieces of a byte array (below 2 GB) as Arrow binaries, without a Python object for each."""
     flat = np.ascontiguousarray(flat).view(np.uint8)
-    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1,
-                                 [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(flat)])
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
+                                 [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
 
 
 def documents_in(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list[str]]]:
