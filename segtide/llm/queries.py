@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bpe, counts, langid, rules, warc
+from segtide.llm import bitplanes, bpe, counts, langid, rules, warc
 from segtide.session import shared_dir
 
 
@@ -48,12 +48,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "token_files")
+    bitplanes.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return bitplanes.digest(bitplanes.read_token_files(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES: dict[str, str] = {}
