@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bitplanes, bpe, counts, langid, rules, warc
+from segtide.llm import bitplanes, bpe, counts, langid, rules, superminhash, warc
 from segtide.session import shared_dir
 
 
@@ -34,6 +34,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
+    "op5_near_dedup": op5_near_dedup,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
