@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bitplanes, bpe, counts, langid, rules, superminhash, warc
+from segtide.llm import bitplanes, bpe, counts, crf, langid, rules, superminhash, warc
 from segtide.session import shared_dir
 
 
@@ -58,6 +58,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.digest(bitplanes.read_token_files(spark, path))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.digest(crf.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc": op3_warc,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
