@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from segtide.llm.tables import binary_pieces, one_thread, ragged_take, ship, starts, unpack
-from segtide.llm.words import BLOCK_CHARS, once_per_word, word_blocks
+from segtide.llm.words import BLOCK_CHARS, once_per_word, values_in_order, word_blocks
 
 #: White space of the pattern language (the Unicode property), as text.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -33,7 +33,7 @@ def _splitter(pattern: str):
     pieces_of = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
 
     def open_block():
-        known: dict[str, list[int]] = {}
+        known: dict[str, tuple[int, ...]] = {}
 
         def split(text: str, seen) -> list[int]:
             if not text:
@@ -47,7 +47,7 @@ def _splitter(pattern: str):
             for piece in pieces:
                 numbers = known.get(piece)
                 if numbers is None:
-                    known[piece] = numbers = [seen[m.encode()] for m in match(piece)]
+                    known[piece] = numbers = tuple([seen[m.encode()] for m in match(piece)])
                 out += numbers
             return out
 
@@ -77,22 +77,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
     """
     blocks = word_blocks(docs, "bpe_encode", _splitter(pattern), block_chars=block_chars)
 
+    with open(ranks_path, "rb") as lines:
+        wide = max((int(x.split()[1]) for x in lines if x.strip()), default=0) > 0xFFFF
+    stored = "<u4" if wide else "<u2"
+
     def encode_words(words: list[bytes]) -> list[bytes]:
         one = _encoding(ranks_path, pattern).encode_ordinary
-        return [np.array(one(w.decode()), dtype="<u4").tobytes() for w in words]
+        return [np.array(one(w.decode()), dtype=stored).tobytes() for w in words]
 
-    ids = once_per_word(blocks, "block bigint, idx int, value binary", encode_words)
+    ids = once_per_word(blocks, encode_words)
 
     def put_together(docs_of: pa.Table, ids_of: pa.Table) -> pa.Table:
         out = []
-        values = ids_of.column("value").combine_chunks().cast(pa.large_binary())
-        values = values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
-        order = np.argsort(ids_of.column("idx").to_numpy())
-        values = values.take(pa.array(order))
+        flat, offsets = values_in_order(ids_of.column("value"))
+        flat, offsets = flat.view(stored).astype("<u4"), offsets // np.dtype(stored).itemsize
         for row in docs_of.to_pylist():
-            ends = np.frombuffer(values.buffers()[1], np.int64)[:len(values) + 1] // 4
-            flat = np.frombuffer(values.buffers()[2] or b"", "<u4")
-            tokens, lengths = ragged_take(flat, ends, unpack(row["picks"]))
+            tokens, lengths = ragged_take(flat, offsets, unpack(row["picks"]))
             per_word = starts(lengths)
             ends = per_word[starts(np.array(row["lengths"], dtype=np.int64))]
             out.append(pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(ends)),

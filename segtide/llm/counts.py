@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from segtide.llm.tables import one_thread, starts, unpack
-from segtide.llm.words import BLOCK_CHARS, once_per_word, word_blocks
+from segtide.llm.words import BLOCK_CHARS, once_per_word, values_in_order, word_blocks
 
 
 def _split_on_space():
@@ -40,17 +40,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, block_
     """
     blocks = word_blocks(docs, "token_counts", _split_on_space, frequencies=True, block_chars=block_chars)
 
-    def count_pieces(words: list[bytes]) -> list[int]:
+    def count_pieces(words: list[bytes]) -> list[bytes]:
         encoded = _json_tokenizer(tokenizer_path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [len(e) for e in encoded]
+        return [len(e).to_bytes(4, "little") for e in encoded]
 
-    pieces = once_per_word(blocks, "block bigint, idx int, value bigint", count_pieces)
+    pieces = once_per_word(blocks, count_pieces)
 
     def total(docs_of: pa.Table, pieces_of: pa.Table) -> pa.Table:
         out = []
+        per_word = values_in_order(pieces_of.column("value"))[0].view("<u4").astype(np.int64)
         for row in docs_of.to_pylist():
-            per_word = np.zeros(pieces_of.num_rows, dtype=np.int64)
-            per_word[pieces_of.column("idx").to_numpy()] = pieces_of.column("value").to_numpy()
             ends = starts(np.array(row["lengths"], dtype=np.int64))
             sums = starts(per_word[unpack(row["picks"])] * unpack(row["times"]))
             tokens = sums[ends[1:]] - sums[ends[:-1]]

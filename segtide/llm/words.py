@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from segtide.llm.tables import documents_in, pack, ship, shuffle_partitions, write_bucketed
 
 BLOCK_CHARS = 32_000_000  # text of one block; a longer document is a block of its own
+# A word's place is one number: task, block of the task, place in the block.
+NUMBER_BITS, IDX_BITS = 14, 28
 
 BLOCKS = ("block bigint, doc_ids array<bigint>, lengths array<bigint>, n_bytes array<bigint>, "
           "picks binary, times binary, words array<binary>")
@@ -37,20 +39,29 @@ def word_blocks(docs: DataFrame, label: str, splitter: Callable[[], Callable], f
     how often each occurs (``times``), else every word in order.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
+        part = TaskContext.get().partitionId() << NUMBER_BITS
         for number, (ids, texts) in enumerate(documents_in(batches, block_chars)):
+            if number >> NUMBER_BITS:
+                raise ValueError("too many blocks in one task: read the documents in smaller splits")
             seen: defaultdict = defaultdict(count().__next__)
-            split = splitter()
-            picks = [np.asarray(split(text, seen), dtype=np.uint32) for text in texts]
+            split, picks, n_bytes = splitter(), [], []
+            for i, text in enumerate(texts):
+                picks.append(np.asarray(split(text, seen), dtype=np.uint32))
+                n_bytes.append(len(text.encode()))
+                texts[i] = ""  # its words are enough
+            del split
+            if len(seen) >> IDX_BITS:
+                raise ValueError("too many distinct words in one document")
             lengths = np.array([len(p) for p in picks], dtype=np.int64)
             flat, times = np.concatenate(picks), b""
+            del picks
             if frequencies:
                 keys, n = np.unique(np.repeat(np.arange(len(ids)), lengths) * len(seen) + flat, return_counts=True)
                 lengths = np.bincount(keys // max(len(seen), 1), minlength=len(ids))
                 flat, times = keys % max(len(seen), 1), pack(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part + number]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tolist()]),
-                 pa.array([[len(text.encode()) for text in texts]], pa.list_(pa.int64())), pa.array([pack(flat)]),
+                [pa.array([part + number]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64())),
+                 pa.array([n_bytes], pa.list_(pa.int64())), pa.array([pack(flat)]),
                  pa.array([times]), pa.array([list(seen)], pa.list_(pa.binary()))],
                 names=["block", "doc_ids", "lengths", "n_bytes", "picks", "times", "words"])
 
@@ -59,13 +70,15 @@ def word_blocks(docs: DataFrame, label: str, splitter: Callable[[], Callable], f
     return write_bucketed(blocks, label, "block", shuffle_partitions(docs))
 
 
-def once_per_word(blocks: DataFrame, schema: str, work: Callable[[list[bytes]], list]) -> DataFrame:
-    """(block, idx, value): ``work`` runs once on each distinct word of all blocks together."""
+def once_per_word(blocks: DataFrame, work: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """(block, value): ``work`` runs once on each distinct word of all blocks together; each value begins with the
+    word's place in its block, as four bytes (``values_in_order`` puts them in order)."""
     words = blocks.select("block", F.posexplode("words").alias("idx", "word"))
+    words = words.select((F.shiftleft("block", IDX_BITS) + F.col("idx")).alias("at"), "word")
     words = words.repartition(shuffle_partitions(blocks), "word").sortWithinPartitions("word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, held = None, b""
         for batch in batches:
             word = batch.column("word").dictionary_encode()
             distinct = word.dictionary.to_pylist()
@@ -74,8 +87,31 @@ def once_per_word(blocks: DataFrame, schema: str, work: Callable[[list[bytes]],
             known = distinct[0] == last  # copies of a word may go on in the next batch
             values = ([held] if known else []) + work(distinct[1:] if known else distinct)
             last, held = distinct[-1], values[-1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("idx"), pa.array(values).take(word.indices)],
-                names=["block", "idx", "value"])
+            at = batch.column("at").to_numpy()
+            places = (at & ((1 << IDX_BITS) - 1)).astype("<u4")
+            flat = places.tobytes()
+            joined = [flat[4 * i:4 * i + 4] + values[k] for i, k in enumerate(word.indices.to_numpy())]
+            yield pa.RecordBatch.from_arrays([pa.array(at >> IDX_BITS), pa.array(joined, pa.binary())], names=["block", "value"])
+
+    return words.mapInArrow(run, "block bigint, value binary")
+
 
-    return words.mapInArrow(run, schema)
+def values_in_order(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``work`` made of a block's words, in the words' order: all bytes in a row, and where each begins."""
+    parts = [c for c in column.chunks if len(c)]
+    flat, offsets, base = [], [], 0
+    for c in parts:
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset:c.offset + len(c) + 1].astype(np.int64)
+        flat.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0]:ends[-1]])
+        offsets.append(ends[:-1] - ends[0] + base)
+        base += ends[-1] - ends[0]
+    if not parts:
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    data, begins = np.concatenate(flat), np.concatenate([*offsets, [base]])
+    places = sum(data[begins[:-1] + i].astype(np.int64) << (8 * i) for i in range(4))
+    order = np.argsort(places)
+    body = np.stack([begins[:-1] + 4, begins[1:]])[:, order]
+    lengths = body[1] - body[0]
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1], dtype=np.int64) + np.repeat(body[0] - ends + lengths, lengths)
+    return data[at], np.concatenate([[0], ends])
