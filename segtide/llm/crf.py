@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from segtide.llm.tables import ship
 
@@ -322,14 +323,16 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """``doc_id, spans, redacted`` of every whole text; spans are (kind, start, end, base) in code points, ends exclusive, by kind
-    (email, ip, card, phone) and start. ``redacted`` is the text with every span as ``[KIND]``.
+    """Add ``spans, redacted`` to every row; spans are (kind, start, end, base) of the whole text in code points, ends
+    exclusive, by kind (email, ip, card, phone) and start. ``redacted`` is the text with every span as ``[KIND]``.
 
     Fixed patterns give the spans marked ``base``; the field adds others that hold what their kind needs (an
-    address in full, the card's check digit, 9 to 15 digits) and touch no fixed one. One row for each input row; a null text has no
-    spans and stays null, null ids stay null, other columns are ignored.
+    address in full, the card's check digit, 9 to 15 digits) and touch no fixed one. A null text has no spans and
+    stays null; rows stay as they are, repeated ones and null ids too; columns of the new names are replaced.
     """
     ship(docs)
+    docs = docs.drop("spans", "redacted")
+    text_at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(field or train())
 
     def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
@@ -347,15 +350,15 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                texts = part.column(1).to_pylist()
+                texts = part.column(text_at).to_pylist()
                 found = find_all([t or "" for t in texts], model)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([[dict(zip(("kind", "start", "end", "base"), s)) for s in f] for f in found], _SPANS),
+                    [*part.columns, pa.array([[dict(zip(("kind", "start", "end", "base"), s)) for s in f] for f in found], _SPANS),
                      pa.array([t if not f else redact(t, f) for t, f in zip(texts, found)], pa.string())],
-                    names=["doc_id", "spans", "redacted"])
+                    names=[*part.schema.names, "spans", "redacted"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        work, f"doc_id bigint, spans {SPANS}, redacted string")
+    new = StructType.fromDDL(f"spans {SPANS}, redacted string")
+    return docs.mapInArrow(work, StructType([*docs.schema, *new]))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from segtide.llm.tables import documents_in, ship
+from segtide.llm.tables import ship
 
 BUCKETS = 4096  # hashed n-grams of three bytes
 CHUNK = 1 << 20
@@ -116,33 +117,40 @@ def train(docs: DataFrame, max_rows: int = 4000, max_languages: int = 500, steps
     return Model(names, code, _fit(x, code[label].astype(np.float32), share.astype(np.float32), steps))
 
 
+RESULT = ["lang_pred", "score", "ambiguous", "runner_up_score"]
+
+
 def identify(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.6) -> DataFrame:
-    """Language of every whole text: ``doc_id, lang_pred, score, ambiguous, runner_up_score``.
+    """Add ``lang_pred, score, ambiguous, runner_up_score`` to every row, from its whole text.
 
     ``lang_pred`` is ``und`` (score 0) for a null text, a text without a letter, or without a model; ``ambiguous`` marks
-    results whose codeword is not clearly nearest (score below ``ambiguous_below``). One row for each input row, null ids stay null, other
-    columns are ignored.
+    results whose codeword is not clearly nearest (score below ``ambiguous_below``). Rows stay as they are, repeated ones and
+    null ids too; columns that have one of the new names are replaced.
     """
     ship(docs)
+    docs = docs.drop(*RESULT)
+    text_at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_languages and BUCKETS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         letter = regex.compile(r"\p{L}").search
         known = shared.value
-        for all_ids, all_texts in documents_in(batches, 8_000_000):
-            for low in range(0, len(all_ids), 512):
-                ids, texts = all_ids[low:low + 512], all_texts[low:low + 512]
-                names, scores, seconds = [UNDETERMINED] * len(ids), np.zeros(len(ids)), np.zeros(len(ids))
-                good = [i for i, t in enumerate(texts) if known is not None and letter(t)]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                texts = part.column(text_at).to_pylist()
+                names, scores, seconds = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+                good = [i for i, t in enumerate(texts) if known is not None and t and letter(t)]
                 if good:
                     best, top, second = known.decode(np.stack([features(texts[i]) for i in good]))
                     for i, b in zip(good, best):
                         names[i] = known.languages[b]
                     scores[good], seconds[good] = top, second
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(names), pa.array(scores), pa.array(scores < ambiguous_below),
-                     pa.array(seconds)], names=["doc_id", "lang_pred", "score", "ambiguous", "runner_up_score"])
+                    [*part.columns, pa.array(names), pa.array(scores), pa.array(scores < ambiguous_below), pa.array(seconds)],
+                    names=[*part.schema.names, *RESULT])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        work, "doc_id bigint, lang_pred string, score double, ambiguous boolean, runner_up_score double")
+    new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType()),
+           StructField("runner_up_score", DoubleType())]
+    return docs.mapInArrow(work, StructType([*docs.schema, *new]))
