@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bitplanes, bpe, counts, crf, decontam, langid, rules, superminhash, warc
+from segtide.llm import bitplanes, bpe, counts, crf, decontam, langid, rules, suffix, superminhash, warc
 from segtide.session import shared_dir
 
 
@@ -42,6 +42,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op5_near_dedup": op5_near_dedup,
+    "op6_repeated_strings": op6_repeated_strings,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
