@@ -104,8 +104,10 @@ def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
 
 
 def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
+    if not n:
+        return np.empty(0, "<u4")
     unpack = zstandard.ZstdDecompressor().decompress
-    rows = np.stack([np.frombuffer(unpack(p), np.uint8) for p in planes]) if n else np.empty((4, 0), np.uint8)
+    rows = np.stack([np.frombuffer(unpack(p), np.uint8) for p in planes])
     if kind == "bit":
         rows = np.packbits(np.unpackbits(rows, axis=1, bitorder="little")[:, :n].T, axis=1, bitorder="little").T
     return np.ascontiguousarray(rows.T).view("<u4").ravel()
