@@ -18,8 +18,6 @@ from segtide.functions.times import HOUR, instant, micros, type_of, us
 from segtide.operators import ordered
 from segtide.operators.keys import per_key
 
-GROUP_LIMIT = 1000  # row_number limits up to this size are cut down before the shuffle
-
 
 def build_catalog(names: DataFrame, prefix: str, postfix: str) -> tuple[DataFrame, DataFrame]:
     """Split rows with a ``filepath`` into catalogue rows and a quarantine of unreadable names."""
@@ -77,42 +75,41 @@ def run_counters(files: DataFrame, now: datetime | Column, delay: timedelta, seg
 def conversion_order(files: DataFrame, n: int, tie: str = "filepath") -> DataFrame:
     """The first ``n`` files of every node in time order, with their ``rank``.
 
-    Small limits are cut down in every task before the shuffle (window group limit); larger
-    ones use ranks carried over time chunks, so a long node is never ranked in one task.
+    Every task cuts a node down to ``n`` rows before the shuffle (window group limit, which ``configure``
+    allows for any ``n``), so what meets in one task is bounded by ``n`` and the number of tasks.
     """
-    if n <= GROUP_LIMIT:
-        order = W.partitionBy("node").orderBy("file_time", tie)
-        return files.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n)
-    timed = files.withColumn("_us", us("file_time"))
-    ranked = ordered.with_rank(timed, ["node"], "_us", ["_us", tie])
-    return ranked.where(F.col("rank") <= n).drop("_us")
+    order = W.partitionBy("node").orderBy("file_time", tie)
+    return files.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n)
 
 
 def next_available(files: DataFrame, ticks: DataFrame, done: DataFrame, delay: timedelta,
-                   segment: timedelta, width: timedelta | int = HOUR) -> DataFrame:
+                   segment: timedelta, width: timedelta | int = HOUR, by: list[str] | None = None) -> DataFrame:
     """For every tick without an eligible file: the earliest file not yet too old, and the wait.
 
+    With ``by`` (columns of both files and ticks, such as the node) every key is asked for by itself.
     Files in the ledger are not eligible, but the earliest file is looked up among all of them,
     so the wait can be negative. Both look-ups are forward as-of searches. Only distinct file
     times matter, so copies are merged first; ticks and times then meet in time chunks, and
     each chunk is handed the first time of the chunks after it.
     """
-    flagged = files.select("file_time", "filepath").distinct().join(
+    by = by or []
+    flagged = files.select(*by, "file_time", "filepath").distinct().join(
         per_key(done, ["filepath"]).withColumn("_done", F.lit(True)), "filepath", "left")
-    times = (flagged.groupBy(us("file_time").alias("_us"))
+    times = (flagged.groupBy(*by, us("file_time").alias("_us"))
              .agg(F.min(F.coalesce("_done", F.lit(False))).alias("_all_done"))
-             .select("_us", F.col("_us").alias("_any"), F.when(~F.col("_all_done"), F.col("_us")).alias("_open")))
-    asked = ticks.select("tick", (us("tick") - micros(delay)).alias("_us"))
+             .select(*by, "_us", F.col("_us").alias("_any"), F.when(~F.col("_all_done"), F.col("_us")).alias("_open")))
+    asked = ticks.select(*by, "tick", (us("tick") - micros(delay)).alias("_us"))
     both = asked.unionByName(times, allowMissingColumns=True)
-    c = ordered.chunk(both, [], "_us", width)
-    carried = ordered.carry(c, [], {"_a": F.min("_any"), "_o": F.min("_open")},
+    c = ordered.chunk(both, by, "_us", width)
+    carried = ordered.carry(c, by, {"_a": F.min("_any"), "_o": F.min("_open")},
                             after={"_later_any": F.min("_a"), "_later_open": F.min("_o")})
-    c = ordered.attach(c, [], carried)
+    c = ordered.attach(c, by, carried)
     # strictly later times only; descending, so that the frame grows
-    ahead = ordered.chunk_window([], F.desc("_us")).rangeBetween(W.unboundedPreceding, -1)
+    ahead = ordered.chunk_window(by, F.desc("_us")).rangeBetween(W.unboundedPreceding, -1)
     found = (c.withColumn("_next", F.coalesce(F.min("_any").over(ahead), F.col("_later_any")))
              .withColumn("_next_open", F.coalesce(F.min("_open").over(ahead), F.col("_later_open")))
              .where("tick is not null"))
+    found = ordered.unchunk(found, by)
     newest = us("tick") - micros(delay - segment)
     idle = found.where(F.col("_next_open").isNull() | (F.col("_next_open") >= newest))
-    return idle.select("tick", F.col("_next").alias("next_us"), (F.col("_next") - newest).alias("wait_us"))
+    return idle.select(*by, "tick", F.col("_next").alias("next_us"), (F.col("_next") - newest).alias("wait_us"))

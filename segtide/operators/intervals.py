@@ -29,8 +29,8 @@ def _bucket(time_us: Column, level: Column, base: int) -> Column:
 
 
 def stab_join(intervals: DataFrame, points: DataFrame, start_us: str, end_us: str, point_us: str,
-              base: int = BASE) -> DataFrame:
-    """Pairs with ``start < point <= end``.
+              base: int = BASE, keys: dict[str, str] | None = None) -> DataFrame:
+    """Pairs with ``start < point <= end`` and, where ``keys`` are given, equal keys (interval's to point's).
 
     An interval goes to the bucket width that suits its length and is repeated for the few
     buckets it touches, whatever its length; a point is repeated once per level. The exact test
@@ -42,6 +42,10 @@ def stab_join(intervals: DataFrame, points: DataFrame, start_us: str, end_us: st
                                                           _bucket(F.col(end_us), F.col("_level"), base)))))
     asked = (points.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(LEVELS)])))
              .withColumn("_bucket", _bucket(F.col(point_us), F.col("_level"), base)))
-    return (spread.join(asked, ["_level", "_bucket"])
+    spread, asked = spread.withColumnRenamed("_level", "_at").withColumnRenamed("_bucket", "_in"), asked
+    on = (F.col("_at") == F.col("_level")) & (F.col("_in") == F.col("_bucket"))
+    for mine, other in (keys or {}).items():
+        on = on & (F.col(mine) == F.col(other))
+    return (spread.join(asked, on).drop("_at", "_in")
             .where((F.col(point_us) > F.col(start_us)) & (F.col(point_us) <= F.col(end_us)))
             .drop("_level", "_bucket"))

@@ -54,10 +54,16 @@ def build_playlist(segments: DataFrame, by: list[str]) -> DataFrame:
 def append_playlist(playlists: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
     """Drop the end line of each text, add the lines of new segments, end it again.
 
-    Groups without a text yet get a new playlist; groups without new segments stay as they are.
+    Segments whose name is in the text already are not added again, and the target length rises with the
+    longest new one. Groups without a text yet get a new playlist; groups without new segments stay as they are.
     """
+    listed = playlists.select(*by, F.explode(F.split("body", "\n")).alias("ts_name"))
+    segments = segments.join(listed.where(~F.startswith("ts_name", F.lit("#"))), [*by, "ts_name"], "left_anti")
     lines = F.split("body", "\n")
     kept = F.array_join(F.slice(lines, 1, F.size(lines) - 1), "\n")
+    told = F.regexp_extract("body", TARGET + "([0-9]+)", 1)
+    kept = F.regexp_replace(kept, F.lit(TARGET + "[0-9]+"), F.concat(F.lit(TARGET), F.greatest(
+        F.try_to_number(told, F.lit("9999999999")).cast("bigint"), F.ceil("longest")).cast("string")))
     grown = F.concat_ws("\n", kept, F.col("lines"), F.lit(END))
     body = (F.when(F.col("body").isNull(), _body(F.col("lines"), F.col("longest")))
             .when(F.col("lines").isNull(), F.col("body")).otherwise(grown))

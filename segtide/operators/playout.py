@@ -40,9 +40,10 @@ def concat_timeline(items: DataFrame, width: int = 1 << 20) -> DataFrame:
 def loop_expand(items: DataFrame, n: int) -> DataFrame:
     """Play every list ``n`` times: repeat its items, keeping the order in ``pos`` (from 0).
 
-    The length of a list is a partial aggregate joined back; the repeats are generated per row.
+    A repeat is as long as the list's range of positions, so gaps in ``pos`` keep the order too. That range
+    is a partial aggregate joined back; the repeats are generated per row.
     """
-    length = per_key(items, ["list_id"], F.count("*").alias("_len"), F.min("pos").alias("_lowest"))
+    length = per_key(items, ["list_id"], (F.max("pos") - F.min("pos") + 1).alias("_len"), F.min("pos").alias("_lowest"))
     return (explode_steps(items.join(length, "list_id"), F.lit(0), F.lit(n - 1), 1, "loop_no")
             .withColumn("pos", F.col("loop_no") * F.col("_len") + F.col("pos") - F.col("_lowest"))
             .drop("_len", "_lowest"))

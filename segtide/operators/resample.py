@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from segtide.functions.times import HOUR, from_us, is_ntz, micros, slot_start, us
 from segtide.operators import ordered
+from segtide.operators.intervals import stab_join
+from segtide.operators.keys import per_key
 from segtide.operators.schedule import segment_schedule
 from segtide.operators.steps import explode_steps
 
@@ -45,17 +47,24 @@ def resample_up(samples: DataFrame, step: timedelta, width: timedelta | int = HO
 
 
 def gap_fill(samples: DataFrame, segments: DataFrame, step: timedelta) -> DataFrame:
-    """On the grid of every segment: slot mean less the segment's mean, and 0 where data is missing.
+    """On the grid of every segment, counted from its own start: slot mean less the segment's mean, and 0 where
+    data is missing.
 
-    Samples are averaged per slot before the join; the window covers the slots of one segment.
+    Samples of one instant are merged, then meet the segments that hold them (``seg_start <= ts < seg_end``) and
+    combine per slot; the window covers the slots of one segment.
     """
-    slots = samples.groupBy("node", slot_start(us("ts"), step).alias("_slot")).agg(
-        F.sum("value").alias("_sum"), F.count("value").alias("_n"))
-    grid = segment_schedule(
-        segments.select("node", F.col("seg_start").alias("segment"), F.col("seg_start").alias("start"),
-                        F.col("seg_end").alias("end")).distinct(), step)
-    filled = grid.select("node", "segment", us("seg_start").alias("_slot")).join(slots, ["node", "_slot"], "left")
-    whole = W.partitionBy("node", "segment")
+    whole_segments = segments.select("node", F.col("seg_start").alias("segment"), F.col("seg_end").alias("end")).distinct()
+    spans = whole_segments.withColumn("_from", us("segment") - 1).withColumn("_to", us("end") - 1)
+    instants = samples.groupBy(F.col("node").alias("_node"), us("ts").alias("_us")).agg(
+        F.sum("value").alias("_v"), F.count("value").alias("_c"))
+    held = stab_join(spans, instants, "_from", "_to", "_us", keys={"node": "_node"})
+    first = us("segment")
+    slots = per_key(held.withColumn("_slot", first + slot_start(F.col("_us") - first, step)), ["node", "segment", "end", "_slot"],
+                    F.sum("_v").alias("_sum"), F.sum("_c").alias("_n"))
+    grid = segment_schedule(whole_segments.withColumn("start", F.col("segment")), step)
+    filled = grid.select("node", "segment", "end", us("seg_start").alias("_slot")).join(
+        slots, ["node", "segment", "end", "_slot"], "left")
+    whole = W.partitionBy("node", "segment", "end")
     mean = F.sum("_sum").over(whole) / F.sum("_n").over(whole)
     return filled.select("node", "segment", from_us("_slot", is_ntz(segments, "seg_start")).alias("slot"),
                          F.coalesce(F.col("_sum") / F.col("_n") - mean, F.lit(0.0)).alias("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from segtide.functions.names import DAY_PATH
 from segtide.functions.times import from_us, is_ntz, micros, slot_start, us
+from segtide.operators.intervals import stab_join
 from segtide.operators.keys import per_key
 from segtide.operators.steps import explode_steps
 
@@ -49,18 +50,22 @@ def skip_existing(segments: DataFrame, present: DataFrame, on: tuple[str, ...] =
     return segments.join(per_key(present, list(on)), list(on), "left_anti")
 
 
-def with_sample_counts(segments: DataFrame, samples: DataFrame, length: timedelta, origin: int = 0) -> DataFrame:
-    """Add ``n_samples`` per scheduled segment (0 where no data came back).
+def with_sample_counts(segments: DataFrame, samples: DataFrame) -> DataFrame:
+    """Add ``n_samples`` per scheduled segment (0 where no data came back): samples with
+    ``seg_start <= ts < seg_end``, whatever grid or length the segments have.
 
-    Samples are counted per grid slot first, so the join meets one row per slot.
+    Samples of one instant are merged first, and the join's pairs combine in every task before they are
+    shuffled by segment.
     """
-    slot = slot_start(us("ts"), length, origin)
-    counts = per_key(samples.select("node", slot.alias("_slot")), ["node", "_slot"], F.count("*").alias("n_samples"))
-    keyed = segments.withColumn("_slot", slot_start(us("seg_start"), length, origin))
-    return (keyed.join(counts, ["node", "_slot"], "left").drop("_slot")
+    spans = (segments.select("node", "seg_start", "seg_end").distinct()
+             .withColumn("_from", us("seg_start") - 1).withColumn("_to", us("seg_end") - 1))
+    instants = samples.groupBy(F.col("node").alias("_node"), us("ts").alias("_us")).agg(F.count("*").alias("_n"))
+    pairs = stab_join(spans, instants, "_from", "_to", "_us", keys={"node": "_node"})
+    counts = per_key(pairs, ["node", "seg_start", "seg_end"], F.sum("_n").alias("n_samples"))
+    return (segments.join(counts, ["node", "seg_start", "seg_end"], "left").select(*segments.columns, "n_samples")
             .withColumn("n_samples", F.coalesce("n_samples", F.lit(0))))
 
 
-def missing_segments(segments: DataFrame, samples: DataFrame, length: timedelta, origin: int = 0) -> DataFrame:
-    """Scheduled segments without any sample."""
-    return with_sample_counts(segments, samples, length, origin).where("n_samples = 0").drop("n_samples")
+def missing_segments(segments: DataFrame, samples: DataFrame) -> DataFrame:
+    """Scheduled segments without any sample in ``[seg_start, seg_end)``."""
+    return with_sample_counts(segments, samples).where("n_samples = 0").drop("n_samples")

@@ -15,5 +15,5 @@ def day_playlists(requests: DataFrame, present: DataFrame, samples: DataFrame, l
                   prefix: str) -> DataFrame:
     """Schedule, skip what is stored, leave out what has no data, name, and list per day."""
     wanted = segment_names(near_and_backfill(requests, length), prefix)
-    fetched = with_sample_counts(skip_existing(wanted, present), samples, length).where("n_samples > 0")
+    fetched = with_sample_counts(skip_existing(wanted, present), samples).where("n_samples > 0")
     return build_playlist(fetched, ["node", "subdir"])

@@ -17,6 +17,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the first n rows of a key are cut out before the shuffle, whatever n is
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
     # session windows shuffle by node: merge each task's rows first
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass":
@@ -32,8 +34,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Put the runtime settings on a session made elsewhere."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
-    if spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        # the unset default: too many for one machine, too few for a large cluster, where the
+    if "spark.sql.shuffle.partitions" not in spark.conf.getAll:
+        # nobody has set it; the default is too many for one machine, too few for a large cluster, where the
         # adaptive planner can merge small partitions but not add any
         cores = spark.sparkContext.defaultParallelism
         spark.conf.set("spark.sql.shuffle.partitions", str(cores if _is_local(spark) else max(200, 3 * cores)))

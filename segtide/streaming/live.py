@@ -42,14 +42,23 @@ def stream_islands(samples: DataFrame, gap: timedelta, lateness: timedelta) -> D
             .select("node", F.col("_w.start").alias("first_ts"), "last_ts", "n_packets"))
 
 
-def stream_stall_alert(packets: DataFrame, timeout: timedelta, lateness: timedelta) -> DataFrame:
+def stream_stall_alert(packets: DataFrame, timeout: timedelta, lateness: timedelta,
+                       heartbeat: DataFrame | None = None) -> DataFrame:
     """One alert per silence over the timeout: the end of an island whose gap is the timeout.
 
     The island closes when the watermark reaches its last packet plus the timeout, which is the
-    moment the alert is due.
+    moment the alert is due. Packets alone move the watermark, so with nothing coming in from any node no alert is
+    due yet; a ``heartbeat`` stream with a time ``ts`` (a rate source, or poll times) moves it without them.
     """
-    return (stream_islands(packets, timeout, lateness)
-            .select("node", F.col("last_ts").alias("silent_since"),
+    beats = packets.select("node", "ts", F.lit(False).alias("_beat"))
+    if heartbeat is not None:
+        kind = packets.schema["ts"].dataType
+        beats = beats.unionByName(heartbeat.select(F.lit(None).cast(packets.schema["node"].dataType).alias("node"),
+                                                   F.col("ts").cast(kind).alias("ts"), F.lit(True).alias("_beat")))
+    silent = (_timed(beats, lateness).groupBy("node", "_beat", F.session_window("ts", _text(timeout)).alias("_w"))
+              # an aggregate: a test of the key itself would go below the watermark, and take the beats with it
+              .agg(F.max("ts").alias("last_ts"), F.max(F.col("_beat").cast("int")).alias("_is_beat")).where("_is_beat = 0"))
+    return (silent.select("node", F.col("last_ts").alias("silent_since"),
                     (F.col("last_ts") + F.lit(timeout)).alias("alert_at")))
 
 

@@ -27,6 +27,11 @@ def stream_poll_catalog(listing: DataFrame, now: datetime | Column, delay: timed
     return eligible_files(good, now, delay, segment)
 
 
+def stream_bad_names(listing: DataFrame, prefix: str, postfix: str) -> DataFrame:
+    """The names of every snapshot that ``stream_poll_catalog`` can't read, for a sink of their own."""
+    return build_catalog(listing, prefix, postfix)[1]
+
+
 def stream_dedup_done(catalog: DataFrame, delay: timedelta) -> DataFrame:
     """Pass each file once; a file is forgotten when the watermark is past its play-out time."""
     timed = catalog.withColumn("file_time", F.col("file_time").cast("timestamp"))
@@ -36,7 +41,8 @@ def stream_dedup_done(catalog: DataFrame, delay: timedelta) -> DataFrame:
 
 def stream_late_drop(catalog: DataFrame, maxdelay: timedelta, kept: str, late: str, state: str,
                      checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Split off files that are ``maxdelay`` or more behind the newest file time seen so far.
+    """Split off files that are ``maxdelay`` or more behind the newest file time seen so far, and those
+    without a file time.
 
     The newest time after each batch is a one-row table per batch id, so a repeated batch starts
     from the state its first try saw.
@@ -51,7 +57,7 @@ def stream_late_drop(catalog: DataFrame, maxdelay: timedelta, kept: str, late: s
                 newest = newest.unionByName(before.select("high_us")).agg(F.max("high_us").alias("high_us"))
             write_batch(newest, state, batch_id)
             high = newest.first()["high_us"]  # one row
-            is_late = us("file_time") <= F.lit(high) - micros(maxdelay)
+            is_late = F.coalesce(us("file_time") <= F.lit(high) - micros(maxdelay), F.lit(True))
             write_batch(batch.where(~is_late), kept, batch_id)
             write_batch(batch.where(is_late), late, batch_id)
         finally:

@@ -129,7 +129,7 @@ def test_existing_and_missing_segments_do_not_stop_the_schedule(rows):
               "node bigint, seg_start timestamp_ntz, seg_end timestamp_ntz, name string")
     todo = schedule.skip_existing(df, df.where("name = '0'"), on=("node", "name"))
     samples = rows([(1, at("2024-01-01T02:30:00"))], "node bigint, ts timestamp_ntz")
-    missing = schedule.missing_segments(todo, samples, timedelta(hours=1))
+    missing = schedule.missing_segments(todo, samples)
     assert sorted(r.name for r in missing.collect()) == ["1", "3"]
 
 
@@ -278,3 +278,46 @@ def test_hot_names_and_copies(rows):
     assert named.count() == 600 and named.where("name_collision").count() == 200
     assert catalog.anti_done(df, df.where("filepath like 'hot%'").select("filepath")).count() == 400
     assert playout.accumulate_converted([df, df]).count() == 401
+
+
+SEGMENTS = "node bigint, seg_start timestamp_ntz, seg_end timestamp_ntz"
+
+
+def test_samples_count_inside_the_segment_only(rows):
+    segs = rows([(1, at("2024-01-01T10:00:00"), at("2024-01-01T10:30:00")), (1, at("2024-01-01T10:07:00"), at("2024-01-01T11:07:00")),
+                 (2, at("2024-01-01T10:07:00"), at("2024-01-01T11:07:00"))], SEGMENTS)
+    samples = rows([(1, at("2024-01-01T10:50:00")), (1, at("2024-01-01T11:03:00")), (1, at("2024-01-01T11:07:00")),
+                    (None, at("2024-01-01T10:20:00"))], "node bigint, ts timestamp_ntz")
+    got = schedule.with_sample_counts(segs, samples)
+    assert sorted((r.node, r.seg_start.minute, r.n_samples) for r in got.collect()) == [(1, 0, 0), (1, 7, 2), (2, 7, 0)]
+    assert schedule.missing_segments(segs, samples).count() == 2
+
+
+def test_gap_fill_counts_slots_from_the_segment(rows):
+    segs = rows([(1, at("2024-01-01T00:07:00"), at("2024-01-01T00:37:00"))], SEGMENTS)
+    df = rows([(1, at("2024-01-01T00:08:00"), 0, 1.0), (1, at("2024-01-01T00:20:00"), 1, 2.0), (1, at("2024-01-01T00:36:00"), 2, 6.0),
+               (1, at("2024-01-01T00:37:00"), 3, 99.0)], PACKETS)
+    got = resample.gap_fill(df, segs, timedelta(minutes=10)).orderBy("slot").collect()
+    assert [(r.slot.minute, r.value) for r in got] == [(7, -2.0), (17, -1.0), (27, 3.0)]
+
+
+def test_loops_keep_the_order_over_gaps(rows):
+    items = rows([("l", p, f, 1.0) for p, f in ((1, "a"), (5, "b"), (9, "c"))], "list_id string, pos bigint, file string, duration_s double")
+    got = playout.loop_expand(items, 2).orderBy("pos").collect()
+    assert [(r.pos, r.file) for r in got] == [(0, "a"), (4, "b"), (8, "c"), (9, "a"), (13, "b"), (17, "c")]
+
+
+def test_next_available_of_each_node(rows):
+    df = rows([(1, NOW - timedelta(hours=20), "a", 1.0), (2, NOW - timedelta(hours=10), "b", 1.0)], FILES)
+    ticks = rows([(1, NOW), (2, NOW), (3, NOW)], "node bigint, tick timestamp_ntz")
+    none = df.where("false").select("filepath")
+    got = catalog.next_available(df, ticks, none, DELAY, SEGMENT, by=["node"]).collect()
+    assert sorted((r.node, r.next_us is not None) for r in got) == [(2, True), (3, False)]
+
+
+def test_append_adds_each_segment_once_and_raises_the_target(rows):
+    data = [(1, at("2024-01-01T00:00:00"), at("2024-01-01T00:00:10"), "a.ts"), (1, at("2024-01-01T00:00:10"), at("2024-01-01T00:01:10"), "b.ts")]
+    df = rows(data, "node bigint, seg_start timestamp_ntz, seg_end timestamp_ntz, ts_name string")
+    first = playlist.build_playlist(df.where("ts_name = 'a.ts'"), ["node"])
+    assert playlist.append_playlist(first, df, ["node"]).first().body.split("\n") == [
+        "#EXTM3U", "#EXT-X-TARGETDURATION:60", "#EXTINF:10.000000,", "a.ts", "#EXTINF:60.000000,", "b.ts", "#EXT-X-ENDLIST"]

@@ -75,6 +75,23 @@ def test_stall_alert_waits_for_the_timeout(spark, feed):
     assert [(r.node, r.silent_since) for r in got] == [(1, T0)]
 
 
+def test_silent_node_alerts_by_heartbeat(spark, feed):
+    """No packet comes any more; poll times alone move the watermark."""
+    feed.put([(1, T0, 0)], PACKETS)
+    path = feed.dir("beats")
+    spark.createDataFrame([(T0 + timedelta(hours=5),)], "ts timestamp_ntz").write.parquet(path)
+    beats = spark.readStream.schema("ts timestamp_ntz").parquet(path)
+    drain(live.stream_stall_alert(feed.stream(PACKETS), timedelta(hours=3), timedelta(0), heartbeat=beats), feed, "silent")
+    assert [(r.node, r.silent_since) for r in spark.read.parquet(feed.dir("silent")).collect()] == [(1, T0)]
+
+
+def test_files_without_a_time_are_late(spark, feed):
+    feed.put([(1, T0, "a", 1.0), (1, None, "b", 1.0)], FILES)
+    polls.stream_late_drop(feed.stream(FILES), timedelta(hours=4), *[feed.dir(d) for d in ("k", "l", "h", "c")]).awaitTermination()
+    kept, late = [sorted(r.filepath for r in sinks.read_batches(spark, feed.dir(d), "filepath string").collect()) for d in ("k", "l")]
+    assert (kept, late) == (["a"], ["b"])
+
+
 def test_queue_plays_and_expires_each_file_once(spark, feed):
     data = [(1, T0 + timedelta(hours=i), f"f{i}", 1800.0) for i in range(4)]
     feed.put(data[:2] + data[:1], FILES)

@@ -172,6 +172,7 @@ ELIGIBLE = f"file_time > {NOW} - INTERVAL 24 HOUR AND file_time < {NOW} - INTERV
 COUNTERS = f"""count(*) AS listed, count(*) FILTER ({ELIGIBLE}) AS to_convert,
     count(*) FILTER ({STATE.format(now=NOW)} = 'playing') AS played,
     count(*) FILTER ({STATE.format(now=NOW)} IN ('playing', 'expired')) AS deleted"""
+ODD = """SELECT node, seg_start + INTERVAL 7 MINUTE AS seg_start, seg_end - INTERVAL 11 MINUTE AS seg_end FROM segments"""
 CUT = """SELECT node, run_id, seg_index, count(*) AS n_samples, min(ts) AS first_ts, max(ts) AS last_ts,
     make_timestamp(run_us + seg_index * {w}) AS seg_start
     FROM (SELECT *, (epoch_us(ts) - run_us) // {w} AS seg_index FROM {src} WHERE run_us IS NOT NULL) c
@@ -241,15 +242,16 @@ ORACLES: dict[str, str] = {
 
     "anti_done": sql("SELECT * FROM catalog WHERE filepath NOT IN (SELECT filepath FROM done)", "catalog", "done"),
     "skip_existing": sql("SELECT node, seg_start, ts_name FROM segments WHERE extract(hour FROM seg_start) % 4 <> 0", "segments"),
-    "missing_segments": sql("""SELECT node, seg_start, seg_end FROM segments s WHERE NOT EXISTS (SELECT 1 FROM samples x
-        WHERE x.node = s.node AND x.ts >= s.seg_start AND x.ts < s.seg_end)""", "segments"),
+    "missing_segments": sql("""SELECT node, seg_start, seg_end FROM odd s WHERE NOT EXISTS (SELECT 1 FROM samples x
+        WHERE x.node = s.node AND x.ts >= s.seg_start AND x.ts < s.seg_end)""", "segments", "samples", odd=ODD),
     "asof_run": sql("SELECT event_id, node, run_id FROM tied", "tied"),
     "playing_at": sql("SELECT tick, node, filepath FROM playing", "playing"),
-    "next_available": sql("""SELECT t.tick, a.file_time AS next_time,
-        epoch_us(a.file_time) - epoch_us(t.tick - INTERVAL 18 HOUR) AS wait_us FROM ticks t
-        ASOF LEFT JOIN catalog a ON t.tick - INTERVAL 24 HOUR < a.file_time
+    "next_available": sql("""SELECT t.node, t.tick, a.file_time AS next_time,
+        epoch_us(a.file_time) - epoch_us(t.tick - INTERVAL 18 HOUR) AS wait_us
+        FROM (SELECT * FROM ticks, range(3) n(node) WHERE extract(minute FROM tick) = 0) t
+        ASOF LEFT JOIN catalog a ON t.node = a.node AND t.tick - INTERVAL 24 HOUR < a.file_time
         ASOF LEFT JOIN (SELECT * FROM catalog WHERE filepath NOT IN (SELECT filepath FROM done)) o
-          ON t.tick - INTERVAL 24 HOUR < o.file_time
+          ON t.node = o.node AND t.tick - INTERVAL 24 HOUR < o.file_time
         WHERE o.file_time IS NULL OR o.file_time >= t.tick - INTERVAL 18 HOUR""", "catalog", "ticks", "done"),
     "node_outputs": sql("SELECT node_name, node_type, kind FROM node_config LEFT JOIN kinds USING (node_type)",
                         "node_config", "kinds"),
@@ -280,9 +282,11 @@ ORACLES: dict[str, str] = {
     "gap_fill": sql("""SELECT g.node, g.segment, make_timestamp(g.slot) AS slot,
         round(coalesce(s.v - sum(s.total) OVER w / sum(s.n) OVER w, 0), 9) AS value FROM (
         SELECT node, seg_start AS segment, unnest(range(epoch_us(seg_start), epoch_us(seg_end), 600000000)) AS slot
-        FROM segments) g LEFT JOIN (SELECT node, (epoch_us(ts) // 600000000) * 600000000 AS slot, avg(value) AS v,
-        sum(value) AS total, count(*) AS n FROM samples GROUP BY ALL) s ON g.node = s.node AND g.slot = s.slot
-        WINDOW w AS (PARTITION BY g.node, g.segment)""", "segments", "samples"),
+        FROM odd) g LEFT JOIN (SELECT o.node, o.seg_start AS segment,
+        epoch_us(o.seg_start) + ((epoch_us(ts) - epoch_us(o.seg_start)) // 600000000) * 600000000 AS slot, avg(value) AS v,
+        sum(value) AS total, count(*) AS n FROM samples x JOIN odd o ON x.node = o.node AND ts >= o.seg_start AND ts < o.seg_end
+        GROUP BY ALL) s ON g.node = s.node AND g.segment = s.segment AND g.slot = s.slot
+        WINDOW w AS (PARTITION BY g.node, g.segment)""", "segments", "samples", odd=ODD),
 
     "run_segments": sql(CUT.format(w=600_000_000, src="tied"), "tied"),
     "clock_segments": sql(CLOCK.format(slot=f"((epoch_us(ts) - 420000000) // {H}) * {H} + 420000000", w=H, src="samples"),
@@ -302,8 +306,8 @@ ORACLES: dict[str, str] = {
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS offset_s FROM items""", "items"),
 
     "segment_schedule": sql(_schedule("ranges", "INTERVAL 15 MINUTE", "event_id, node"), "ranges"),
-    "loop_expand": sql("""SELECT list_id, loop_no * count(*) OVER (PARTITION BY list_id, loop_no) + pos - 1 AS pos, file
-        FROM items, range(3) r(loop_no)""", "items"),
+    "loop_expand": sql("""SELECT list_id, loop_no * (max(pos) OVER l - min(pos) OVER l + 1) + pos - min(pos) OVER l AS pos, file
+        FROM items, range(3) r(loop_no) WINDOW l AS (PARTITION BY list_id)""", "items"),
     "conversion_order": sql("""SELECT node, row_number() OVER (PARTITION BY node ORDER BY file_time, filepath) AS rank, filepath
         FROM catalog QUALIFY rank <= 50""", "catalog"),
     "near_and_backfill": sql("SELECT * FROM near_back", "near_back"),
@@ -343,7 +347,7 @@ ORACLES: dict[str, str] = {
         '{PREFIX}' || strftime(seg_start, '%Y-%m-%dT%H-%M-%S-%g') || '.ts' AS ts_name FROM near_back n
         WHERE NOT (extract(hour FROM seg_start) % 4 = 0 AND seg_start >= TIMESTAMP '2024-01-01')
           AND EXISTS (SELECT 1 FROM samples s WHERE s.node = n.node
-                      AND make_timestamp({_slot('s.ts', H)}) = n.seg_start)"""),
+                      AND s.ts >= n.seg_start AND s.ts < n.seg_end)"""),
     "live_to_store": sql(f"""SELECT node_name, kind, run_id, file_name, node_name || '/' || kind ||
         CASE WHEN kind = 'hls' THEN '/' || run_id ELSE '' END || '/' || file_name AS object_key,
         {_bucket('kind')} AS bucket, n_samples FROM (SELECT node_name, c.kind, run_id, bucket_type, n_samples,

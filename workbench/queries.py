@@ -269,7 +269,7 @@ def skip_existing(t: Tables) -> DataFrame:
 
 @query
 def missing_segments(t: Tables) -> DataFrame:
-    return schedule.missing_segments(t.segments(), t.samples(), tb.LENGTH).select("node", "seg_start", "seg_end")
+    return schedule.missing_segments(t.odd_segments(), t.samples()).select("node", "seg_start", "seg_end")
 
 
 @query
@@ -284,8 +284,9 @@ def playing_at(t: Tables) -> DataFrame:
 
 @query
 def next_available(t: Tables) -> DataFrame:
-    found = catalog.next_available(t.catalog(), t.ticks(), t.done(), tb.DELAY, tb.SEGMENT)
-    return found.select("tick", from_us("next_us").alias("next_time"), "wait_us")
+    asked = t.ticks().crossJoin(F.broadcast(t.spark.range(3).select(F.col("id").alias("node")))).where("minute(tick) = 0")
+    found = catalog.next_available(t.catalog(), asked, t.done(), tb.DELAY, tb.SEGMENT, by=["node"])
+    return found.select("node", "tick", from_us("next_us").alias("next_time"), "wait_us")
 
 
 @query
@@ -348,7 +349,7 @@ def resample_up(t: Tables) -> DataFrame:
 
 @query
 def gap_fill(t: Tables) -> DataFrame:
-    return resample.gap_fill(t.samples(), t.segments(), tb.STEP_UP).select(
+    return resample.gap_fill(t.samples(), t.odd_segments(), tb.STEP_UP).select(
         "node", "segment", "slot", F.round("value", 9).alias("value"))
 
 

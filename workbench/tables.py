@@ -107,6 +107,11 @@ class Tables:
                               F.expr("timestamp_ntz'2024-02-01 00:00:00'").alias("end"))
         return segment_names(segment_schedule(ranges, LENGTH), PREFIX)
 
+    def odd_segments(self) -> DataFrame:
+        """Segments off every grid, of 42 minutes: from 7 past the hour to 11 before the next."""
+        return self.segments().withColumn("seg_start", F.col("seg_start") + F.expr("interval 7 minutes")).withColumn(
+            "seg_end", F.col("seg_end") - F.expr("interval 11 minutes"))
+
     def present(self) -> DataFrame:
         return self.segments().where(F.hour("seg_start") % 4 == 0)
 
