@@ -36,14 +36,19 @@ def asof_run(samples: DataFrame, runs: DataFrame, width: timedelta | int = HOUR,
             .drop("_us", "_start", "_sample", "_before", "_tie"))
 
 
-def cut_runs(tied: DataFrame, length: timedelta) -> DataFrame:
-    """Fixed-length cuts of samples tied to their run (``asof_run``); one row per segment."""
-    index = F.call_function("div", us("ts") - F.col("run_start_us"), F.lit(micros(length)))
-    start = F.col("run_start_us") + F.col("seg_index") * micros(length)
-    return (tied.where("run_start_us is not null").withColumn("seg_index", index)
-            .groupBy("node", "run_start_us", "run_id", "seg_index")
+def cut_runs(tied: DataFrame, length: timedelta | str) -> DataFrame:
+    """Fixed-length cuts of samples tied to their run (``asof_run``); one row per segment.
+
+    ``length`` may name a column of ``tied`` with a node's own length in microseconds; rows without a positive
+    one are not cut.
+    """
+    own = F.col(length) if isinstance(length, str) else F.lit(micros(length))
+    cut = tied.withColumn("_length", own.cast("bigint")).where("run_start_us is not null and _length > 0")
+    start = F.col("run_start_us") + F.col("seg_index") * F.col("_length")
+    return (cut.withColumn("seg_index", F.call_function("div", us("ts") - F.col("run_start_us"), F.col("_length")))
+            .groupBy("node", "run_start_us", "run_id", "seg_index", "_length")
             .agg(F.count("*").alias("n_samples"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-            .withColumn("seg_start", from_us(start, is_ntz(tied, "ts"))))
+            .withColumn("seg_start", from_us(start, is_ntz(tied, "ts"))).drop("_length"))
 
 
 def run_segments(samples: DataFrame, runs: DataFrame, length: timedelta, **kw) -> DataFrame:

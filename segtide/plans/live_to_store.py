@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segtide.functions.names import archive_name, live_name, object_key
 from segtide.functions.routing import Buckets, apply_type_overrides, config_check, with_bucket
-from segtide.operators.nodes import node_outputs
+from segtide.operators.keys import per_key
+from segtide.operators.nodes import node_outputs, support_check
 from segtide.operators.segments import asof_run, cut_runs
 
 
-def live_to_store(nodes: DataFrame, samples: DataFrame, runs: DataFrame, kinds: DataFrame,
-                  routes: dict[str, Buckets], live_length: timedelta, archive_length: timedelta) -> DataFrame:
-    """One row per file: valid nodes, their outputs, segments of each run, names, keys, buckets.
+def live_to_store(nodes: DataFrame, samples: DataFrame, runs: DataFrame, kinds: DataFrame, support: DataFrame,
+                  routes: dict[str, Buckets]) -> DataFrame:
+    """One row per file: valid and supported nodes, their outputs, segments of each run, names, keys, buckets.
 
-    Samples are tied to runs once and cut to segments before they meet the registry.
+    Segments are as long as the node's ``segment_duration`` and, in the archive, ``flac_duration`` (seconds); a node
+    without the latter has no archive. Samples and runs of other nodes are left out first; the others are tied to runs
+    once and cut to segments before they meet the outputs.
     """
-    valid = apply_type_overrides(config_check(nodes).where("passes"))
+    valid, _ = support_check(apply_type_overrides(config_check(nodes).where("passes")), support)
     wanted = node_outputs(valid, kinds).where("kind is not null").select(
         "node", "node_name", "kind", "bucket_type", "sample_rate", "channels")
-    tied = asof_run(samples, runs)
-    cuts = (cut_runs(tied, live_length).withColumn("kind", F.lit("hls"))
-            .unionByName(cut_runs(tied, archive_length).withColumn("kind", F.lit("flac"))))
+    lengths = per_key(valid, ["node"], *[(F.max(c).cast("bigint") * 1_000_000).alias(u) for c, u in (
+        ("segment_duration", "live_us"), ("flac_duration", "archive_us"))])
+    tied = asof_run(samples.join(lengths, "node"), runs.join(lengths.select("node"), "node", "left_semi"))
+    cuts = (cut_runs(tied, "live_us").withColumn("kind", F.lit("hls"))
+            .unionByName(cut_runs(tied, "archive_us").withColumn("kind", F.lit("flac"))))
     files = cuts.join(wanted, ["node", "kind"])
     hls = F.col("kind") == "hls"
     folder = F.concat(F.lit("/tmp/"), "node_name", F.lit("/"), "kind",

@@ -74,8 +74,8 @@ CTES = {
         CASE WHEN s_nationkey % 7 <> 0 THEN 48000 + 48000 * (s_suppkey % 4) END AS sample_rate,
         CASE WHEN s_nationkey % 11 <> 0 THEN 1 + s_suppkey % 2 END AS channels,
         CASE s_suppkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'custom' WHEN 2 THEN 'dev' END AS bucket_type,
-        'card0' AS audio_hw_id, 48000::BIGINT AS stream_rate, 3600 AS segment_duration,
-        CASE WHEN s_suppkey % 3 <> 0 THEN 21600 END AS flac_duration FROM supplier""",
+        'card0' AS audio_hw_id, 48000::BIGINT AS stream_rate, (1800 + 1800 * (s_suppkey % 3))::INT AS segment_duration,
+        CASE WHEN s_suppkey % 3 <> 0 THEN (10800 * (1 + s_suppkey % 2))::INT END AS flac_duration FROM supplier""",
     "frames": """SELECT vec_id AS seg_id, embedding AS samples, embedding[1:32] AS ch1, embedding[33:64] AS ch2
         FROM embeddings""",
     "items": """SELECT node AS list_id, row_number() OVER (PARTITION BY node ORDER BY file_time, event_id) AS pos,
@@ -354,9 +354,14 @@ ORACLES: dict[str, str] = {
           CASE WHEN c.kind = 'hls' THEN printf('live%03d.ts', seg_index)
           ELSE strftime(seg_start, '%Y-%m-%d_%H-%M-%S') || '_' || node_name || '-' || sample_rate || '-' || channels || '.flac'
           END AS file_name FROM (
-            SELECT *, 'hls' AS kind FROM ({CUT.format(w=H, src='device_tied')}) a
-            UNION ALL SELECT *, 'flac' FROM ({CUT.format(w=6 * H, src='device_tied')}) b) c
+            SELECT t.node, run_id, kind, seg_index, make_timestamp(run_us + seg_index * seconds * 1000000) AS seg_start,
+              count(*) AS n_samples FROM (
+                SELECT d.*, l.kind, l.seconds, (epoch_us(ts) - run_us) // (l.seconds * 1000000) AS seg_index
+                FROM device_tied d JOIN (SELECT node, 'hls' AS kind, segment_duration::BIGINT AS seconds FROM node_config
+                  UNION ALL SELECT node, 'flac', flac_duration::BIGINT FROM node_config WHERE flac_duration IS NOT NULL) l USING (node)
+                WHERE run_us IS NOT NULL) t GROUP BY t.node, run_us, run_id, kind, seg_index, seconds) c
           JOIN overridden o ON o.node = c.node AND o.missing = ''
+          JOIN (SELECT m.node FROM node_config m JOIN support USING (node_arch, node_type) WHERE supported) u ON u.node = c.node
           JOIN kinds k ON k.node_type = o.node_type AND k.kind = c.kind) f""",
-                         "device_samples", "device_runs", "overridden", "kinds", device_tied=DEVICE_TIED),
+                         "device_samples", "device_runs", "overridden", "kinds", "node_config", "support", device_tied=DEVICE_TIED),
 }

@@ -530,4 +530,4 @@ def day_playlists_(t: Tables) -> DataFrame:
 @query
 def live_to_store_(t: Tables) -> DataFrame:
     return live_to_store(t.node_config(), t.device_samples(), t.runs(key="user_id"),
-                         nodes.output_kinds(t.spark), tb.ROUTES, tb.LENGTH, tb.ARCHIVE_LENGTH)
+                         nodes.output_kinds(t.spark), nodes.support_matrix(t.spark), tb.ROUTES)

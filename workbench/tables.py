@@ -139,7 +139,8 @@ class Tables:
             F.when(F.col("s_nationkey") % 11 != 0, 1 + key % 2).alias("channels"),
             F.when(key % 4 == 0, "prod").when(key % 4 == 1, "custom").when(key % 4 == 2, "dev").alias("bucket_type"),
             F.lit("card0").alias("audio_hw_id"), F.lit(48000).cast("bigint").alias("stream_rate"),
-            F.lit(3600).alias("segment_duration"), F.when(key % 3 != 0, 21600).alias("flac_duration"))
+            (1800 + 1800 * (key % 3)).cast("int").alias("segment_duration"),
+            F.when(key % 3 != 0, 10800 * (1 + key % 2)).cast("int").alias("flac_duration"))
 
     def frames(self) -> DataFrame:
         return self.raw("embeddings").select(
