@@ -81,7 +81,11 @@ def _unpack_at(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _chunk_rows(texts: DataFrame) -> DataFrame:
-    """(gram, content, doc, row, at) of every chunk of (row, doc, text)."""
+    """(gram, content, doc, row, at, settled) of every chunk of (row, doc, text).
+
+    A chunk whose like stands earlier in the same few documents is ``settled``: it needs no comparison, and is spread by its
+    place instead of its gram. So a text that repeats one word for ever doesn't crowd one gram.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
         for batch in batches:
@@ -99,10 +103,17 @@ def _chunk_rows(texts: DataFrame) -> DataFrame:
                     columns[2].append(np.full(len(n), doc))
                     columns[3].append(np.full(len(n), row))
                     columns[4].append(_pack_at(first, anchor, n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns],
-                                                 names=["gram", "content", "doc", "row", "at"])
+                gram, content, doc, row, at = (np.concatenate(c).astype(np.int64) for c in columns)
+                order = np.lexsort((at, row, doc, content, gram))
+                like = (gram[order[1:]] == gram[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+                settled = np.zeros(len(gram), dtype=bool)
+                settled[order[1:][like]] = True
+                gram[settled] = mix((row[settled] * 31 + at[settled]).view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (gram, content, doc, row, at, settled))],
+                                                 names=["gram", "content", "doc", "row", "at", "settled"])
 
-    return texts.select("row", "doc", "text").mapInArrow(work, "gram bigint, content bigint, doc bigint, row bigint, at bigint")
+    return texts.select("row", "doc", "text").mapInArrow(
+        work, "gram bigint, content bigint, doc bigint, row bigint, at bigint, settled boolean")
 
 
 def _sorted_out(chunks: DataFrame) -> DataFrame:
@@ -120,7 +131,13 @@ def _sorted_out(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, content, row, at = (batch.column(c).to_numpy() for c in ("gram", "content", "row", "at"))
+            done = batch.column("settled").to_numpy(zero_copy_only=False)
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[done]) for c in ("row", "at")]
+                                                 + [pa.array(done[done])], names=["row", "at", "whole"])
+                if done.all():
+                    continue
+            gram, content, row, at = (batch.column(c).to_numpy()[~done] for c in ("gram", "content", "row", "at"))
             before_gram = np.concatenate([[last_gram if last_gram is not None else ~gram[0]], gram[:-1]])
             before_content = np.concatenate([[last_content if last_content is not None else 0], content[:-1]])
             new_gram = gram != before_gram
