@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from segtide.functions import names
 from segtide.operators import catalog, playout, schedule
 from segtide.operators.intervals import stab_join
-from datetime import timedelta
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -67,9 +66,10 @@ def test_sample_counts(small, rows):
     t0 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     hour = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700)
     start = t0 + F.make_dt_interval(hours=hour.cast("int"))
-    segments = small.range(0, N, 1, 8).select(F.lit(1).alias("node"), start.alias("seg_start"), start.alias("seg_end"), "id")
+    segments = small.range(0, N, 1, 8).select(F.lit(1).alias("node"), start.alias("seg_start"),
+                                                (start + F.expr("interval 1 hour")).alias("seg_end"), "id")
     samples = segments.where("id < 50").select("node", F.col("seg_start").alias("ts"))
-    counted = schedule.with_sample_counts(segments, samples, timedelta(hours=1))
+    counted = schedule.with_sample_counts(segments, samples)
     assert split(counted) and counted.count() == N
 
 
