@@ -1,9 +1,9 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, links checked on full shingle sets, union-find grouping.
 
-Exact copies of a set collapse to one representative first. A bucket of a band never becomes all its pairs: some
-members (hubs) are compared with the others, links merge members into components, and only members that are still outside
-the bucket's main component become hubs in the next round, until every member is in it or has been compared with
-all others. So each pair of a bucket is either compared or known to be connected.
+Exact copies of a set collapse to one representative first. A bucket of a band never becomes all its pairs: its
+first member is compared with the others, links make components, and only members outside the first one's component
+are compared further, in blocks against blocks of the bucket's other members, of which only links come out. So each pair of
+a bucket is compared or known to be connected.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.tables import documents_in, ship, shuffle_partitions, write_bucketed, write_shared
+from segtide.llm.tables import documents_in, ragged_take, ship, shuffle_partitions, write_bucketed, write_shared
 
 SIZE, ROWS = 128, 4  # signature length, and values to a band: 32 bands
 WORDS = 5
@@ -186,33 +186,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, size
     classes = write_shared(usable.groupBy("set_a", "set_b", "n_shingles").agg(
         F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "set_classes")
     in_bucket = classes.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    members = write_shared(in_bucket.join(shared.select("bucket", "first"), "bucket"), "bucket_members")
+    shared = in_bucket.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("low"), F.max("doc").alias("last")).where("low.doc <> last")
+    shared = shared.select("bucket", F.col("low.doc").alias("first"), F.col("low.n").alias("n_first"))
+    members = write_shared(in_bucket.join(shared, "bucket"), "bucket_members")
 
     sets = _sets(docs, members.select("doc").distinct(), words)
-    links: DataFrame | None = None
-    labels = None
-    done = members.select("bucket", F.col("first").alias("doc"))  # hubs so far
-    hubs = done.distinct()
-    slots = 4
-    while True:
-        pairs = _pairs(members, hubs, labels, percent)
-        found = write_shared(_confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        # members outside the main component of their bucket that haven't been hubs
-        labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-        main = labels.select(F.col("node").alias("first"), F.col("label").alias("main"))
-        outside = (labelled.join(main, "first", "left")
-                   .where(F.coalesce("label", "doc") != F.coalesce("main", "first"))
-                   .join(done, ["bucket", "doc"], "left_anti"))
-        slot = F.pmod(F.xxhash64("doc"), F.lit(slots))
-        hubs = write_shared(outside.groupBy("bucket", slot.alias("slot")).agg(F.min("doc").alias("doc")).drop("slot"), "hubs")
-        if hubs.isEmpty():
-            break
-        done = done.unionByName(hubs)
-        members = write_shared(members.join(hubs.select("bucket").distinct(), "bucket", "left_semi"), "bucket_members")
-        slots *= 4
+    pairs = members.where("doc <> first").where(_sizes_allow("n", "n_first", percent)).select(
+        F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
+    links = write_shared(_confirmed(pairs, sets, percent), "links")
+    labels = components(links)
+    links = links.unionByName(write_shared(_outside_links(members, labels, sets, percent), "links"))
+    labels = components(links)
     of_class = classes.select("set_a", "set_b", "n_shingles", F.col("doc").alias("_doc"))
     # rows of one id with different texts are one document: their classes are linked too
     own = usable.join(of_class, ["set_a", "set_b", "n_shingles"]).select("doc_id", "_doc")
@@ -222,24 +206,61 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, size
         labels = components(links.unionByName(mixed.select(F.col("doc_id").alias("u"), F.col("_doc").alias("v"))))
     labels = labels.select(F.col("node").alias("_doc"), F.col("label").alias("_label"))
     out = sketch.join(of_class, ["set_a", "set_b", "n_shingles"], "left").join(labels, "_doc", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("_label", "_doc", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("_label", "_doc", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _pairs(members: DataFrame, hubs: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct pairs (hub, other member) that aren't in one component yet and whose sizes allow a link."""
-    sides = members.select("bucket", "doc", "n")
-    if labels is not None:
-        sides = sides.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-            "label", F.coalesce("label", "doc"))
-    else:
-        sides = sides.withColumn("label", F.col("doc"))
-    hub = sides.join(hubs, ["bucket", "doc"], "left_semi").select(
-        "bucket", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    near = sides.join(hub, "bucket").where(F.col("label") != F.col("label_a")).where(
-        100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-    return near.select(F.col("a"), F.col("doc").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
+def _sizes_allow(n: str, other: str, percent: int):
+    return 100 * F.least(n, other) >= percent * F.greatest(n, other)
+
+
+BLOCK, CHUNK = 256, 1024  # sets compared with each other in one task
+
+
+def _outside_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of bucket members outside their first one's component with all the bucket's members.
+
+    The first has been compared with everyone. Outsiders are dealt into blocks, the others into chunks, both of bounded size
+    by the bucket's counts; each block meets each chunk in one task.
+    """
+    main = labels.select(F.col("node").alias("first"), F.col("label").alias("main"))
+    rest = (members.where("doc <> first").join(labels.withColumnRenamed("node", "doc"), "doc", "left").join(main, "first", "left")
+            .select("bucket", "doc", (F.coalesce("label", "doc") != F.coalesce("main", "first")).alias("outside")))
+    rest = write_shared(rest, "bucket_members")
+    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("outside").alias("n_out")).where("n > 1 and n_out > 0")
+    sizes = sizes.select("bucket", F.ceil(F.col("n_out") / BLOCK).cast("int").alias("blocks"),
+                         F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    open_ = rest.join(sizes, "bucket")
+    block, chunk = F.pmod(F.xxhash64("doc"), "blocks").cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), "chunks").cast("int")
+    hubs = open_.where("outside").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    others = open_.withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["bucket", "block", "chunk"]
+    hubs, others = [side.select(*key, "doc").join(sets, "doc").select(*key, "doc", "hashes").toDF(*[f"{name}_{c}" for c in key], "doc", "hashes")
+                    for name, side in (("hub", hubs), ("other", others))]
+
+    def compare(hubs_of: pa.Table, others_of: pa.Table) -> pa.Table:
+        found_u, found_v = [], []
+        if hubs_of.num_rows and others_of.num_rows:
+            hub_docs = hubs_of.column("doc").to_numpy()
+            hashes = hubs_of.column("hashes").combine_chunks()
+            n_hub = hashes.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(n_hub)), n_hub)
+            values = hashes.flatten().to_numpy()
+            order = np.argsort(values, kind="stable")
+            known, first = np.unique(values[order], return_index=True)
+            owner, ends = owner[order], np.append(first, len(values))
+            for doc, of_doc in zip(others_of.column("doc").to_pylist(), others_of.column("hashes")):
+                mine = of_doc.values.to_numpy()
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                common = np.bincount(ragged_take(owner, ends, at[known[at] == mine])[0], minlength=len(n_hub))
+                hit = (100 * common >= percent * (n_hub + len(mine) - common)) & (hub_docs != doc)
+                found_u += hub_docs[hit].tolist()
+                found_v += [doc] * int(hit.sum())
+        return pa.table([pa.array(found_u, pa.int64()), pa.array(found_v, pa.int64())], names=["u", "v"])
+
+    # of many links to outsiders one for each pair is enough
+    return hubs.groupBy(*hubs.columns[:3]).cogroup(others.groupBy(*others.columns[:3])).applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
