@@ -284,7 +284,8 @@ def playing_at(t: Tables) -> DataFrame:
 
 @query
 def next_available(t: Tables) -> DataFrame:
-    asked = t.ticks().crossJoin(F.broadcast(t.spark.range(3).select(F.col("id").alias("node")))).where("minute(tick) = 0")
+    three = F.array(*[F.lit(n).cast("bigint") for n in range(3)])
+    asked = t.ticks().where("minute(tick) = 0").withColumn("node", F.explode(three))
     found = catalog.next_available(t.catalog(), asked, t.done(), tb.DELAY, tb.SEGMENT, by=["node"])
     return found.select("node", "tick", from_us("next_us").alias("next_time"), "wait_us")
 
