@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,57 +43,85 @@ class WordEncoder:
             self.ends[number] = piece.endswith("</w>")
         self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.plain = regex.compile(r"[\x21-\x7e\xa1-įĲ-ž]*").fullmatch  # one lower-case form, composed already
+        self.forget()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pretokens(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of distinct pre-tokens, many to a call."""
-        out: list[np.ndarray] = []
+    def _pretokens(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of distinct pre-tokens, many to a call, and how many each has; both in parts."""
+        ids_of, sizes = [], []
         for low in range(0, len(words), 1000):
             group = words[low:low + 1000]
             ids = np.array(self._encode([" ".join(group)])[0], dtype=np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group) and (not len(ids) or cuts[-1] == len(ids)):
-                out += np.split(ids, cuts[:-1])
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                sizes.append(np.diff(cuts, prepend=0))
             else:  # a pre-token came apart otherwise: one by one
-                out += [np.array(x, dtype=np.uint32) for x in self._encode(group)]
-        return out
+                each = self._encode(group)
+                ids = np.array([i for x in each for i in x], dtype=np.uint32)
+                sizes.append(np.array([len(x) for x in each], dtype=np.int64))
+            ids_of.append(ids)
+        return ids_of, sizes
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words one after another, and where each begins."""
-        seen: defaultdict = defaultdict(count().__next__)
-        parts, odd = [], []
-        for i, word in enumerate(words):
+        """Ids of distinct words one after another, and where each begins. Pre-tokens are remembered."""
+        known, base = self.pieces, len(self.piece_offsets) - 1
+        new: dict[str, int] = {}
+        numbers, counts, odd = [], [], []
+        for word in words:
             if self.plain(word) and not ("<" in word and any(s in word for s in self.specials)):
-                parts.append([seen[p] for p in self.pretokens(word.lower())])
+                parts = self.pretokens(word.lower())
+                for p in parts:
+                    n = known.get(p)
+                    numbers.append(new.setdefault(p, base + len(new)) if n is None else n)
+                counts.append(len(parts))
             else:
-                parts.append([])
-                odd.append(i)
-        pieces = self._pretokens(list(seen))
-        base = len(pieces)
-        pieces += [np.array(x, dtype=np.uint32) for x in self._encode([words[i] for i in odd])]
-        for k, i in enumerate(odd):
-            parts[i] = [base + k]
-        flat = np.concatenate([*pieces, np.empty(0, np.uint32)])
-        offsets = starts(np.array([len(p) for p in pieces], dtype=np.int64))
-        numbers = np.array([n for p in parts for n in p], dtype=np.int64)
-        ids, lengths = ragged_take(flat, offsets, numbers)
-        per_piece = starts(lengths)
-        return ids, per_piece[starts(np.array([len(p) for p in parts], dtype=np.int64))]
+                odd.append((len(numbers), word))
+                numbers.append(-1)
+                counts.append(1)
+        ids, sizes = self._pretokens(list(new))
+        known.update(new)
+        encoded = self._encode([w for _, w in odd])
+        for k, (at, _) in enumerate(odd):
+            numbers[at] = base + len(new) + k
+        ids += [np.array(x, dtype=np.uint32) for x in encoded]
+        sizes.append(np.array([len(x) for x in encoded], dtype=np.int64))
+        self.piece_flat = np.concatenate([self.piece_flat, *ids])
+        self.piece_offsets = np.concatenate([self.piece_offsets, self.piece_offsets[-1] + np.cumsum(np.concatenate(sizes))])
+        flat, lengths = ragged_take(self.piece_flat, self.piece_offsets, np.array(numbers, dtype=np.int64))
+        return flat, starts(lengths)[starts(np.array(counts, dtype=np.int64))]
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts one after another, and where each begins."""
-        seen: defaultdict = defaultdict(count().__next__)
+        """Ids of the texts one after another, and where each begins. Words are remembered, up to ``MEMORY`` of them."""
+        if len(self.seen) > MEMORY:
+            self.forget()
         picks = []
         for text in texts:
             words = text.encode().split()
-            picks.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
-        flat, offsets = self.words([w.decode() for w in seen])
-        ids, lengths = ragged_take(flat, offsets, np.concatenate(picks) if picks else np.empty(0, np.int64))
+            picks.append(np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words)))
+        new = [w.decode() for w in islice(self.seen, len(self.offsets) - 1, None)]
+        flat, offsets = self.words(new)
+        self.flat = np.concatenate([self.flat, flat])
+        self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
+        ids, lengths = ragged_take(self.flat, self.offsets, np.concatenate(picks) if picks else np.empty(0, np.int64))
         return ids, starts(lengths)[starts(np.array([len(p) for p in picks], dtype=np.int64))]
 
+    def forget(self) -> None:
+        self.seen: defaultdict = defaultdict(count().__next__)
+        self.flat, self.offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.pieces: dict[str, int] = {}
+        self.piece_flat, self.piece_offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+
+MEMORY = 500_000  # words a worker remembers between groups of texts
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """One zstandard frame for each byte plane (or bit plane) of little-endian 32-bit ids."""
@@ -130,7 +159,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows = rows.repartitionByRange(shuffle_partitions(docs), *order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         ids, texts, held = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
