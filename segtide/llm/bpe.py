@@ -47,6 +47,8 @@ def _splitter(pattern: str):
             for piece in pieces:
                 numbers = known.get(piece)
                 if numbers is None:
+                    if len(known) >= 200_000:  # only saves work: may start again
+                        known.clear()
                     known[piece] = numbers = tuple([seen[m.encode()] for m in match(piece)])
                 out += numbers
             return out
@@ -92,11 +94,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
         flat, offsets = values_in_order(ids_of.column("value"))
         flat, offsets = flat.view(stored).astype("<u4"), offsets // np.dtype(stored).itemsize
         for row in docs_of.to_pylist():
-            tokens, lengths = ragged_take(flat, offsets, unpack(row["picks"]))
-            per_word = starts(lengths)
-            ends = per_word[starts(np.array(row["lengths"], dtype=np.int64))]
-            out.append(pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(ends)),
-                                 binary_pieces(tokens, ends * 4)], names=["doc_id", "n_tokens", "ids"]))
+            picks, ends = unpack(row["picks"]), starts(np.array(row["lengths"], dtype=np.int64))
+            low = 0
+            while low < len(ends) - 1:  # a million words at a time
+                high = max(int(np.searchsorted(ends, ends[low] + 1_000_000, "right")) - 1, low + 1)
+                tokens, lengths = ragged_take(flat, offsets, picks[ends[low]:ends[high]])
+                at = starts(lengths)[ends[low:high + 1] - ends[low]]
+                out.append(pa.table([pa.array(row["doc_ids"][low:high], pa.int64()), pa.array(np.diff(at)),
+                                     binary_pieces(tokens, at * 4)], names=["doc_id", "n_tokens", "ids"]))
+                low = high
         return pa.concat_tables(out) if out else pa.table(
             {"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()),
              "ids": pa.array([], pa.binary())})

@@ -57,14 +57,20 @@ def one_thread() -> None:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as byte planes under zstandard: high planes are nearly empty."""
-    planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    """Unsigned 32-bit numbers, mostly small, under zstandard: a byte each, and byte planes of those from 255 on."""
+    values = np.ascontiguousarray(values, dtype="<u4")
+    large = values[values >= 255]
+    planes = np.ascontiguousarray(large.view(np.uint8).reshape(-1, 4).T)
+    small = np.minimum(values, 255).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=3).compress(len(values).to_bytes(8, "little") + small.tobytes() + planes.tobytes())
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n = int.from_bytes(raw[:8].tobytes(), "little")
+    out = raw[8:8 + n].astype("<u4")
+    out[out == 255] = np.ascontiguousarray(raw[8 + n:].reshape(4, -1).T).view("<u4").ravel()
+    return out
 
 
 def starts(lengths: np.ndarray) -> np.ndarray:

@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.tables import documents_in, pack, ship, shuffle_partitions, write_bucketed
+from segtide.llm.tables import pack, ship, shuffle_partitions, write_bucketed
 
-BLOCK_CHARS = 32_000_000  # text of one block; a longer document is a block of its own
+BLOCK_CHARS = 40_000_000  # text of one block; a longer document is a block of its own
 # A word's place is one number: task, block of the task, place in the block.
 NUMBER_BITS, IDX_BITS = 14, 28
 
@@ -30,6 +30,42 @@ BLOCKS = ("block bigint, doc_ids array<bigint>, lengths array<bigint>, n_bytes a
           "picks binary, times binary, words array<binary>")
 
 
+class _Block:
+    """Documents of a block, as numbers of its distinct words."""
+
+    def __init__(self, splitter: Callable[[], Callable]):
+        self.seen: defaultdict = defaultdict(count().__next__)
+        self.split = splitter()
+        self.ids, self.n_bytes, self.picks, self.chars = [], [], [], 0
+
+    def add(self, doc: int | None, text: str) -> None:
+        self.ids.append(doc)
+        self.n_bytes.append(len(text.encode()))
+        self.picks.append(np.asarray(self.split(text, self.seen), dtype=np.uint32))
+        self.chars += len(text) + 100
+
+    def close(self, block: int, frequencies: bool) -> pa.RecordBatch:
+        words, size = list(self.seen), max(len(self.seen), 1)
+        if size >> IDX_BITS:
+            raise ValueError("too many distinct words in one document")
+        lengths = np.array([len(p) for p in self.picks], dtype=np.int64)
+        flat, times = np.concatenate(self.picks), b""
+        self.picks = self.split = self.seen = None
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(words), dtype=np.uint32)
+        rank[order] = np.arange(len(words))
+        flat = rank[flat]
+        if frequencies:
+            keys, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + flat, return_counts=True)
+            lengths = np.bincount(keys // size, minlength=len(lengths))
+            flat, times = keys % size, pack(n)
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block]), pa.array([self.ids], longs), pa.array([lengths.tolist()], longs), pa.array([self.n_bytes], longs),
+             pa.array([pack(flat)]), pa.array([times]), pa.array([[words[i] for i in order]], pa.list_(pa.binary()))],
+            names=["block", "doc_ids", "lengths", "n_bytes", "picks", "times", "words"])
+
+
 def word_blocks(docs: DataFrame, label: str, splitter: Callable[[], Callable], frequencies: bool = False,
                 block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The table of blocks of ``docs`` (doc_id, text).
@@ -39,31 +75,19 @@ def word_blocks(docs: DataFrame, label: str, splitter: Callable[[], Callable], f
     how often each occurs (``times``), else every word in order.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << NUMBER_BITS
-        for number, (ids, texts) in enumerate(documents_in(batches, block_chars)):
-            if number >> NUMBER_BITS:
-                raise ValueError("too many blocks in one task: read the documents in smaller splits")
-            seen: defaultdict = defaultdict(count().__next__)
-            split, picks, n_bytes = splitter(), [], []
-            for i, text in enumerate(texts):
-                picks.append(np.asarray(split(text, seen), dtype=np.uint32))
-                n_bytes.append(len(text.encode()))
-                texts[i] = ""  # its words are enough
-            del split
-            if len(seen) >> IDX_BITS:
-                raise ValueError("too many distinct words in one document")
-            lengths = np.array([len(p) for p in picks], dtype=np.int64)
-            flat, times = np.concatenate(picks), b""
-            del picks
-            if frequencies:
-                keys, n = np.unique(np.repeat(np.arange(len(ids)), lengths) * len(seen) + flat, return_counts=True)
-                lengths = np.bincount(keys // max(len(seen), 1), minlength=len(ids))
-                flat, times = keys % max(len(seen), 1), pack(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part + number]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64())),
-                 pa.array([n_bytes], pa.list_(pa.int64())), pa.array([pack(flat)]),
-                 pa.array([times]), pa.array([list(seen)], pa.list_(pa.binary()))],
-                names=["block", "doc_ids", "lengths", "n_bytes", "picks", "times", "words"])
+        block = TaskContext.get().partitionId() << NUMBER_BITS
+        last = block + (1 << NUMBER_BITS)
+        held = _Block(splitter)
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.add(doc, text.as_py() or "")
+                if held.chars >= block_chars:
+                    yield held.close(block, frequencies)
+                    block, held = block + 1, _Block(splitter)
+                    if block == last:
+                        raise ValueError("too many blocks in one task: read the documents in smaller splits")
+        if held.ids:
+            yield held.close(block, frequencies)
 
     ship(docs)
     blocks = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(work, BLOCKS)
