@@ -114,7 +114,7 @@ def document_frequencies(coded: DataFrame, size: int, stride: int) -> tuple[np.n
 
 
 def gram_sketch(coded: DataFrame, idf: np.ndarray, stride: int, columns: int, seed: int = 11) -> tuple[np.ndarray, float]:
-    """``A'A`` times a random matrix, and the sum of squares of A, where A holds the TF-IDF of all passages.
+    """``A'A`` times a random matrix, and the sum of squared weights of all words, where A holds the TF-IDF of all passages.
 
     Each task adds up its own passages; the sums meet by row blocks in two steps, so no task holds more than a
     share of them. Only the result, of the vocabulary's size, comes back.
@@ -125,19 +125,18 @@ def gram_sketch(coded: DataFrame, idf: np.ndarray, stride: int, columns: int, se
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         omega = np.random.default_rng(seed).standard_normal((size, columns), dtype=np.float32)
+        omega *= weight[:, None].astype(np.float32)  # a word counts as often as it stands in the passage
         total, energy = np.zeros((size, columns)), 0.0
         for batch in batches:
             for numbers, places, n in _passages(batch, stride, weight > 0):
-                pairs, times = np.unique(places * size + numbers, return_counts=True)
-                words, where = pairs % size, pairs // size
-                values = (times * weight[words]).astype(np.float32)
-                energy += float((values.astype(np.float64) ** 2).sum())
-                projected = _by_group(omega[words] * values[:, None], where, n)
-                order = np.argsort(words, kind="stable")
-                mine = words[order]
+                energy += float((weight[numbers] ** 2).sum())
+                projected = _by_group(omega[numbers], places, n)
+                order = np.argsort(numbers, kind="stable")
+                mine = numbers[order]
                 first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else []
                 if len(first):
-                    total[mine[first]] += np.add.reduceat(projected[where[order]] * values[order][:, None], first, axis=0)
+                    total[mine[first]] += np.add.reduceat(projected[places[order]], first, axis=0)
+        total *= weight[:, None]
         task = TaskContext.get().partitionId()
         blocks = range(0, size, rows)
         yield pa.RecordBatch.from_arrays(
@@ -158,7 +157,7 @@ def gram_sketch(coded: DataFrame, idf: np.ndarray, stride: int, columns: int, se
 
 
 def latent_space(coded: DataFrame, item_ids: list[int], items: list[np.ndarray], answers: list[int], size: int,
-                 rank: int = 256, max_share: float = 0.1) -> Space:
+                 rank: int = 256, max_share: float = 0.05) -> Space:
     """Randomised SVD (one-pass Nystrom form) of the TF-IDF of all passages and the benchmark's items, the latter weighted to the same
     total energy. Words in more than ``max_share`` of the passages tell nothing and have no weight."""
     stride = int(max(24, np.percentile([len(i) for i in items], 95)))
