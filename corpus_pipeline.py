@@ -19,9 +19,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those without a letter, and ambiguous ones, go. A null ``lang`` becomes the
-    language found."""
-    found = langid.identify(docs, langid.train(docs))
+    """Documents whose language is clear; those without a letter, and those whose nearest codeword has a probability below 0.4,
+    go. A null ``lang`` becomes the language found."""
+    found = langid.identify(docs, langid.train(docs), ambiguous_below=0.4)
     return (found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous"))
             .withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns))
 
