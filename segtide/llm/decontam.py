@@ -34,6 +34,7 @@ class Space:
     item_ids: list[int]
     items: list[np.ndarray]  # numbers of each item's words
     answers: list[int]  # where the answer begins in it
+    telling: list[np.ndarray]  # each item's words without those that are everywhere
     stride: int  # words of a passage; a window is two
     weights: np.ndarray  # words x rank: inverse document frequency times the latent direction
     latent: np.ndarray  # items x rank, of length 1
@@ -156,15 +157,31 @@ def gram_sketch(coded: DataFrame, idf: np.ndarray, stride: int, columns: int, se
     return np.concatenate([np.frombuffer(s).reshape(-1, columns) for s in sums[1:]]), float(np.frombuffer(sums[0])[0])
 
 
+def telling_words(items: list[np.ndarray], frequency: np.ndarray, limit: float) -> list[np.ndarray]:
+    """Of each item the words in at most ``limit`` passages, and always the rarest half: copies of an item make its own words
+    frequent, and it must not vanish by that."""
+    out = []
+    for words in items:
+        distinct, place, times = np.unique(words, return_inverse=True, return_counts=True)
+        order = np.argsort(frequency[distinct], kind="stable")
+        rare = np.empty(len(distinct), dtype=bool)
+        rare[order] = np.cumsum(times[order]) - times[order] < len(words) / 2
+        out.append(words[((frequency[distinct] <= limit) | rare)[place]])
+    return out
+
+
 def latent_space(coded: DataFrame, item_ids: list[int], items: list[np.ndarray], answers: list[int], size: int,
                  rank: int = 256, max_share: float = 0.05) -> Space:
     """Randomised SVD (one-pass Nystrom form) of the TF-IDF of all passages and the benchmark's items, the latter weighted to the same
-    total energy. Words in more than ``max_share`` of the passages tell nothing and have no weight."""
+    total energy. Words that tell nothing in any item (see ``telling_words``; in more than ``max_share`` of the passages)
+    have no weight."""
     stride = int(max(24, np.percentile([len(i) for i in items], 95)))
     frequency, passages = document_frequencies(coded, size, stride)
     idf = np.log((1 + passages) / (1 + frequency)) + 1
-    idf[frequency > max(max_share * passages, 5)] = 0
-    idf[0] = 0
+    telling = telling_words(items, frequency, max(max_share * passages, 5))
+    known = np.zeros(size, dtype=bool)
+    known[np.concatenate(telling)] = True
+    idf[~known] = 0
     columns = min(size, rank + 16)
     gram, energy = gram_sketch(coded, idf, stride, columns)
     omega = np.random.default_rng(11).standard_normal((size, columns), dtype=np.float32).astype(np.float64)
@@ -186,7 +203,7 @@ def latent_space(coded: DataFrame, item_ids: list[int], items: list[np.ndarray],
     weights = (idf[:, None] * basis).astype(np.float32)
     latent = np.stack([(v[:, None] * basis[w]).sum(0) for w, v in vectors])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(item_ids, items, answers, stride, weights, latent.astype(np.float32))
+    return Space(item_ids, items, answers, telling, stride, weights, latent.astype(np.float32))
 
 
 def common_subsequence(pattern_masks: dict[int, int], length: int, words: list[int]) -> int:
@@ -226,13 +243,12 @@ def search(coded: DataFrame, space: Space, min_cosine: float = 0.35, sure: float
         masks = [_masks(i) for i in s.items]
         ends = [_masks(i[a:]) for i, a in zip(s.items, s.answers)]
         known = np.abs(s.weights).max(axis=1) > 0
-        telling = [i[known[i]] for i in s.items]  # without words that are everywhere
-        tell_masks = [_masks(i) for i in telling]
+        tell_masks = [_masks(i) for i in s.telling]
 
         def confirm(words: np.ndarray, first: int, k: int) -> tuple[float, float]:
             part = words[max(first - 1, 0) * s.stride:(first + 3) * s.stride]
             part = part[part > 0].tolist()
-            n, a, told = len(s.items[k]), s.answers[k], len(telling[k])
+            n, a, told = len(s.items[k]), s.answers[k], len(s.telling[k])
             if told and common_subsequence(tell_masks[k], told, part) < likely * told:
                 return 0.0, 0.0
             return (common_subsequence(masks[k], n, part) / n,

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -157,6 +158,21 @@ def test_whole_items_in_documents(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == wanted
 
 
+def made_up(seed, n, kinds=4000):
+    """A text of made-up words, some of them frequent."""
+    draw = random.Random(seed)
+    return " ".join(f"w{int(kinds * draw.random() ** 3)}" for _ in range(n))
+
+
+def test_item_copied_into_many_documents_is_found(spark):
+    item, other = made_up("one", 36), made_up("two", 36)
+    docs = [(d, made_up(d, 150)) for d in range(300)] + [(1000 + d, item) for d in range(100)]
+    docs += [(2000, made_up(7, 60) + " " + item + " " + made_up(8, 60)), (2001, other)]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                                spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.where("cosine > 0.35").collect()} == {(1000 + d, 1) for d in range(100)} | {(2000, 1), (2001, 2)}
+
+
 @pytest.mark.parametrize("a, b, n", [("", "abc", 0), ("abc", "abc", 3), ("abcbdab", "bdcaba", 4), ("aaaa", "aa", 2)])
 def test_common_subsequence(a, b, n):
     masks = {}
