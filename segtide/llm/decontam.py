@@ -1,8 +1,9 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by common words, with a latent semantic space for how near a match is.
 
-Documents are cut into passages of words; a randomised SVD of their TF-IDF matrix (one distributed pass) gives a latent
-space, in which windows of every document are compared with all benchmark items. Near ones are checked by the longest common
-subsequence of words, and paraphrases by whether the item's answer is there too.
+Documents are cut into passages of words. Every stretch of passages that has enough of an item's words to match it is checked
+by the longest common subsequence of words, and paraphrases by whether the item's answer is there too; no match is lost
+before that check. A randomised SVD of the passages' TF-IDF matrix (one distributed pass) gives a latent space, in which matches
+are compared with their items.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.tables import pack, ship, unpack, write_shared
+from segtide.llm.tables import pack, ragged_take, ship, starts, unpack, write_shared
 
 MAX_ITEMS = 20_000  # benchmark items that may be handed to every task
 _STRIP = b".,;:!?\"'()[]{}|*#%&$<>-_=+/\\`~"
@@ -35,6 +36,7 @@ class Space:
     items: list[np.ndarray]  # numbers of each item's words
     answers: list[int]  # where the answer begins in it
     telling: list[np.ndarray]  # each item's words without those that are everywhere
+    frequency: np.ndarray  # passages of the corpus that each word is in
     stride: int  # words of a passage; a window is two
     weights: np.ndarray  # words x rank: inverse document frequency times the latent direction
     latent: np.ndarray  # items x rank, of length 1
@@ -203,7 +205,7 @@ def latent_space(coded: DataFrame, item_ids: list[int], items: list[np.ndarray],
     weights = (idf[:, None] * basis).astype(np.float32)
     latent = np.stack([(v[:, None] * basis[w]).sum(0) for w, v in vectors])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(item_ids, items, answers, telling, stride, weights, latent.astype(np.float32))
+    return Space(item_ids, items, answers, telling, frequency, stride, weights, latent.astype(np.float32))
 
 
 def common_subsequence(pattern_masks: dict[int, int], length: int, words: list[int]) -> int:
@@ -225,16 +227,66 @@ def _masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
+class CommonWords:
+    """A bound on how many words an item can have in common with a stretch of passages, without loss.
+
+    ``least`` of an item's words have to be in the stretch. Its most frequent words, up to half of ``least``, are left out,
+    and as many fewer are needed of the others; a word counts in every passage that has it, as often as the item has it.
+    """
+
+    def __init__(self, s: Space, share: float, passages: int, cells: int = 4_000_000):
+        size, n_items = s.weights.shape[0], len(s.items)
+        self.passages, self.n_items = passages, n_items
+        self.rows = max(cells // n_items, 2 * passages)
+        self.need = np.zeros(n_items)
+        words, owners, times = [], [], []
+        for k, item in enumerate(s.items):
+            least = int(np.ceil(share * len(item) - 1e-9))
+            distinct, n = np.unique(item, return_counts=True)
+            order = np.argsort(-s.frequency[distinct], kind="stable")
+            left_out = np.cumsum(n[order])
+            first = int((left_out <= least // 2).sum())
+            self.need[k] = max(least - (int(left_out[first - 1]) if first else 0), 1)
+            words.append(distinct[order[first:]])
+            owners.append(np.full(len(order) - first, k))
+            times.append(n[order[first:]])
+        words = np.concatenate(words)
+        order = np.argsort(words, kind="stable")
+        self.owners, self.times = np.concatenate(owners)[order], np.concatenate(times)[order]
+        self.offsets = starts(np.bincount(words, minlength=size))
+        self.known = self.offsets[1:] > self.offsets[:-1]
+
+    def near(self, words: np.ndarray, stride: int) -> Iterator[tuple[int, int]]:
+        """(first passage, item) of every stretch of a document that may match; a stretch over the end is within the last whole one."""
+        size, n = len(self.known), -(-len(words) // stride)
+        if not n:
+            return
+        at = np.flatnonzero(self.known[words])
+        pairs = np.unique(at // stride * size + words[at])
+        place, word = pairs // size, pairs % size
+        for low in range(0, max(n - self.passages, 0) + 1, self.rows - self.passages + 1):
+            rows = min(self.rows, n - low)
+            a, b = np.searchsorted(place, (low, low + rows))
+            owner, lengths = ragged_take(self.owners, self.offsets, word[a:b])
+            times, _ = ragged_take(self.times, self.offsets, word[a:b])
+            cell = np.repeat(place[a:b] - low, lengths) * self.n_items + owner
+            total = np.zeros((rows + 1, self.n_items))
+            np.cumsum(np.bincount(cell, times, rows * self.n_items).reshape(rows, -1), axis=0, out=total[1:])
+            span = min(self.passages, rows)
+            for first, k in zip(*np.nonzero(total[span:] - total[:rows + 1 - span] >= self.need)):
+                yield low + int(first), int(k)
+
+
 MATCHES = "doc_id bigint, item_id bigint, cosine double, common_share double, answer_share double, word_at bigint"
 
 
-def search(coded: DataFrame, space: Space, min_cosine: float = 0.35, sure: float = 0.8, likely: float = 0.55,
-           min_answer: float = 0.75, item_block: int = 2000) -> DataFrame:
-    """Windows of all documents near an item in the latent space whose words confirm it.
+def search(coded: DataFrame, space: Space, sure: float = 0.8, likely: float = 0.55, min_answer: float = 0.75) -> DataFrame:
+    """Stretches of all documents whose words confirm an item.
 
-    A window is two passages, starting at every passage; items are compared in blocks. It matches if the longest
-    common subsequence with the item (over the window and a passage on either side) holds ``sure`` of its words, or ``likely`` of them
-    and ``min_answer`` of its answer; ``likely`` of the words that have a weight must be in order there in either case.
+    A stretch is four passages, starting at every passage. It matches if the longest common subsequence with the item holds ``sure``
+    of its words, or ``likely`` of them and ``min_answer`` of its answer; ``likely`` of the words that tell something
+    must be in order there in either case. ``cosine`` and ``word_at`` are those of its window (two passages) nearest to the item in
+    the latent space.
     """
     shared = coded.sparkSession.sparkContext.broadcast(space)
 
@@ -242,11 +294,12 @@ def search(coded: DataFrame, space: Space, min_cosine: float = 0.35, sure: float
         s = shared.value
         masks = [_masks(i) for i in s.items]
         ends = [_masks(i[a:]) for i, a in zip(s.items, s.answers)]
-        known = np.abs(s.weights).max(axis=1) > 0
         tell_masks = [_masks(i) for i in s.telling]
+        common_words = CommonWords(s, min(sure, likely), 4)
+        known = np.abs(s.weights).max(axis=1) > 0
 
         def confirm(words: np.ndarray, first: int, k: int) -> tuple[float, float]:
-            part = words[max(first - 1, 0) * s.stride:(first + 3) * s.stride]
+            part = words[first * s.stride:(first + 4) * s.stride]
             part = part[part > 0].tolist()
             n, a, told = len(s.items[k]), s.answers[k], len(s.telling[k])
             if told and common_subsequence(tell_masks[k], told, part) < likely * told:
@@ -254,32 +307,30 @@ def search(coded: DataFrame, space: Space, min_cosine: float = 0.35, sure: float
             return (common_subsequence(masks[k], n, part) / n,
                     common_subsequence(ends[k], n - a, part) / (n - a) if n > a else 1.0)
 
-        def in_document(words: np.ndarray, z: np.ndarray, out: list, doc) -> None:
-            window = z + np.concatenate([z[1:], np.zeros((1, z.shape[1]), z.dtype)])
-            length = np.linalg.norm(window, axis=1)
-            window /= np.maximum(length, 1e-12)[:, None]
+        def windows(words: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(known[words])
+            z = np.zeros((-(-len(words) // s.stride) + 1, s.weights.shape[1]), dtype=np.float32)
+            for low in range(0, len(at), 100_000):
+                z += _by_group(s.weights[words[at[low:low + 100_000]]], at[low:low + 100_000] // s.stride, len(z))
+            window = z[:-1] + z[1:]
+            return window / np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
+
+        def in_document(words: np.ndarray, out: list, doc) -> None:
             best: dict[int, tuple] = {}
-            for low in range(0, len(s.items), item_block):
-                near = window @ s.latent[low:low + item_block].T
-                for first, k in zip(*np.nonzero(near >= min_cosine)):
-                    item = int(k) + low
-                    common, answer = confirm(words, int(first), item)
-                    if common >= sure or common >= likely and answer >= min_answer:
-                        found = (common, float(near[first, k]), answer, int(first) * s.stride)
-                        best[item] = max(best.get(item, found), found)
+            window = None
+            for first, k in common_words.near(words, s.stride):
+                common, answer = confirm(words, first, k)
+                if common >= sure or common >= likely and answer >= min_answer:
+                    window = windows(words) if window is None else window
+                    near = window[first:first + 3] @ s.latent[k]
+                    found = (common, float(near.max()), answer, (first + int(near.argmax())) * s.stride)
+                    best[k] = max(best.get(k, found), found)
             out += [(doc, s.item_ids[i], c, m, a, at) for i, (m, c, a, at) in sorted(best.items())]
 
         for batch in batches:
             out: list[tuple] = []
             for doc, packed in zip(batch.column("doc_id").to_pylist(), batch.column("numbers").to_pylist()):
-                words = unpack(packed)
-                at = np.flatnonzero(known[words])
-                if len(at):
-                    n = -(-len(words) // s.stride)
-                    z = np.zeros((n, s.weights.shape[1]), dtype=np.float32)
-                    for low in range(0, len(at), 100_000):
-                        z += _by_group(s.weights[words[at[low:low + 100_000]]], at[low:low + 100_000] // s.stride, n)
-                    in_document(words, z, out, doc)
+                in_document(unpack(packed), out, doc)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,45 @@ def test_item_copied_into_many_documents_is_found(spark):
     assert {(r.doc_id, r.item_id) for r in got.where("cosine > 0.35").collect()} == {(1000 + d, 1) for d in range(100)} | {(2000, 1), (2001, 2)}
 
 
+@pytest.mark.parametrize("n_items", [40, 700])
+def test_no_match_is_lost_before_the_check(spark, n_items):
+    """Items planted as they are, and with words replaced, half of them beside a text that repeats one sentence."""
+    draw = random.Random(n_items)
+    items = {k: made_up(f"item {k}", draw.randint(15, 59)) for k in range(n_items)}
+    docs = []
+    for k, item in items.items():
+        words = [w if draw.random() > 0.15 * (k % 3) else f"other{draw.randint(0, 99)}" for w in item.split()]
+        beside = made_up(f"loud {k}", 6) + " "
+        around = beside * 12 if k % 2 else made_up(f"around {k}", 300) + " "
+        docs.append((k, around + " ".join(words) + " " + around))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8),
+                                spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
+    found = {(r.doc_id, r.item_id): r.common_share for r in got.collect()}
+    assert all((k, k) in found for k in items if k % 3 == 0)
+
+
+@pytest.mark.parametrize("n_items, cells", [(30, 4_000_000), (30, 400)])
+def test_bound_on_common_words_loses_nothing(n_items, cells):
+    draw = np.random.default_rng(n_items)
+    items = [(1 + 300 * draw.random(draw.integers(3, 60)) ** 3).astype(int) for _ in range(n_items)]
+    frequency = np.bincount(np.concatenate(items), minlength=302) * draw.integers(1, 5, 302)
+    space = decontam.Space([], items, [], items, frequency, 24, np.zeros((302, 1)), np.zeros((n_items, 1)))
+    bound = decontam.CommonWords(space, 0.55, 4, cells)
+    matches = 0
+    for d in range(60):
+        words = (1 + 300 * draw.random(draw.integers(0, 700)) ** 3).astype(int)
+        if d % 2:
+            words = np.concatenate([words, items[d % n_items][draw.random(len(items[d % n_items])) > 0.3], words[:50]])
+        near = set(bound.near(words, 24))
+        for first in range(max(-(-len(words) // 24) - 3, 1)):
+            for k, item in enumerate(items):
+                part = words[first * 24:(first + 4) * 24].tolist()
+                if decontam.common_subsequence(decontam._masks(item), len(item), part) >= 0.55 * len(item):
+                    matches += 1
+                    assert (first, k) in near
+    assert matches > 30
+
+
 @pytest.mark.parametrize("a, b, n", [("", "abc", 0), ("abc", "abc", 3), ("abcbdab", "bdcaba", 4), ("aaaa", "aa", 2)])
 def test_common_subsequence(a, b, n):
     masks = {}
