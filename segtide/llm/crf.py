@@ -243,7 +243,8 @@ def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 8
 # --- finding --------------------------------------------------------------------------------------
 
 _TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot)\b|[(\[](?:at|dot|\.)[)\]]", re.IGNORECASE)
-_NEEDED = re.compile(r"[0-9@]|\bdot\b|[(\[]at[)\]]", re.IGNORECASE)
+# every span that _valid accepts has a digit, or an '@' or what it reads as one and a dot after that
+_NEEDED = re.compile(r"[0-9@]|\bdot\b|[(\[]at[)\]]| at [a-z0-9-]+(?:\.| ?[(\[]\.[)\]] ?)[a-z0-9-]", re.IGNORECASE)
 _WORD = re.compile(r"\S+")
 AROUND = 6  # words on each side of a trigger that the field sees
 

@@ -120,6 +120,23 @@ def test_field_adds_and_keeps(field):
     assert found[3] == [("email", 5, 12, True)]
 
 
+@pytest.mark.parametrize("kind, value", [(k, v) for k in crf.KINDS for v in crf.VALUES[k]])
+def test_every_form_in_a_line_without_other_signs(kind, value, field):
+    sentence = next(s for s in crf.SENTENCES if s.count("{") == 1 and f" {{{kind}}} " in s)
+    text = f"no sign here\n{sentence.format(**{kind: value})}\nnor here"
+    assert any(value in " ".join(w[0] for w in words) for words in crf.windows(text))
+    begin = text.index(value)
+    if crf._valid(kind, value):
+        assert (kind, begin, begin + len(value)) in [s[:3] for s in crf.find_all([text], field)[0]]
+
+
+@pytest.mark.parametrize("at", ["@", " at ", " AT ", "(at)", " [at] ", " (At) "])
+@pytest.mark.parametrize("dot", [".", "[.]", "(.)", " [.] ", " dot ", "(dot)", " [Dot] "])
+def test_lines_with_a_valid_address_are_seen(at, dot):
+    address = f"maria{at}example{dot}com"
+    assert crf._valid("email", address) and crf._NEEDED.search(f"write to {address} soon")
+
+
 def test_personal_data_of_messy_rows(messy, no_rows, field):
     got = crf.find_personal_data(messy, field)
     assert rows_of(got.select("doc_id", "text")) == sorted(ROWS, key=repr)
