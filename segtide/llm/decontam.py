@@ -37,7 +37,8 @@ class Space:
     answers: list[int]  # where the answer begins in it
     telling: list[np.ndarray]  # each item's words without those that are everywhere
     frequency: np.ndarray  # passages of the corpus that each word is in
-    stride: int  # words of a passage; a window is two
+    stride: int  # words of a passage
+    whole: np.ndarray  # items that are too short to be told by a share of their words
     weights: np.ndarray  # words x rank: inverse document frequency times the latent direction
     latent: np.ndarray  # items x rank, of length 1
 
@@ -173,7 +174,7 @@ def telling_words(items: list[np.ndarray], frequency: np.ndarray, limit: float)
 
 
 def latent_space(coded: DataFrame, item_ids: list[int], items: list[np.ndarray], answers: list[int], size: int,
-                 rank: int = 256, max_share: float = 0.05) -> Space:
+                 rank: int = 256, max_share: float = 0.05, min_words: int = 0) -> Space:
     """Randomised SVD (one-pass Nystrom form) of the TF-IDF of all passages and the benchmark's items, the latter weighted to the same
     total energy. Words that tell nothing in any item (see ``telling_words``; in more than ``max_share`` of the passages)
     have no weight."""
@@ -205,7 +206,7 @@ def latent_space(coded: DataFrame, item_ids: list[int], items: list[np.ndarray],
     weights = (idf[:, None] * basis).astype(np.float32)
     latent = np.stack([(v[:, None] * basis[w]).sum(0) for w, v in vectors])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(item_ids, items, answers, telling, frequency, stride, weights, latent.astype(np.float32))
+    return Space(item_ids, items, answers, telling, frequency, stride, np.array([len(i) < min_words for i in items]), weights, latent.astype(np.float32))
 
 
 def common_subsequence(pattern_masks: dict[int, int], length: int, words: list[int]) -> int:
@@ -234,13 +235,15 @@ class CommonWords:
     and as many fewer are needed of the others; a word counts in every passage that has it, as often as the item has it.
     """
 
-    def __init__(self, s: Space, share: float, passages: int, cells: int = 4_000_000):
+    def __init__(self, s: Space, share: float, passages: np.ndarray, cells: int = 4_000_000):
         size, n_items = s.weights.shape[0], len(s.items)
-        self.passages, self.n_items = passages, n_items
-        self.rows = max(cells // n_items, 2 * passages)
-        self.need = np.zeros(n_items)
+        self.n_items, self.longest = n_items, int(passages.max())
+        self.of_length = [(int(p), np.flatnonzero(passages == p)) for p in np.unique(passages)]
+        self.rows = max(cells // n_items, 2 * self.longest)
+        self.need = np.full(n_items, np.inf)
         words, owners, times = [], [], []
-        for k, item in enumerate(s.items):
+        for k in np.flatnonzero(~s.whole):
+            item = s.items[k]
             least = int(np.ceil(share * len(item) - 1e-9))
             distinct, n = np.unique(item, return_counts=True)
             order = np.argsort(-s.frequency[distinct], kind="stable")
@@ -250,9 +253,10 @@ class CommonWords:
             words.append(distinct[order[first:]])
             owners.append(np.full(len(order) - first, k))
             times.append(n[order[first:]])
-        words = np.concatenate(words)
+        words = np.concatenate([np.empty(0, np.int64), *words])
         order = np.argsort(words, kind="stable")
-        self.owners, self.times = np.concatenate(owners)[order], np.concatenate(times)[order]
+        self.owners = np.concatenate([np.empty(0, np.int64), *owners])[order]
+        self.times = np.concatenate([np.empty(0, np.int64), *times])[order]
         self.offsets = starts(np.bincount(words, minlength=size))
         self.known = self.offsets[1:] > self.offsets[:-1]
 
@@ -264,7 +268,7 @@ class CommonWords:
         at = np.flatnonzero(self.known[words])
         pairs = np.unique(at // stride * size + words[at])
         place, word = pairs // size, pairs % size
-        for low in range(0, max(n - self.passages, 0) + 1, self.rows - self.passages + 1):
+        for low in range(0, max(n - self.longest, 0) + 1, self.rows - self.longest + 1):
             rows = min(self.rows, n - low)
             a, b = np.searchsorted(place, (low, low + rows))
             owner, lengths = ragged_take(self.owners, self.offsets, word[a:b])
@@ -272,9 +276,33 @@ class CommonWords:
             cell = np.repeat(place[a:b] - low, lengths) * self.n_items + owner
             total = np.zeros((rows + 1, self.n_items))
             np.cumsum(np.bincount(cell, times, rows * self.n_items).reshape(rows, -1), axis=0, out=total[1:])
-            span = min(self.passages, rows)
-            for first, k in zip(*np.nonzero(total[span:] - total[:rows + 1 - span] >= self.need)):
-                yield low + int(first), int(k)
+            for passages, items in self.of_length:
+                span = min(passages, rows)
+                for first, k in zip(*np.nonzero((total[span:] - total[:rows + 1 - span])[:, items] >= self.need[items])):
+                    yield low + int(first), int(items[k])
+
+
+class WholeItems:
+    """Short items, found where all their words stand in a row; looked for at their rarest word."""
+
+    def __init__(self, s: Space):
+        self.at: dict[int, dict[tuple[int, int], dict[bytes, list[int]]]] = {}
+        for k in np.flatnonzero(s.whole):
+            item = s.items[k].astype("<u4")
+            before = int(s.frequency[item].argmin())
+            shapes = self.at.setdefault(int(item[before]), {})
+            shapes.setdefault((before, len(item)), {}).setdefault(item.tobytes(), []).append(int(k))
+        self.known = np.zeros(s.weights.shape[0], dtype=bool)
+        self.known[list(self.at)] = True
+
+    def near(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(first word, item) of every place of an item in a document."""
+        if self.at:
+            for place in np.flatnonzero(self.known[words]).tolist():
+                for (before, length), items in self.at[int(words[place])].items():
+                    if place >= before:
+                        for k in items.get(words[place - before:place - before + length].tobytes(), ()):
+                            yield place - before, k
 
 
 MATCHES = "doc_id bigint, item_id bigint, cosine double, common_share double, answer_share double, word_at bigint"
@@ -283,10 +311,10 @@ MATCHES = "doc_id bigint, item_id bigint, cosine double, common_share double, an
 def search(coded: DataFrame, space: Space, sure: float = 0.8, likely: float = 0.55, min_answer: float = 0.75) -> DataFrame:
     """Stretches of all documents whose words confirm an item.
 
-    A stretch is four passages, starting at every passage. It matches if the longest common subsequence with the item holds ``sure``
+    A stretch is four passages, or half as much again as a longer item, starting at every passage. It matches if the longest common subsequence with the item holds ``sure``
     of its words, or ``likely`` of them and ``min_answer`` of its answer; ``likely`` of the words that tell something
-    must be in order there in either case. ``cosine`` and ``word_at`` are those of its window (two passages) nearest to the item in
-    the latent space.
+    must be in order there in either case. ``cosine`` and ``word_at`` are those of its window (the item's length in passages, and
+    one) nearest to the item in the latent space. Items in ``whole`` match where all their words stand in a row.
     """
     shared = coded.sparkSession.sparkContext.broadcast(space)
 
@@ -295,11 +323,14 @@ def search(coded: DataFrame, space: Space, sure: float = 0.8, likely: float = 0.
         masks = [_masks(i) for i in s.items]
         ends = [_masks(i[a:]) for i, a in zip(s.items, s.answers)]
         tell_masks = [_masks(i) for i in s.telling]
-        common_words = CommonWords(s, min(sure, likely), 4)
+        lengths = np.array([len(i) for i in s.items])
+        reach = np.maximum(-(-3 * lengths // (2 * s.stride)) + 1, 4)  # passages of a stretch
+        wide = -(-lengths // s.stride) + 1  # and of a window
+        common_words, whole_items = CommonWords(s, min(sure, likely), reach), WholeItems(s)
         known = np.abs(s.weights).max(axis=1) > 0
 
         def confirm(words: np.ndarray, first: int, k: int) -> tuple[float, float]:
-            part = words[first * s.stride:(first + 4) * s.stride]
+            part = words[first * s.stride:(first + reach[k]) * s.stride]
             part = part[part > 0].tolist()
             n, a, told = len(s.items[k]), s.answers[k], len(s.telling[k])
             if told and common_subsequence(tell_masks[k], told, part) < likely * told:
@@ -307,24 +338,33 @@ def search(coded: DataFrame, space: Space, sure: float = 0.8, likely: float = 0.
             return (common_subsequence(masks[k], n, part) / n,
                     common_subsequence(ends[k], n - a, part) / (n - a) if n > a else 1.0)
 
-        def windows(words: np.ndarray) -> np.ndarray:
+        def sums(words: np.ndarray) -> np.ndarray:
             at = np.flatnonzero(known[words])
-            z = np.zeros((-(-len(words) // s.stride) + 1, s.weights.shape[1]), dtype=np.float32)
+            z = np.zeros((-(-len(words) // s.stride), s.weights.shape[1]), dtype=np.float32)
             for low in range(0, len(at), 100_000):
                 z += _by_group(s.weights[words[at[low:low + 100_000]]], at[low:low + 100_000] // s.stride, len(z))
-            window = z[:-1] + z[1:]
-            return window / np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
+            return z
+
+        def nearest(z: np.ndarray, k: int) -> tuple[int, float]:
+            window = np.stack([z[f:f + wide[k]].sum(0) for f in range(len(z))])
+            near = window @ s.latent[k] / np.maximum(np.linalg.norm(window, axis=1), 1e-12)
+            return int(near.argmax()), float(near.max())
 
         def in_document(words: np.ndarray, out: list, doc) -> None:
             best: dict[int, tuple] = {}
-            window = None
+            z = None
             for first, k in common_words.near(words, s.stride):
                 common, answer = confirm(words, first, k)
                 if common >= sure or common >= likely and answer >= min_answer:
-                    window = windows(words) if window is None else window
-                    near = window[first:first + 3] @ s.latent[k]
-                    found = (common, float(near.max()), answer, (first + int(near.argmax())) * s.stride)
+                    z = sums(words) if z is None else z
+                    at, near = nearest(z[first:first + reach[k] - 1], k)
+                    found = (common, near, answer, (first + at) * s.stride)
                     best[k] = max(best.get(k, found), found)
+            for at, k in whole_items.near(words):
+                if k not in best:
+                    z = sums(words) if z is None else z
+                    first = at // s.stride
+                    best[k] = (1.0, nearest(z[first:first + wide[k]], k)[1], 1.0, at)
             out += [(doc, s.item_ids[i], c, m, a, at) for i, (m, c, a, at) in sorted(best.items())]
 
         for batch in batches:
@@ -346,7 +386,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 8, rank
     each pair.
 
     ``benchmark`` has ``item_id`` and ``text`` and at most ``MAX_ITEMS`` rows (more end the job). Items with fewer than
-    ``min_words`` words, or a null text or id, are not searched; documents with a null id or text match nothing; repeated
+    ``min_words`` words match where all their words stand in a row; those without a word, or with a null text or id, are not searched; documents with a null id or text match nothing; repeated
     rows give one row. Other columns are ignored. No items or no documents give no rows.
     """
     ship(docs)
@@ -358,14 +398,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 8, rank
     item_ids, items, answers = [], [], []
     for row in sorted(rows):
         words = words_of(row["text"])
-        if len(words) >= min_words:
+        if words:
             item_ids.append(row["item_id"])
             items.append(np.array([number.setdefault(w, len(number) + 1) for w in words]))
             answers.append(_answer_at(row["text"], words))
     if not items:
         return docs.sparkSession.createDataFrame([], MATCHES)
     coded = write_shared(encode_words(docs.where("doc_id is not null"), number), "benchmark_words")
-    space = latent_space(coded, item_ids, items, answers, len(number) + 1, rank)
+    space = latent_space(coded, item_ids, items, answers, len(number) + 1, rank, min_words=min_words)
     found = search(coded, space, **search_options)
     top = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("common_share", "cosine", "answer_share", "word_at")).alias("m"))
     return top.select("doc_id", "item_id", "m.cosine", "m.common_share", "m.answer_share", "m.word_at")

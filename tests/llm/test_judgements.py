@@ -213,23 +213,38 @@ def test_bound_on_common_words_loses_nothing(n_items, cells):
     draw = np.random.default_rng(n_items)
     items = [(1 + 300 * draw.random(draw.integers(3, 60)) ** 3).astype(int) for _ in range(n_items)]
     frequency = np.bincount(np.concatenate(items), minlength=302) * draw.integers(1, 5, 302)
-    space = decontam.Space([], items, [], items, frequency, 24, np.zeros((302, 1)), np.zeros((n_items, 1)))
-    bound = decontam.CommonWords(space, 0.55, 4, cells)
+    space = decontam.Space([], items, [], items, frequency, 24, np.zeros(n_items, bool), np.zeros((302, 1)), np.zeros((n_items, 1)))
+    reach = np.where(np.arange(n_items) % 5, 4, 6)
+    bound = decontam.CommonWords(space, 0.55, reach, cells)
     matches = 0
     for d in range(60):
         words = (1 + 300 * draw.random(draw.integers(0, 700)) ** 3).astype(int)
         if d % 2:
             words = np.concatenate([words, items[d % n_items][draw.random(len(items[d % n_items])) > 0.3], words[:50]])
         near = set(bound.near(words, 24))
-        for first in range(max(-(-len(words) // 24) - 3, 1)):
-            for k, item in enumerate(items):
-                part = words[first * 24:(first + 4) * 24].tolist()
+        for k, item in enumerate(items):
+            for first in range(max(-(-len(words) // 24) - reach[k] + 1, 1)):
+                part = words[first * 24:(first + reach[k]) * 24].tolist()
                 if decontam.common_subsequence(decontam._masks(item), len(item), part) >= 0.55 * len(item):
                     matches += 1
                     assert (first, k) in near
     assert matches > 30
 
 
+def test_items_of_every_length_are_found(spark):
+    lengths = [1, 2, 3, 5, 7, 8, 12, 24, 60, 180, 900]
+    items = {n: " ".join(f"only{n}x{i % 400}" for i in range(n)) for n in lengths} | {24 + i: made_up(f"short {i}", 24) for i in range(1, 30)}
+    items[1000] = "in the made up"
+    docs = [(n, f"{made_up(n, 333)} {text.upper()}. {made_up(n + 5, 200)}") for n, text in items.items()]
+    docs += [(5000 + n, text) for n, text in items.items()]
+    docs += [(9000, "only3x0 only3x2 only3x1"), (9001, "made up in the"), (9002, "only2x0 other only2x1")]  # no whole item
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(
+        [*items.items(), (2000, " .. ")], "item_id bigint, text string"))
+    rows = {(r.doc_id, r.item_id): r for r in got.collect()}
+    assert set(rows) == {(d + n, n) for n in items for d in (0, 5000)}
+    assert all(r.common_share == 1 for r in rows.values()) and rows[3, 3].word_at == 333
+
+
 @pytest.mark.parametrize("a, b, n", [("", "abc", 0), ("abc", "abc", 3), ("abcbdab", "bdcaba", 4), ("aaaa", "aa", 2)])
 def test_common_subsequence(a, b, n):
     masks = {}
