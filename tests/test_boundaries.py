@@ -315,6 +315,32 @@ def test_next_available_of_each_node(rows):
     assert sorted((r.node, r.next_us is not None) for r in got) == [(2, True), (3, False)]
 
 
+def test_next_available_at_every_tick_of_every_node(spark):
+    import bisect
+
+    from workbench.queries import QUERIES
+    from workbench.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    done = {r.filepath for r in t.done().collect()}
+    every, free = {}, {}
+    for r in t.catalog().orderBy("file_time").collect():
+        every.setdefault(r.node, []).append(r.file_time)
+        free.setdefault(r.node, [])
+        if r.filepath not in done:
+            free[r.node].append(r.file_time)
+    wanted = set()
+    for tick in (r.tick for r in t.ticks().collect()):
+        for node in every:
+            k = bisect.bisect_right(free[node], tick - timedelta(hours=24))
+            if k == len(free[node]) or free[node][k] >= tick - timedelta(hours=18):
+                k = bisect.bisect_right(every[node], tick - timedelta(hours=24))
+                wanted.add((node, tick, every[node][k] if k < len(every[node]) else None))
+    got = [(r.node, r.tick, r.next_time) for r in QUERIES["next_available_whole"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+    assert {g[0] for g in got} == set(every) and any(g[1].minute for g in got)
+
+
 def test_append_adds_each_segment_once_and_raises_the_target(rows):
     data = [(1, at("2024-01-01T00:00:00"), at("2024-01-01T00:00:10"), "a.ts"), (1, at("2024-01-01T00:00:10"), at("2024-01-01T00:01:10"), "b.ts")]
     df = rows(data, "node bigint, seg_start timestamp_ntz, seg_end timestamp_ntz, ts_name string")

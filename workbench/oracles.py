@@ -253,6 +253,13 @@ ORACLES: dict[str, str] = {
         ASOF LEFT JOIN (SELECT * FROM catalog WHERE filepath NOT IN (SELECT filepath FROM done)) o
           ON t.node = o.node AND t.tick - INTERVAL 24 HOUR < o.file_time
         WHERE o.file_time IS NULL OR o.file_time >= t.tick - INTERVAL 18 HOUR""", "catalog", "ticks", "done"),
+    "next_available_whole": sql("""SELECT t.node, t.tick, a.file_time AS next_time,
+        epoch_us(a.file_time) - epoch_us(t.tick - INTERVAL 18 HOUR) AS wait_us
+        FROM (SELECT * FROM ticks, (SELECT DISTINCT node FROM catalog WHERE node IS NOT NULL) n) t
+        ASOF LEFT JOIN catalog a ON t.node = a.node AND t.tick - INTERVAL 24 HOUR < a.file_time
+        ASOF LEFT JOIN (SELECT * FROM catalog WHERE filepath NOT IN (SELECT filepath FROM done)) o
+          ON t.node = o.node AND t.tick - INTERVAL 24 HOUR < o.file_time
+        WHERE o.file_time IS NULL OR o.file_time >= t.tick - INTERVAL 18 HOUR""", "catalog", "ticks", "done"),
     "node_outputs": sql("SELECT node_name, node_type, kind FROM node_config LEFT JOIN kinds USING (node_type)",
                         "node_config", "kinds"),
     "support_check": sql("""SELECT node_name, node_arch, node_type, coalesce(supported, false) AS supported

@@ -290,6 +290,15 @@ def next_available(t: Tables) -> DataFrame:
     return found.select("node", "tick", from_us("next_us").alias("next_time"), "wait_us")
 
 
+@query
+def next_available_whole(t: Tables) -> DataFrame:
+    """Every tick for every node of the catalogue; ``next_available`` asks for some of both."""
+    every = [r.node for r in t.catalog().select("node").where("node is not null").distinct().orderBy("node").collect()]
+    asked = t.ticks().withColumn("node", F.explode(F.array(*[F.lit(n).cast("bigint") for n in every]).cast("array<bigint>")))
+    found = catalog.next_available(t.catalog(), asked, t.done(), tb.DELAY, tb.SEGMENT, by=["node"])
+    return found.select("node", "tick", from_us("next_us").alias("next_time"), "wait_us")
+
+
 @query
 def node_outputs(t: Tables) -> DataFrame:
     return nodes.node_outputs(t.node_config(), nodes.output_kinds(t.spark)).select("node_name", "node_type", "kind")
