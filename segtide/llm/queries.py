@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bitplanes, bpe, counts, crf, decontam, langid, rules, suffix, superminhash, warc
+from segtide.llm import bitplanes, bpe, counts, crf, decontam, langid, mixing, rules, suffix, superminhash, warc
 from segtide.session import shared_dir
 
 
@@ -71,6 +71,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.digest(crf.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_byte_bpe": op2_byte_bpe,
@@ -82,6 +87,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_personal_data": op10_personal_data,
+    "op13_mixing": op13_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+# A source is stopped where the level reached when those of smaller size per weight have been stopped is still above it.
+ORACLES: dict[str, str] = {"op13_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE
+           / 4503599627370496.0 AS draw
+  FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS weight, sum(source_size) OVER () AS total
+  FROM sums),
+levels AS (
+  SELECT *, 3 * total - 4 * (sum(source_size) OVER (ORDER BY 10 * source_size // weight, source NULLS LAST) - source_size) AS rest,
+         sum(weight) OVER () - (sum(weight) OVER (ORDER BY 10 * source_size // weight, source NULLS LAST) - weight) AS open
+  FROM weighed),
+stopped AS (SELECT *, rest * weight > 4 * source_size * open AS stop FROM levels),
+goal AS (
+  SELECT source, source_size,
+         CASE WHEN stop THEN 2.0::DOUBLE * source_size
+              ELSE weight::DOUBLE * (3 * total - 4 * coalesce(sum(source_size) FILTER (stop) OVER (), 0))::DOUBLE
+                   / (2 * sum(weight) FILTER (NOT stop) OVER ())::DOUBLE END AS target
+  FROM stopped),
+rated AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, s.draw, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rated"""}
