@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bitplanes, bpe, counts, crf, decontam, langid, mixing, rules, suffix, superminhash, warc
+from segtide.llm import bitplanes, bpe, counts, crf, decontam, langid, mixing, periodic, rules, suffix, superminhash, warc
 from segtide.session import shared_dir
 
 
@@ -71,6 +71,24 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.digest(crf.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """In a tenth of the documents, chosen by the checksum of the id, the words repeat with one period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.call_function("div", h, F.lit(10))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    chosen = docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_words"))  # null or size -1 or null elsewhere
+    a = (g % F.col("_n")).cast("int")
+    p = (1 + F.call_function("div", F.col("_n") - a, 3 + g % 8)).cast("int")
+    times = F.call_function("div", F.col("_n") - a, p).cast("int") + 1
+    again = F.slice(F.flatten(F.array_repeat(F.slice("_words", a + 1, p), times)), 1, F.col("_n") - a)
+    changed = F.array_join(F.concat(F.slice("_words", 1, a), again), " ")
+    return chosen.withColumn("text", F.when(F.coalesce(F.col("_n"), F.lit(0)) > 0, changed).otherwise(F.col("text"))).drop("_words", "_n")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -87,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_personal_data": op10_personal_data,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_mixing": op13_mixing,
 }
 
