@@ -69,7 +69,7 @@ def _may_pair(ids: np.ndarray, doc_of: np.ndarray, grams: int, times: int) -> np
     return useful
 
 
-def _suffix_ranks(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+def suffix_ranks(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
     """Place of every suffix among the sorted suffixes, by prefix doubling over those not yet told apart; and for each
     length h the (places, ranks) whose first h words occur more than once."""
     n = len(ids)
@@ -194,7 +194,7 @@ def find_runs(words: list[list], exponent: int = 4, least: int = 6) -> list[list
         return out
     ids, begins, doc_of = laid(chosen)
     places = np.flatnonzero(_may_pair(ids, doc_of, matching, times) & (ids > 0))
-    rank, levels = _suffix_ranks(ids)
+    rank, levels = suffix_ranks(ids)
     places = places[np.argsort(rank[places])]
     common = _common(places[:-1], places[1:], levels)
     found: dict[tuple[int, int], int] = {}

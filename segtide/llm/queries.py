@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.llm import bitplanes, bpe, counts, crf, decontam, langid, mixing, periodic, rules, suffix, superminhash, warc
+from segtide.llm import bitplanes, bpe, counts, crf, decontam, langid, mixing, periodic, rules, suffix, superminhash, variants, warc
 from segtide.session import shared_dir
 
 
@@ -71,6 +71,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.digest(crf.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents"), alter=variants.forget_letters))
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """In a tenth of the documents, chosen by the checksum of the id, the words repeat with one period from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_personal_data": op10_personal_data,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_mixing": op13_mixing,
 }
