@@ -14,9 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segtide.functions.names import parse_file_time
-from segtide.functions.times import HOUR, instant, micros, type_of, us
+from segtide.functions.times import instant, micros, type_of, us
 from segtide.operators import ordered
 from segtide.operators.keys import per_key
+from segtide.sources.written import written
 
 
 def build_catalog(names: DataFrame, prefix: str, postfix: str) -> tuple[DataFrame, DataFrame]:
@@ -83,14 +84,14 @@ def conversion_order(files: DataFrame, n: int, tie: str = "filepath") -> DataFra
 
 
 def next_available(files: DataFrame, ticks: DataFrame, done: DataFrame, delay: timedelta,
-                   segment: timedelta, width: timedelta | int = HOUR, by: list[str] | None = None) -> DataFrame:
+                   segment: timedelta, by: list[str] | None = None, **kw) -> DataFrame:
     """For every tick without an eligible file: the earliest file not yet too old, and the wait.
 
     With ``by`` (columns of both files and ticks, such as the node) every key is asked for by itself.
     Files in the ledger are not eligible, but the earliest file is looked up among all of them,
     so the wait can be negative. Both look-ups are forward as-of searches. Only distinct file
-    times matter, so copies are merged first; ticks and times then meet in time chunks, and
-    each chunk is handed the first time of the chunks after it.
+    times matter, so copies are merged first and written; ticks and times then meet in time chunks, and
+    each chunk is handed the first time of the chunks after it (see ``ordered``).
     """
     by = by or []
     flagged = files.select(*by, "file_time", "filepath").distinct().join(
@@ -99,11 +100,9 @@ def next_available(files: DataFrame, ticks: DataFrame, done: DataFrame, delay: t
              .agg(F.min(F.coalesce("_done", F.lit(False))).alias("_all_done"))
              .select(*by, "_us", F.col("_us").alias("_any"), F.when(~F.col("_all_done"), F.col("_us")).alias("_open")))
     asked = ticks.select(*by, "tick", (us("tick") - micros(delay)).alias("_us"))
-    both = asked.unionByName(times, allowMissingColumns=True)
-    c = ordered.chunk(both, by, "_us", width)
-    carried = ordered.carry(c, by, {"_a": F.min("_any"), "_o": F.min("_open")},
-                            after={"_later_any": F.min("_a"), "_later_open": F.min("_o")})
-    c = ordered.attach(c, by, carried)
+    both = asked.unionByName(written(times, "file_times")[0], allowMissingColumns=True)
+    c = ordered.scanned(both, by, "_us", ordered.least("_a", "_any") | ordered.least("_o", "_open"),
+                        after={"_later_any": F.min("_a"), "_later_open": F.min("_o")}, **kw)
     # strictly later times only; descending, so that the frame grows
     ahead = ordered.chunk_window(by, F.desc("_us")).rangeBetween(W.unboundedPreceding, -1)
     found = (c.withColumn("_next", F.coalesce(F.min("_any").over(ahead), F.col("_later_any")))

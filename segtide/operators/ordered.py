@@ -1,12 +1,12 @@
 """Ordered work on long streams without one task per stream.
 
-A window over ``partition by node order by time`` puts a whole node into one task. Here a node
-is cut into time chunks; a small table with one row per chunk carries what a chunk must know of
-the chunks before or after it, and windows run inside a chunk only.
+A window over ``partition by node order by time`` puts a whole node into one task. Here a node's time is cut into
+buckets, and one read of the rows sums up the slots of every bucket: a small written table. Scans along a node run
+over that table: they cut buckets with too many rows into parts, and tell every chunk (bucket and part) what it must
+know of the chunks before or after it. A second read shuffles the rows by chunk, once, and windows run inside a chunk.
 
-Key columns are replaced by never-null stand-ins while rows are chunked, and restored by
-``unchunk``: rows without a key form a stream of their own, and both uses of the chunked data (the
-carried table and the windows) read one shuffle.
+Key columns are replaced by never-null stand-ins while rows are chunked, and restored by ``unchunk``:
+rows without a key form a stream of their own.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segtide.functions.times import HOUR, micros, slot_number, slot_start
+from segtide.sources.written import written
 
-FINE_SLOTS = 1 << 16  # a hot bucket is measured, and may be cut, at this many places
-# A part number holds, from the low end: the part of a hot instant, the part of the bucket's
-# time, and which keys are null.
-TIME_BITS, NULL_BITS = 20, 40
+FINE = 256            # slots of a bucket
+LOWEST = -(1 << 63)   # before every tie
+TIE_STEPS = 4         # steps of a crowded slot's ties for each part it fills
 
 
 def _stands(keys: list[str]) -> list[str]:
@@ -40,73 +40,95 @@ def _any_value(kind: T.DataType) -> Column:
 
 
 def chunk_columns(keys: list[str]) -> list[str]:
-    return [*_stands(keys), "_bucket", "_part"]
+    return [*_stands(keys), "_nulls", "_bucket", "_part"]
 
 
-def _full_slots(counts: DataFrame, group: list[str], max_rows: int) -> DataFrame:
-    """Of the counted slots (``_slot``, ``_n``) of a group: those at which a new part begins."""
-    in_order = W.partitionBy(*group).orderBy("_slot")  # at most FINE_SLOTS rows
-    filled = F.coalesce(F.sum("_n").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return (counts.withColumn("_p", F.call_function("div", filled, F.lit(max_rows)))
-            .withColumn("_new", F.col("_p") != F.lag("_p", 1, 0).over(in_order))
-            .where("_new").select(*group, "_slot"))
-
-
-def _passed(cuts: str, value: str) -> Column:
-    """How many cuts lie at or below a value; 0 where there are none."""
-    return F.when(F.col(cuts).isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col(value)))).cast("bigint")
-
-
-def chunk(df: DataFrame, keys: list[str], time_us: str, width: timedelta | int = HOUR,
-          tie: str | None = None, max_rows: int = 5_000_000) -> DataFrame:
-    """Cut every key's rows into ``_bucket`` (fixed width) and ``_part`` (where a bucket is hot).
-
-    A (key, bucket) with more than ``max_rows`` rows is cut in time so that each part holds about
-    that many. A single instant with more than that becomes parts of its own, cut by the whole
-    number ``tie``, which must follow the time in the order of the rows. The cuts come from exact
-    counts, so every evaluation finds the same ones. There are at most 4 * rows / ``max_rows``
-    cuts of 8 bytes: that is all that is broadcast. Evenly spread data has none, and then only
-    the first count scans it.
-    """
-    width = micros(width)
-    fine = max(width // FINE_SLOTS, 1)
-    group = [*_stands(keys), "_nulls", "_bucket"]
+def _bucketed(df: DataFrame, keys: list[str], time_us: str, width: int) -> DataFrame:
     nulls = reduce(lambda a, b: a + b, [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)],
                    F.lit(0))
     solid = [F.coalesce(F.col(k), _any_value(df.schema[k].dataType)).alias(s) for k, s in zip(keys, _stands(keys))]
-    rest = [F.col(c) for c in df.columns if c not in keys]
-    slotted = df.select(*rest, *solid, nulls.cast("bigint").alias("_nulls"),
-                        slot_number(F.col(time_us), width).alias("_bucket"))
-
-    hot = slotted.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows).select(*group)
-    inside = slotted.select(*group, time_us, *([tie] if tie else [])).join(F.broadcast(hot), group, "left_semi")
-    counts = inside.groupBy(*group, slot_start(F.col(time_us), fine).alias("_slot")).agg(F.count("*").alias("_n"))
-    cuts = _full_slots(counts, group, max_rows)
-    if tie:
-        instant = [*group, time_us]
-        crowded = (inside.groupBy(*instant)
-                   .agg(F.count("*").alias("_n"), F.min(tie).alias("_low"), F.max(tie).alias("_high"))
-                   .where(F.col("_n") > max_rows).drop("_n"))
-        step = F.call_function("div", F.col("_high") - F.col("_low"), F.lit(FINE_SLOTS)) + 1
-        slot = F.col(tie) - F.pmod(F.col(tie) - F.col("_low"), step)
-        tied = (inside.join(F.broadcast(crowded), instant).groupBy(*instant, slot.alias("_slot"))
-                .agg(F.count("*").alias("_n")))
-        ties = _full_slots(tied, instant, max_rows).groupBy(*instant).agg(F.collect_list("_slot").alias("_ties"))
-        alone = F.explode(F.array(F.col(time_us), F.col(time_us) + 1)).alias("_slot")
-        cuts = cuts.unionByName(crowded.select(*group, alone))
-    cuts = cuts.groupBy(*group).agg(F.collect_set("_slot").alias("_cuts"))
-    out = slotted.join(F.broadcast(cuts), group, "left")
-    part = F.shiftleft("_nulls", NULL_BITS) + F.shiftleft(_passed("_cuts", time_us), TIME_BITS)
-    if tie:
-        out = out.join(F.broadcast(ties), instant, "left")
-        part = part + _passed("_ties", tie)
-    return out.withColumn("_part", part).drop("_cuts", "_ties", "_nulls")
+    return df.select(*[F.col(c) for c in df.columns if c not in keys], *solid, nulls.cast("bigint").alias("_nulls"),
+                     slot_number(F.col(time_us), width).alias("_bucket"))
+
+
+def _slots(rows: DataFrame, group: list[str], time_us: str, fine: int, tie: str | None, max_rows: int,
+           figures: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows, ties and figures of every slot: one read. Only slots that are too full by themselves are read again, instant by
+    instant, and an instant in steps of its ties."""
+    ties = F.col(tie) if tie else F.lit(LOWEST)
+    sums = [F.count("*").alias("_n"), F.min(ties).alias("_low"), F.max(ties).alias("_high"),
+            *[of_rows.alias(name) for name, (of_rows, _) in figures.items()]]
+    slot = slot_start(F.col(time_us), fine)
+    slots, seen = written(rows.groupBy(*group, slot.alias("_from")).agg(*sums)
+                          .withColumn("_from_tie", F.lit(LOWEST)), "slots", most=F.max("_n"))
+    if (seen["most"] or 0) <= max_rows:
+        return slots
+    steps = F.call_function("div", F.col("_n") * TIE_STEPS, F.lit(max_rows)) + 1
+    crowded = slots.where(F.col("_n") > max_rows).select(
+        *group, F.col("_from").alias("_slot"), F.col("_low").alias("_least"),
+        (F.call_function("div", F.try_subtract("_high", "_low"), steps) + 1).alias("_step"))
+    # null ties, and ties too far apart for whole numbers, stay in one piece
+    begin = ties - F.pmod(F.try_subtract(ties, F.col("_least")), F.col("_step"))
+    inside = rows.withColumn("_slot", slot).join(crowded, [*group, "_slot"])
+    finer = inside.groupBy(*group, F.col(time_us).alias("_from"), F.coalesce(begin, F.lit(LOWEST)).alias("_from_tie")).agg(*sums)
+    return slots.where(F.col("_n") <= max_rows).unionByName(finer)
+
+
+def scanned(df: DataFrame, keys: list[str], time_us: str, figures: dict[str, tuple[Column, Column]],
+            before: dict[str, Column] | None = None, after: dict[str, Column] | None = None,
+            width: timedelta | int = HOUR, tie: str | None = None, max_rows: int = 5_000_000) -> DataFrame:
+    """The rows in chunks, each row with what the chunks before and after its own hand it.
+
+    ``figures`` names aggregates of rows and how those of slots combine, as (over rows, over slots): they must combine
+    partially. ``before`` and ``after`` aggregate them over all earlier or later chunks of the key. A bucket (of
+    ``width``) is cut where a part has ``max_rows`` rows; an instant with more than that is cut by
+    the whole number ``tie``, which must follow the time in the order of the rows.
+
+    The slots are written, then the chunks with the carried values; the scan along a key sees one row per chunk. Where
+    buckets are cut, rows find their part by a join on the bucket with the few parts of cut buckets, whose written
+    size Spark knows. Both happen when this is called; reading the result reads the source once more.
+    """
+    width = micros(width)
+    group = [*_stands(keys), "_nulls", "_bucket"]
+    rows = _bucketed(df, keys, time_us, width)
+    slots = _slots(rows, group, time_us, max(width // FINE, 1), tie, max_rows, figures)
+    in_bucket = W.partitionBy(*group).orderBy("_from", "_from_tie").rowsBetween(W.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum("_n").over(in_bucket), F.lit(0))
+    chunks = (slots.withColumn("_part", F.call_function("div", filled, F.lit(max_rows))).groupBy(*group, "_part")
+              .agg(F.min(F.struct("_from", "_from_tie")).alias("_begin"),
+                   *[of_slots.alias(name) for name, (_, of_slots) in figures.items()]))
+    key = W.partitionBy(*_stands(keys), "_nulls")
+    # growing frames in both directions: a shrinking frame is recomputed for every row
+    earlier = key.orderBy("_bucket", "_part").rowsBetween(W.unboundedPreceding, -1)
+    later = key.orderBy(F.desc("_bucket"), F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    end = F.lead("_begin").over(W.partitionBy(*group).orderBy("_part"))
+    carried, seen = written(chunks.select(
+        *group, "_part", "_begin", end.alias("_end"), *[c.over(earlier).alias(n) for n, c in (before or {}).items()],
+        *[c.over(later).alias(n) for n, c in (after or {}).items()]), "chunks", last=F.max("_part"))
+    if seen["last"]:
+        parts = carried.where("_part > 0").select(
+            *[F.col(c).alias(f"{c}_of") for c in group], "_part", *[F.col(f"_{side}.{c}").alias(f"_{side}{c}") for side in ("begin", "end")
+                                                                   for c in ("_from", "_from_tie")])
+        at, ties = F.col(time_us), F.coalesce(F.col(tie), F.lit(LOWEST)) if tie else F.lit(LOWEST)
+
+        def reached(side: str) -> Column:
+            return (at > F.col(f"_{side}_from")) | ((at == F.col(f"_{side}_from")) & (ties >= F.col(f"_{side}_from_tie")))
+
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{c}_of") for c in group])
+        inside = reached("begin") & (F.col("_end_from").isNull() | ~reached("end"))
+        rows = rows.join(parts, same & inside, "left").select(*rows.columns, F.coalesce("_part", F.lit(0)).alias("_part"))
+    else:
+        rows = rows.withColumn("_part", F.lit(0).cast("bigint"))
+    if not before and not after:
+        return rows
+    # both sides are hashed by chunk, which is the layout the windows inside a chunk need: one shuffle for both
+    handed = carried.select(*chunk_columns(keys), *(before or {}), *(after or {}))
+    return rows.join(handed.hint("shuffle_hash"), chunk_columns(keys), "left")
 
 
 def unchunk(chunked: DataFrame, keys: list[str]) -> DataFrame:
     """Put the key columns back, in front."""
-    nulls = F.shiftright("_part", NULL_BITS)
-    back = [F.when(nulls.bitwiseAND(F.lit(1 << i)) == 0, F.col(s)).alias(k)
+    back = [F.when(F.col("_nulls").bitwiseAND(F.lit(1 << i)) == 0, F.col(s)).alias(k)
             for i, (k, s) in enumerate(zip(keys, _stands(keys)))]
     return chunked.select(*back, *[c for c in chunked.columns if c not in chunk_columns(keys)])
 
@@ -115,65 +137,48 @@ def chunk_window(keys: list[str], *order: Column | str) -> W:
     return W.partitionBy(*chunk_columns(keys)).orderBy(*order)
 
 
-def carry(chunked: DataFrame, keys: list[str], summary: dict[str, Column],
-          before: dict[str, Column] | None = None, after: dict[str, Column] | None = None) -> DataFrame:
-    """One row per chunk with what the other chunks of its key hand to it.
+def greatest(name: str, of: Column | str) -> dict[str, tuple[Column, Column]]:
+    return {name: (F.max(of), F.max(name))}
 
-    ``summary`` holds aggregates of a chunk (they must combine partially: max, min, min_by over
-    plain numbers, sum, count); ``before`` and ``after`` combine them over all earlier or later
-    chunks of the key. The window here sees one row per chunk, not the data.
-    """
-    columns = chunk_columns(keys)
-    parts = chunked.groupBy(*columns).agg(*[c.alias(n) for n, c in summary.items()])
-    key = W.partitionBy(*_stands(keys), F.shiftright("_part", NULL_BITS))
-    # growing frames in both directions: a shrinking frame is recomputed for every row
-    earlier = key.orderBy("_bucket", "_part").rowsBetween(W.unboundedPreceding, -1)
-    later = key.orderBy(F.desc("_bucket"), F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
-    return parts.select(*columns, *[c.over(earlier).alias(n) for n, c in (before or {}).items()],
-                        *[c.over(later).alias(n) for n, c in (after or {}).items()])
 
+def least(name: str, of: Column | str) -> dict[str, tuple[Column, Column]]:
+    return {name: (F.min(of), F.min(name))}
 
-def attach(chunked: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
-    """Give every row the carried values of its chunk.
 
-    Both sides are hashed by chunk, which is also the layout the windows inside a chunk need:
-    the data is shuffled once for the join and the windows together.
-    """
-    return chunked.join(carried.hint("shuffle_hash"), chunk_columns(keys), "left")
+def total(name: str, aggregate: Column) -> dict[str, tuple[Column, Column]]:
+    return {name: (aggregate, F.sum(name))}
 
 
-def with_previous_time(df: DataFrame, keys: list[str], time_us: str, order: list[str],
-                       width: timedelta | int = HOUR, **kw) -> DataFrame:
+def with_previous_time(df: DataFrame, keys: list[str], time_us: str, order: list[str], **kw) -> DataFrame:
     """Add ``prev_us``: the time of the row before, across chunks."""
-    c = chunk(df, keys, time_us, width, **kw)
-    c = attach(c, keys, carry(c, keys, {"_tail": F.max(time_us)}, before={"_before": F.max("_tail")}))
+    c = scanned(df, keys, time_us, greatest("_tail", time_us), before={"_before": F.max("_tail")}, **kw)
     local = F.lag(time_us).over(chunk_window(keys, *order))
     return unchunk(c.withColumn("prev_us", F.coalesce(local, F.col("_before"))).drop("_before"), keys)
 
 
-def with_next_time(df: DataFrame, keys: list[str], time_us: str, order: list[str],
-                   width: timedelta | int = HOUR, **kw) -> DataFrame:
+def with_next_time(df: DataFrame, keys: list[str], time_us: str, order: list[str], **kw) -> DataFrame:
     """Add ``next_us``: the time of the row after, across chunks."""
-    c = chunk(df, keys, time_us, width, **kw)
-    c = attach(c, keys, carry(c, keys, {"_head": F.min(time_us)}, after={"_after": F.min("_head")}))
+    c = scanned(df, keys, time_us, least("_head", time_us), after={"_after": F.min("_head")}, **kw)
     local = F.lead(time_us).over(chunk_window(keys, *order))
     return unchunk(c.withColumn("next_us", F.coalesce(local, F.col("_after"))).drop("_after"), keys)
 
 
-def with_rank(df: DataFrame, keys: list[str], time_us: str, order: list[str],
-              width: timedelta | int = HOUR, **kw) -> DataFrame:
+def with_rank(df: DataFrame, keys: list[str], time_us: str, order: list[str], **kw) -> DataFrame:
     """Add ``rank``: position of the row in its key's order, from 1."""
-    c = chunk(df, keys, time_us, width, **kw)
-    c = attach(c, keys, carry(c, keys, {"_rows": F.count("*")}, before={"_offset": F.sum("_rows")}))
+    c = scanned(df, keys, time_us, total("_rows", F.count("*")), before={"_offset": F.sum("_rows")}, **kw)
     local = F.row_number().over(chunk_window(keys, *order))
     return unchunk(c.withColumn("rank", local + F.coalesce("_offset", F.lit(0))).drop("_offset"), keys)
 
 
-def with_running_sum(df: DataFrame, keys: list[str], time_us: str, order: list[str], value: str,
-                     out: str, width: timedelta | int = HOUR, **kw) -> DataFrame:
-    """Add ``out``: sum of ``value`` over all earlier rows of the key (0 for the first)."""
-    c = chunk(df, keys, time_us, width, **kw)
-    c = attach(c, keys, carry(c, keys, {"_sum": F.sum(value)}, before={"_offset": F.sum("_sum")}))
-    local = F.sum(value).over(chunk_window(keys, *order).rowsBetween(W.unboundedPreceding, -1))
+def with_running_sum(df: DataFrame, keys: list[str], time_us: str, order: list[str], value: Column, out: str, **kw) -> DataFrame:
+    """Add ``out``: sum of ``value`` over all earlier rows of the key (0 for the first).
+
+    Values are whole numbers or decimals, so that the sum doesn't depend on where a stream is cut.
+    """
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        raise TypeError("sum whole numbers or decimals: the sum of doubles depends on their order")
+    c = scanned(df.withColumn("_value", value), keys, time_us, total("_sum", F.sum("_value")), before={"_offset": F.sum("_sum")}, **kw)
+    local = F.sum("_value").over(chunk_window(keys, *order).rowsBetween(W.unboundedPreceding, -1))
     zero = F.lit(0)
-    return unchunk(c.withColumn(out, F.coalesce(local, zero) + F.coalesce("_offset", zero)).drop("_offset"), keys)
+    return unchunk(c.withColumn(out, F.coalesce(local, zero) + F.coalesce("_offset", zero)).drop("_offset", "_value"), keys)

@@ -29,12 +29,15 @@ def on_air_top1(playing: DataFrame) -> DataFrame:
             .select("node", "tick", "_best.file_time", "_best.filepath"))
 
 
-def concat_timeline(items: DataFrame, width: int = 1 << 20) -> DataFrame:
+def concat_timeline(items: DataFrame, width: int = 1 << 20, **kw) -> DataFrame:
     """Add ``offset_s``: start of each item when a list is played in order of ``pos``.
 
-    Lists are cut into ranges of positions, so a long list is summed by many tasks.
+    Lists are cut into ranges of positions, so a long list is summed by many tasks. Durations are summed
+    as whole microseconds, so the result doesn't depend on the cuts.
     """
-    return ordered.with_running_sum(items, ["list_id"], "pos", ["pos"], "duration_s", "offset_s", width=width)
+    whole = F.round(F.col("duration_s") * 1_000_000).cast("bigint")
+    timed = ordered.with_running_sum(items, ["list_id"], "pos", ["pos"], whole, "_offset_us", width=width, **kw)
+    return timed.withColumn("offset_s", F.col("_offset_us") / F.lit(1_000_000)).drop("_offset_us")
 
 
 def loop_expand(items: DataFrame, n: int) -> DataFrame:

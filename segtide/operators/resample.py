@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from segtide.functions.times import HOUR, from_us, is_ntz, micros, slot_start, us
+from segtide.functions.times import from_us, is_ntz, micros, slot_start, us
 from segtide.operators import ordered
 from segtide.operators.intervals import stab_join
 from segtide.operators.keys import per_key
@@ -23,17 +23,16 @@ def resample_down(samples: DataFrame, step: timedelta) -> DataFrame:
             .select("node", from_us("_slot", is_ntz(samples, "ts")).alias("slot"), "value", "n_samples"))
 
 
-def resample_up(samples: DataFrame, step: timedelta, width: timedelta | int = HOUR, **kw) -> DataFrame:
+def resample_up(samples: DataFrame, step: timedelta, **kw) -> DataFrame:
     """Values on a grid of ``step`` by linear interpolation between neighbours.
 
     Samples of one instant are averaged first. There are no values outside a node's samples.
     """
     w = micros(step)
     points = samples.groupBy("node", us("ts").alias("_us")).agg(F.avg("value").alias("_v"))
-    c = ordered.chunk(points, ["node"], "_us", width, **kw)
-    c = ordered.attach(c, ["node"], ordered.carry(
-        c, ["node"], {"_head": F.min("_us"), "_head_v": F.min_by("_v", "_us")},
-        after={"_after": F.min("_head"), "_after_v": F.min_by("_head_v", "_head")}))
+    head = {"_head": (F.min("_us"), F.min("_head")), "_head_v": (F.min_by("_v", "_us"), F.min_by("_head_v", "_head"))}
+    c = ordered.scanned(points, ["node"], "_us", head,
+                        after={"_after": F.min("_head"), "_after_v": F.min_by("_head_v", "_head")}, **kw)
     inside = ordered.chunk_window(["node"], "_us")
     c = (c.withColumn("_next", F.coalesce(F.lead("_us").over(inside), F.col("_after")))
          .withColumn("_next_v", F.coalesce(F.lead("_v").over(inside), F.col("_after_v"))))

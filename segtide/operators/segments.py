@@ -9,16 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segtide.functions.times import HOUR, from_us, is_ntz, micros, us
+from segtide.functions.times import from_us, is_ntz, micros, us
 from segtide.operators import ordered
 
 
-def asof_run(samples: DataFrame, runs: DataFrame, width: timedelta | int = HOUR, **kw) -> DataFrame:
+def asof_run(samples: DataFrame, runs: DataFrame, **kw) -> DataFrame:
     """Add ``run_start_us`` and ``run_id``: the node's newest run started at or before ``ts``.
 
     Run starts join the samples as rows of their own. The newest start so far is a running
-    maximum inside a time chunk; each chunk is handed the maximum of the earlier ones. Samples
-    of one instant may be cut apart in any way, as long as a run that starts then comes first.
+    maximum inside a time chunk; each chunk is handed the maximum of the earlier ones, out of the written
+    slots (see ``ordered``). Samples of one instant may be cut apart in any way, as long as a run that starts then comes first.
     """
     starts = (runs.select("node", us("started_at").alias("_us")).distinct()
               .withColumn("_start", F.col("_us")).withColumn("_tie", F.lit(-1).cast("bigint")))
@@ -26,9 +26,8 @@ def asof_run(samples: DataFrame, runs: DataFrame, width: timedelta | int = HOUR,
     spread = F.pmod(F.xxhash64(*plain), F.lit(1 << 40))
     both = (samples.withColumn("_us", us("ts")).withColumn("_sample", F.lit(True)).withColumn("_tie", spread)
             .unionByName(starts, allowMissingColumns=True))
-    c = ordered.chunk(both, ["node"], "_us", width, tie="_tie", **kw)
-    c = ordered.attach(c, ["node"], ordered.carry(
-        c, ["node"], {"_newest": F.max("_start")}, before={"_before": F.max("_newest")}))
+    c = ordered.scanned(both, ["node"], "_us", ordered.greatest("_newest", "_start"), before={"_before": F.max("_newest")},
+                        tie="_tie", **kw)
     so_far = ordered.chunk_window(["node"], "_us").rangeBetween(W.unboundedPreceding, 0)
     found = c.withColumn("run_start_us", F.coalesce(F.max("_start").over(so_far), F.col("_before")))
     return (ordered.unchunk(found.where("_sample"), ["node"])
@@ -36,17 +35,22 @@ def asof_run(samples: DataFrame, runs: DataFrame, width: timedelta | int = HOUR,
             .drop("_us", "_start", "_sample", "_before", "_tie"))
 
 
-def cut_runs(tied: DataFrame, length: timedelta | str) -> DataFrame:
+def cut_runs(tied: DataFrame, length: timedelta | dict[str, str]) -> DataFrame:
     """Fixed-length cuts of samples tied to their run (``asof_run``); one row per segment.
 
-    ``length`` may name a column of ``tied`` with a node's own length in microseconds; rows without a positive
-    one are not cut.
+    ``length`` may instead map names to columns of ``tied`` with a node's own lengths in microseconds: all cuts are made in one pass
+    and say their name in ``kind``; rows without a positive length are not cut.
     """
-    own = F.col(length) if isinstance(length, str) else F.lit(micros(length))
-    cut = tied.withColumn("_length", own.cast("bigint")).where("run_start_us is not null and _length > 0")
+    by = ["node", "run_start_us", "run_id", "seg_index", "_length"]
+    if isinstance(length, dict):
+        cuts = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(own).cast("bigint").alias("_length")) for kind, own in length.items()]))
+        cut, by = tied.withColumn("_cut", cuts).select(*tied.columns, "_cut.*"), [*by, "kind"]
+    else:
+        cut = tied.withColumn("_length", F.lit(micros(length)))
+    cut = cut.where("run_start_us is not null and _length > 0")
     start = F.col("run_start_us") + F.col("seg_index") * F.col("_length")
     return (cut.withColumn("seg_index", F.call_function("div", us("ts") - F.col("run_start_us"), F.col("_length")))
-            .groupBy("node", "run_start_us", "run_id", "seg_index", "_length")
+            .groupBy(*by)
             .agg(F.count("*").alias("n_samples"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
             .withColumn("seg_start", from_us(start, is_ntz(tied, "ts"))).drop("_length"))
 

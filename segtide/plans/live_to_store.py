@@ -26,9 +26,7 @@ def live_to_store(nodes: DataFrame, samples: DataFrame, runs: DataFrame, kinds:
     lengths = per_key(valid, ["node"], *[(F.max(c).cast("bigint") * 1_000_000).alias(u) for c, u in (
         ("segment_duration", "live_us"), ("flac_duration", "archive_us"))])
     tied = asof_run(samples.join(lengths, "node"), runs.join(lengths.select("node"), "node", "left_semi"))
-    cuts = (cut_runs(tied, "live_us").withColumn("kind", F.lit("hls"))
-            .unionByName(cut_runs(tied, "archive_us").withColumn("kind", F.lit("flac"))))
-    files = cuts.join(wanted, ["node", "kind"])
+    files = cut_runs(tied, {"hls": "live_us", "flac": "archive_us"}).join(wanted, ["node", "kind"])
     hls = F.col("kind") == "hls"
     folder = F.concat(F.lit("/tmp/"), "node_name", F.lit("/"), "kind",
                       F.when(hls, F.concat(F.lit("/"), F.col("run_id").cast("string"))).otherwise(""))

@@ -55,14 +55,16 @@ def test_neighbours_and_ranks(packets, max_rows):
          timed.select(*pick, F.lead("_us").over(w).alias("next_us")))
     same(ordered.with_rank(timed, **kw).select(*pick, "rank"),
          timed.select(*pick, F.row_number().over(w).cast("bigint").alias("rank")))
-    same(ordered.with_running_sum(timed, value="value", out="sum", **kw).select(*pick, "sum"),
-         timed.select(*pick, F.coalesce(F.sum("value").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-                      .alias("sum")))
+    whole = F.col("value").cast("bigint")
+    same(ordered.with_running_sum(timed, value=whole, out="sum", **kw).select(*pick, "sum"),
+         timed.select(*pick, F.coalesce(F.sum(whole).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("sum")))
+    with pytest.raises(TypeError):
+        ordered.with_running_sum(timed, value=F.col("value"), out="sum", **kw)
 
 
 def test_hot_bucket_is_cut(packets):
     timed = packets.withColumn("_us", us("ts"))
-    parts = (ordered.chunk(timed, ["node"], "_us", tie="event_id", max_rows=10)
+    parts = (ordered.scanned(timed, ["node"], "_us", {}, tie="event_id", max_rows=10)
              .groupBy(*ordered.chunk_columns(["node"])).count())
     assert parts.where("_part > 0 and _key_node = 1").count() > 10
     # a part ends with the slot (of time, or of ties) in which it became full

@@ -247,13 +247,6 @@ ORACLES: dict[str, str] = {
     "asof_run": sql("SELECT event_id, node, run_id FROM tied", "tied"),
     "playing_at": sql("SELECT tick, node, filepath FROM playing", "playing"),
     "next_available": sql("""SELECT t.node, t.tick, a.file_time AS next_time,
-        epoch_us(a.file_time) - epoch_us(t.tick - INTERVAL 18 HOUR) AS wait_us
-        FROM (SELECT * FROM ticks, range(3) n(node) WHERE extract(minute FROM tick) = 0) t
-        ASOF LEFT JOIN catalog a ON t.node = a.node AND t.tick - INTERVAL 24 HOUR < a.file_time
-        ASOF LEFT JOIN (SELECT * FROM catalog WHERE filepath NOT IN (SELECT filepath FROM done)) o
-          ON t.node = o.node AND t.tick - INTERVAL 24 HOUR < o.file_time
-        WHERE o.file_time IS NULL OR o.file_time >= t.tick - INTERVAL 18 HOUR""", "catalog", "ticks", "done"),
-    "next_available_whole": sql("""SELECT t.node, t.tick, a.file_time AS next_time,
         epoch_us(a.file_time) - epoch_us(t.tick - INTERVAL 18 HOUR) AS wait_us
         FROM (SELECT * FROM ticks, (SELECT DISTINCT node FROM catalog WHERE node IS NOT NULL) n) t
         ASOF LEFT JOIN catalog a ON t.node = a.node AND t.tick - INTERVAL 24 HOUR < a.file_time
@@ -300,11 +293,17 @@ ORACLES: dict[str, str] = {
                           "samples"),
     "xrun_flags": sql(f"SELECT event_id, node, gap_us, coalesce(gap_us > {H // 2}, false) AS xrun FROM gaps", "gaps"),
     "reset_islands": sql("SELECT node, first_ts, last_ts, n_packets FROM islands", "islands"),
-    "clock_fit": sql("""SELECT node, min(ts) AS first_ts, count(*) AS n_packets, CASE WHEN count(*) > 100 THEN round(regr_slope(y, k), 6) WHEN count(*) > 1 THEN round(regr_slope(y, k), 8) END AS slope,
-        CASE WHEN count(*) > 100 THEN round(regr_intercept(y, k), 6) ELSE round(regr_intercept(y, k), 8) END AS intercept, CASE WHEN count(*) > 1 THEN round(regr_r2(y, k), 8) END AS r2 FROM (SELECT *,
-        (row_number() OVER (PARTITION BY node, island ORDER BY ts, event_id) - 1)::DOUBLE AS k,
-        (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY node, island))) / 1000000 AS y FROM marked) m
-        GROUP BY node, island""", "marked"),
+    "clock_fit": sql("""SELECT node, first_ts, n_packets, floor(slope * 1e8 + 0.381966) / 1e8 AS slope, floor(intercept * 1e8 + 0.381966) / 1e8 AS intercept,
+        floor(r2 * 1e8 + 0.381966) / 1e8 AS r2 FROM (
+        SELECT node, first_ts, n AS n_packets, (n * xy - x * y)::DOUBLE / d::DOUBLE / 1000000 AS slope,
+        (y * xx - x * xy)::DOUBLE / d::DOUBLE / 1000000 AS intercept,
+        CASE WHEN d > 0 THEN CASE WHEN n * yy > y * y THEN (n * xy - x * y)::DOUBLE * (n * xy - x * y)::DOUBLE / d::DOUBLE / (n * yy - y * y)::DOUBLE
+          ELSE 1 END END AS r2
+        FROM (SELECT *, nullif(n * xx - x * x, 0) AS d FROM (
+          SELECT node, min(ts) AS first_ts, count(*) AS n, sum(k) AS x, sum(t) AS y, sum(k * k) AS xx, sum(k * t) AS xy, sum(t::HUGEINT * t) AS yy
+          FROM (SELECT *, row_number() OVER (PARTITION BY node, island ORDER BY ts, event_id) - 1 AS k,
+            epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY node, island)) AS t FROM marked) m
+          GROUP BY node, island) g) h) f""", "marked"),
     "stall_report": sql("""SELECT event_id, node, s AS silent_us, open FROM (SELECT *, next_ts IS NULL AS open,
         epoch_us(coalesce(next_ts, TIMESTAMP '2024-01-31')) - epoch_us(ts) AS s FROM gaps) g WHERE s > 10800000000""", "gaps"),
     "on_air_top1": sql("""SELECT node, tick, file_time, filepath FROM playing QUALIFY row_number() OVER

@@ -284,18 +284,7 @@ def playing_at(t: Tables) -> DataFrame:
 
 @query
 def next_available(t: Tables) -> DataFrame:
-    three = F.array(*[F.lit(n).cast("bigint") for n in range(3)])
-    asked = t.ticks().where("minute(tick) = 0").withColumn("node", F.explode(three))
-    found = catalog.next_available(t.catalog(), asked, t.done(), tb.DELAY, tb.SEGMENT, by=["node"])
-    return found.select("node", "tick", from_us("next_us").alias("next_time"), "wait_us")
-
-
-@query
-def next_available_whole(t: Tables) -> DataFrame:
-    """Every tick for every node of the catalogue; ``next_available`` asks for some of both."""
-    every = [r.node for r in t.catalog().select("node").where("node is not null").distinct().orderBy("node").collect()]
-    asked = t.ticks().withColumn("node", F.explode(F.array(*[F.lit(n).cast("bigint") for n in every]).cast("array<bigint>")))
-    found = catalog.next_available(t.catalog(), asked, t.done(), tb.DELAY, tb.SEGMENT, by=["node"])
+    found = catalog.next_available(t.catalog(), t.node_ticks(), t.done(), tb.DELAY, tb.SEGMENT, by=["node"])
     return found.select("node", "tick", from_us("next_us").alias("next_time"), "wait_us")
 
 
@@ -387,13 +376,9 @@ def reset_islands(t: Tables) -> DataFrame:
 
 @query
 def clock_fit(t: Tables) -> DataFrame:
-    # times in microseconds put many figures of short islands on a tie in the sixth place, and long
-    # islands are only that exact
-    def figure(c: str) -> Column:
-        return F.when(F.col("n_packets") > 100, F.round(c, 6)).otherwise(F.round(c, 8)).alias(c)
-
+    # cut at the eighth place, between values that microseconds divided by few packets never take
     return capture.clock_fit(t.samples(), tb.GAP).select(
-        "node", "first_ts", "n_packets", figure("slope"), figure("intercept"), F.round("r2", 8).alias("r2"))
+        "node", "first_ts", "n_packets", *[(F.floor(F.col(c) * 1e8 + 0.381966) / 1e8).alias(c) for c in ("slope", "intercept", "r2")])
 
 
 @query

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from segtide.functions.routing import Buckets
 from segtide.functions.names import segment_names
-from segtide.functions.times import us
+from segtide.functions.times import from_us, us
 from segtide.operators.ordered import with_rank
 from segtide.operators.schedule import segment_schedule
+from segtide.operators.steps import explode_steps
 from segtide.session import shared_dir
 from segtide.sources.listing import listing_extract
 
@@ -93,12 +94,17 @@ class Tables:
             "event_id", (F.col("user_id") % 8).alias("node"), F.col("ts").alias("start"),
             (F.col("ts") + length).alias("end"))
 
+    def _with_ticks(self, rows: DataFrame) -> DataFrame:
+        """Every 150 s from 2024-01-01 up to 2024-01-30, for each row."""
+        first, last = 1_704_067_200_000_000, 1_706_572_800_000_000
+        return explode_steps(rows, F.lit(first), F.lit(last), 150_000_000, "_at").withColumn("tick", from_us("_at")).drop("_at")
+
     def ticks(self) -> DataFrame:
-        """Every 150 s from 2024-01-01 up to 2024-01-30."""
-        first = 1_704_067_200  # 2024-01-01
-        count = 29 * 86_400 // 150 + 1
-        at = F.timestamp_seconds(F.lit(first) + F.col("id") * 150).cast("timestamp_ntz")
-        return self.spark.range(count).select(at.alias("tick"))
+        return self._with_ticks(self.spark.range(1)).drop("id")
+
+    def node_ticks(self) -> DataFrame:
+        """Every tick for every node of the catalogue."""
+        return self._with_ticks(self.catalog().select("node").where("node is not null").distinct())
 
     def segments(self) -> DataFrame:
         """One-hour schedule of January 2024 for every node in the events, with names."""
