@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from segtide.functions.routing import Buckets
 from segtide.operators import capture, segments
-from segtide.sources import sinks, tree
+from segtide.sources import objects, sinks, tree
 from segtide.streaming import live, polls, queue, upload
 from tests.conftest import at
 
@@ -141,38 +141,91 @@ def test_latest_pointer_follows_the_writes(spark, feed):
     assert sorted((r.batch_id, r.node, r.run_id) for r in got.collect()) == [(0, 1, 10), (0, 2, 5), (1, 1, 7), (1, 2, 5)]
 
 
-def test_upload_moves_routes_and_cleans(spark, feed):
-    schema = "types array<string>, path string, filename string, kind string, bucket_type string"
-    feed.put([(["IN_CLOSE_WRITE"], "/tmp/n/hls/1", "live000.ts", "hls", "prod"),
-              (["IN_CLOSE_WRITE"], "/tmp/n/hls/1", "live.m3u8.tmp", "hls", "prod")], schema)
-    feed.put([(["IN_MOVED_TO"], "/tmp/n/hls/1", "live.m3u8", "hls", None)], schema)
+EVENTS = "types array<string>, path string, filename string, kind string, bucket_type string"
+
+
+@pytest.fixture
+def files(tmp_path):
+    """Make small files in a tree; say what is in a tree."""
+    class Files:
+        root, store = str(tmp_path / "tree"), str(tmp_path / "store")
+
+        def make(self, name, data=b"sound"):
+            path = os.path.join(self.root, name)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(data)
+            return path
+
+        def there(self, root):
+            found = {}
+            for folder, _, names in os.walk(root):
+                for n in names:
+                    with open(os.path.join(folder, n), "rb") as f:
+                        found[os.path.relpath(os.path.join(folder, n), root)] = f.read()
+            return found
+
+    return Files()
+
+
+def test_upload_moves_objects_and_keeps_what_fails(spark, feed, files):
+    def event(kind, name, bucket, data=b"sound"):
+        files.make("n/hls/1/" + name, data)
+        return ([kind], files.root + "/n/hls/1", name, "hls", bucket)
 
     def run():
-        upload.stream_upload(feed.stream(schema, delete_done=True), {"hls": Buckets("p", "d", "c")}, feed.dir("moved"),
-                             feed.dir("dead"), feed.dir("cp")).awaitTermination()
+        upload.stream_upload(feed.stream(EVENTS), {"hls": Buckets("p", "d", "c")}, files.store, feed.dir("manifest"), feed.dir("cp"),
+                             root=files.root).awaitTermination()
+
+    big = bytes(range(256)) * 80_000  # several pieces
+    feed.put([event("IN_CLOSE_WRITE", "live000.ts", "prod", big), event("IN_CLOSE_WRITE", "live.m3u8.tmp", "prod"),
+              event("IN_CREATE", "open.ts", "prod"), event("IN_MOVED_TO", "no-bucket.ts", None)], EVENTS)
     run()
-    read = lambda d: [(r.object_key, r.bucket) for r in sinks.read_batches(
-        spark, feed.dir(d), "object_key string, bucket string").collect()]
-    assert read("moved") == [("n/hls/1/live000.ts", "p")] and read("dead") == [("n/hls/1/live.m3u8", "")]
-    for i in range(3):
-        feed.put([(["IN_CREATE"], "/tmp/n", "x", "hls", "prod")], schema)
-        run()
-    left = [f for _, _, names in os.walk(feed.path) for f in names if f.startswith("part-")]
-    assert len(left) < 5  # files of committed batches are gone
-    assert len(read("moved")) == 1
-
-
-def test_a_failed_write_keeps_the_source(spark, feed):
-    feed.put([(1, T0, "a", 1.0)], FILES)
-    blocked = feed.dir("blocked")
-    with open(blocked, "w") as f:  # a file where the sink needs a folder
+    assert files.there(files.store) == {"p/n/hls/1/live000.ts": big}
+    assert sorted(files.there(files.root)) == ["n/hls/1/live.m3u8.tmp", "n/hls/1/no-bucket.ts", "n/hls/1/open.ts"]
+    os.makedirs(files.store, exist_ok=True)
+    with open(files.store + "/d", "w") as f:  # a file where a bucket should be
         f.write("x")
-    stream = feed.stream(FILES, delete_done=True)
-    with pytest.raises(Exception):
-        sinks.move_sink(stream, blocked, feed.dir("dead"), F.lit(False), feed.dir("cp")).awaitTermination()
-    assert [f for _, _, names in os.walk(feed.path) for f in names if f.startswith("part-")]
-    sinks.move_sink(stream, feed.dir("moved"), feed.dir("dead"), F.lit(False), feed.dir("cp")).awaitTermination()
-    assert sinks.read_batches(spark, feed.dir("moved"), FILES).count() == 1
+    feed.put([event("IN_CLOSE_WRITE", "blocked.ts", "dev"), event("IN_CLOSE_WRITE", "empty.ts", "custom", b""),
+              (["IN_CLOSE_WRITE"], files.root + "/n", "never-there.ts", "hls", "prod")], EVENTS)
+    run()  # goes on from the checkpoint
+    assert files.there(files.store) == {"p/n/hls/1/live000.ts": big, "c/n/hls/1/empty.ts": b"", "d": b"x"}
+    assert "n/hls/1/blocked.ts" in files.there(files.root)
+    got = {os.path.basename(r.source): (r.n_bytes, r.deleted, r.error is None) for r in objects.moved(spark, feed.dir("manifest")).collect()}
+    assert got == {"live000.ts": (len(big), True, True), "no-bucket.ts": (None, False, False), "blocked.ts": (None, False, False),
+                   "empty.ts": (0, True, True), "never-there.ts": (None, False, False)}
+
+
+def test_a_batch_that_broke_off_is_finished_by_its_repetition(spark, rows, files, tmp_path):
+    a, b = files.make("a", b"1"), files.make("b", b"22")
+    moves = rows([(a, files.store + "/a"), (b, files.store + "/b"), (b, files.store + "/b"), (None, "x")], "source string, target string")
+    copied = objects.copy_objects(moves).collect()
+    assert sorted((r.n_bytes, r.error) for r in copied) == [(1, None), (2, None)] and len(files.there(files.root)) == 2
+    os.remove(a)  # the first try deleted one source, and was lost before it said so
+    for _ in range(2):
+        objects.move_batch(moves, str(tmp_path / "manifest"), 3)
+    assert files.there(files.store) == {"a": b"1", "b": b"22"} and files.there(files.root) == {}
+    assert sorted((r.n_bytes, r.deleted) for r in objects.moved(spark, str(tmp_path / "manifest")).collect()) == [(1, True), (2, True)]
+
+
+def test_no_source_goes_without_its_own_target(rows, files):
+    a, b = files.make("a", b"1"), files.make("b", b"22")
+    both = objects.copy_objects(rows([(a, files.store + "/t"), (b, files.store + "/t")], "source string, target string"))
+    assert sorted((r.source, r.error is None) for r in both.collect()) == [(a, True), (b, False)]
+    short = rows([(a, files.store + "/t", 9, None), (b, files.store + "/none", 2, None)], objects.COPIED)
+    assert [r.deleted for r in objects.delete_sources(short).collect()] == [False, False] and len(files.there(files.root)) == 2
+
+
+def test_files_of_any_kind_are_watched_and_listed(spark, files, feed):
+    files.make("x/1.wav", b"abc")
+    files.make("y/z/2.txt", b"z")
+    files.make("y/z/empty.txt", b"")  # Spark's reader gives no row for it
+    stream = tree.watch_files(spark, files.root, files_per_trigger=1).select("path", "length", F.col("content").cast("string").alias("content"))
+    drain(stream, feed, "seen")
+    want = [("x/1.wav", 3), ("y/z/2.txt", 1)]
+    assert sorted((r.path.split("/tree/")[1], r.length) for r in spark.read.parquet(feed.dir("seen")).collect()) == want
+    for root in (files.root, "file://" + files.root, "file:" + files.root + "/"):
+        assert sorted((r.path, r.length) for r in objects.list_objects(spark, root).collect()) == want
 
 
 def test_repeated_batch_replaces_itself(spark, rows, tmp_path):

@@ -68,6 +68,12 @@ CTES = {
         CASE user_id % 8 % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'custom' WHEN 2 THEN 'dev' END AS bucket_type FROM events""",
     "finished": """SELECT * FROM file_events WHERE (types[1] = 'IN_CLOSE_WRITE' AND NOT contains(filename, 'tmp'))
         OR types[1] = 'IN_MOVED_TO'""",
+    "objects": f"""SELECT *, {_bucket('kind')} AS bucket, path || '/' || filename AS below FROM (
+        SELECT min(event_id) AS event_id, user_id % 8 AS node, 'hls' AS kind, 'node' || (user_id % 8) || '/hls/' || (epoch_us(ts) // 86400000000) AS path,
+        'live' || min(event_id) || CASE WHEN min(event_id) % 10 = 0 THEN '.m3u8.tmp' ELSE '.ts' END AS filename, event_type,
+        CASE user_id % 8 % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'custom' WHEN 2 THEN 'dev' END AS bucket_type,
+        string_agg(event_id || ',' || epoch_us(ts), chr(10) ORDER BY event_id) AS content
+        FROM events GROUP BY user_id % 8, epoch_us(ts) // 86400000000, event_type) f""",
     "node_config": f"""SELECT s_suppkey AS node, s_name AS node_name,
         {list(TYPES)}[(s_suppkey % 5 + 1)::INT] AS node_type,
         CASE WHEN s_suppkey % 2 = 0 THEN 'arm32v7' ELSE 'amd64' END AS node_arch,
@@ -192,7 +198,8 @@ ORACLES: dict[str, str] = {
     "scan_days_pruned": sql("""SELECT node, file_time, filepath, strftime(file_time, '%Y-%m-%d') AS day FROM catalog
         WHERE strftime(file_time, '%Y-%m-%d') IN ('2024-01-15', '2024-01-16')""", "catalog"),
     "watch_tree_source": "SELECT event_id, ts, user_id, event_type, value FROM events",
-    "move_sink": sql("SELECT *, CASE WHEN bucket = '' THEN 'dead' ELSE 'moved' END AS outcome FROM moved", "moved"),
+    "move_sink": sql("""SELECT CASE WHEN bucket = '' THEN below ELSE bucket || '/' || below END AS object_key, length(content) AS n_bytes,
+        md5(content) AS digest, CASE WHEN bucket = '' THEN 'tree' ELSE 'store' END AS place FROM objects""", "objects"),
     "tee_sinks": sql(f"""SELECT node, make_timestamp({_slot('ts', H)}) AS seg_start, count(*) AS n_samples,
         max(ts) AS last_ts, 'live' AS kind FROM samples GROUP BY ALL
         UNION ALL SELECT node, make_timestamp({_slot('ts', 6 * H)}), count(*), max(ts), 'archive'
@@ -338,8 +345,9 @@ ORACLES: dict[str, str] = {
         WHERE epoch_us(last_ts) + {H} <= mark_us""", "wide_marked", "mark"),
     "stream_latest_pointer": sql("""SELECT node, run_id, written_at FROM runs
         QUALIFY row_number() OVER (PARTITION BY node ORDER BY written_at DESC, run_id DESC) = 1""", "runs"),
-    "stream_upload": sql("""SELECT m.*, CASE WHEN bucket = '' THEN 'dead' ELSE 'moved' END AS outcome
-        FROM moved m WHERE event_id IN (SELECT event_id FROM finished)""", "moved", "finished"),
+    "stream_upload": sql("""SELECT CASE WHEN moved THEN bucket || '/' || below ELSE below END AS object_key, length(content) AS n_bytes,
+        md5(content) AS digest, CASE WHEN moved THEN 'store' ELSE 'tree' END AS place FROM (SELECT *, bucket <> '' AND
+        (event_type = 'signup' OR (event_type = 'click' AND NOT contains(filename, 'tmp'))) AS moved FROM objects) o""", "objects"),
     "stream_counters": sql(f"SELECT {COUNTERS} FROM catalog", "catalog"),
 
     "delayed_playout": sql(f"""SELECT node, count(*) AS selected, count(*) FILTER (state = 'expired') AS expired,

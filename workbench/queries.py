@@ -16,7 +16,7 @@ from segtide.plans.day_playlists import day_playlists
 from segtide.plans.delayed_playout import delayed_playout
 from segtide.plans.live_to_store import live_to_store
 from segtide.session import configure, shared_dir
-from segtide.sources import layout, pcm, sinks, tree
+from segtide.sources import layout, objects, pcm, sinks, tree
 from segtide.sources.listing import listing_extract
 from segtide.streaming import live, polls, queue, upload
 from workbench import tables as tb
@@ -91,22 +91,38 @@ def watch_tree_source(t: Tables) -> DataFrame:
                     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double", "watched")
 
 
-FILE_SCHEMA = "event_id bigint, node bigint, filename string, object_key string, bucket string"
+def written_objects(t: Tables) -> tuple[str, DataFrame]:
+    """A tree of files made of the events, and their file events (without the contents)."""
+    folder = shared_dir(t.spark, "objects")
+    path = shared_dir(t.spark, "object-events")
+    made = t.objects(folder)
+    failed = objects.put_objects(made.withColumn("path", F.concat_ws("/", "path", "filename"))).where("error is not null").count()
+    assert not failed, failed
+    made.drop("content").write.parquet(path)
+    return folder, t.spark.read.parquet(path)
 
 
-def moved(t: Tables, start: Callable[[str, str, str], object]) -> DataFrame:
-    paths = [shared_dir(t.spark, n) for n in ("moved", "dead", "move-checkpoint")]
-    start(*paths).awaitTermination()
-    good, dead = [sinks.read_batches(t.spark, p, FILE_SCHEMA) for p in paths[:2]]
-    return (good.withColumn("outcome", F.lit("moved")).unionByName(dead.withColumn("outcome", F.lit("dead")))
-            .select("event_id", "object_key", "bucket", "outcome"))
+def stored_and_left(t: Tables, store: str, tree_dir: str) -> DataFrame:
+    """What is in the store and what still is in the tree, with a hash of the contents."""
+    def listed(root: str, place: str) -> DataFrame:
+        return objects.list_objects(t.spark, root, content=True).select(
+            F.col("path").alias("object_key"), F.col("length").alias("n_bytes"), F.md5("content").alias("digest"), F.lit(place).alias("place"))
+
+    return listed(store, "store").unionByName(listed(tree_dir, "tree"))
 
 
 @query
 def move_sink(t: Tables) -> DataFrame:
-    keyed = t.file_events(t.event_stream()).withColumn("object_key", nm.object_key(F.col("path"), F.col("filename")))
-    stream = routing.with_bucket(keyed, tb.ROUTES)
-    return moved(t, lambda good, dead, cp: sinks.move_sink(stream, good, dead, F.col("unrouted"), cp))
+    folder, _ = written_objects(t)
+    store, manifest = shared_dir(t.spark, "store"), shared_dir(t.spark, "manifest")
+    below = F.regexp_extract("path", "(node[0-9]+)/(.*)$", 0)
+    node = F.regexp_extract("path", "node([0-9]+)/hls/", 1).cast("int")
+    found = tree.watch_files(t.spark, folder).select("path", below.alias("object_key"), F.lit("hls").alias("kind"), F.when(
+        node % 4 == 0, "prod").when(node % 4 == 1, "custom").when(node % 4 == 2, "dev").alias("bucket_type"))
+    target = F.when(~F.col("unrouted"), F.concat_ws("/", F.lit(store), "bucket", "object_key"))
+    moves = routing.with_bucket(found, tb.ROUTES).select(F.col("path").alias("source"), target.alias("target"))
+    objects.move_sink(moves, manifest, shared_dir(t.spark, "move-checkpoint")).awaitTermination()
+    return stored_and_left(t, store, folder)
 
 
 @query
@@ -496,8 +512,12 @@ def stream_latest_pointer(t: Tables) -> DataFrame:
 
 @query
 def stream_upload(t: Tables) -> DataFrame:
-    return moved(t, lambda good, dead, cp: upload.stream_upload(
-        t.file_events(t.event_stream()), tb.ROUTES, good, dead, cp))
+    folder, events = written_objects(t)
+    store, manifest, feed = (shared_dir(t.spark, n) for n in ("store", "manifest", "file-events"))
+    events.write.parquet(feed)
+    stream = t.spark.readStream.schema(events.schema).parquet(feed)
+    upload.stream_upload(stream, tb.ROUTES, store, manifest, shared_dir(t.spark, "upload-checkpoint"), root=folder).awaitTermination()
+    return stored_and_left(t, store, folder)
 
 
 @query

@@ -135,6 +135,24 @@ class Tables:
             F.lit("hls").alias("kind"),
             F.when(node % 4 == 0, "prod").when(node % 4 == 1, "custom").when(node % 4 == 2, "dev").alias("bucket_type"))
 
+    def objects(self, tree: str) -> DataFrame:
+        """One file per node, day and kind of event below a tree, with the events as its lines; its id is that of its first event."""
+        line = F.concat_ws(",", F.col("event_id").cast("string"), us("ts").cast("string"))
+        day = F.call_function("div", us("ts"), F.lit(86_400_000_000))
+        files = self.events().groupBy((F.col("user_id") % 8).alias("node"), day.alias("day"), "event_type").agg(
+            F.min("event_id").alias("event_id"), F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))).alias("lines"))
+        kind = (F.when(F.col("event_type") == "click", "IN_CLOSE_WRITE")
+                .when(F.col("event_type") == "signup", "IN_MOVED_TO").otherwise("IN_CREATE"))
+        node = F.col("node")
+        return files.select(
+            "event_id", "node", F.array(kind, F.lit("X")).alias("types"),
+            F.concat(F.lit(tree + "/node"), node.cast("string"), F.lit("/hls/"), F.col("day").cast("string")).alias("path"),
+            F.concat(F.lit("live"), F.col("event_id").cast("string"),
+                     F.when(F.col("event_id") % 10 == 0, ".m3u8.tmp").otherwise(".ts")).alias("filename"),
+            F.lit("hls").alias("kind"),
+            F.when(node % 4 == 0, "prod").when(node % 4 == 1, "custom").when(node % 4 == 2, "dev").alias("bucket_type"),
+            F.array_join(F.col("lines.line"), "\n").cast("binary").alias("content"))
+
     def node_config(self) -> DataFrame:
         key = F.col("s_suppkey")
         node_type = F.get(F.array(*[F.lit(t) for t in TYPES]), (key % 5).cast("int"))
