@@ -33,14 +33,15 @@ def stab_join(intervals: DataFrame, points: DataFrame, start_us: str, end_us: st
     """Pairs with ``start < point <= end`` and, where ``keys`` are given, equal keys (interval's to point's).
 
     An interval goes to the bucket width that suits its length and is repeated for the few
-    buckets it touches, whatever its length; a point is repeated once per level. The exact test
-    follows the equi-join, so no pair is lost or doubled.
+    buckets it touches, whatever its length; a point is repeated once per level that occurs, which is looked up
+    first. The exact test follows the equi-join, so no pair is lost or doubled.
     """
     level = _level(F.col(end_us) - F.col(start_us), base)
     spread = (intervals.where(F.col(end_us) > F.col(start_us)).withColumn("_level", level)
               .withColumn("_bucket", F.explode(F.sequence(_bucket(F.col(start_us), F.col("_level"), base),
                                                           _bucket(F.col(end_us), F.col("_level"), base)))))
-    asked = (points.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(LEVELS)])))
+    levels = sorted(r[0] for r in intervals.where(F.col(end_us) > F.col(start_us)).select(level).distinct().collect())  # at most LEVELS
+    asked = (points.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in levels or [0]])))
              .withColumn("_bucket", _bucket(F.col(point_us), F.col("_level"), base)))
     spread, asked = spread.withColumnRenamed("_level", "_at").withColumnRenamed("_bucket", "_in"), asked
     on = (F.col("_at") == F.col("_level")) & (F.col("_in") == F.col("_bucket"))

@@ -101,7 +101,8 @@ def scanned(df: DataFrame, keys: list[str], time_us: str, figures: dict[str, tup
     # growing frames in both directions: a shrinking frame is recomputed for every row
     earlier = key.orderBy("_bucket", "_part").rowsBetween(W.unboundedPreceding, -1)
     later = key.orderBy(F.desc("_bucket"), F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
-    end = F.lead("_begin").over(W.partitionBy(*group).orderBy("_part"))
+    in_order = key.orderBy("_bucket", "_part")
+    end = F.when(F.lead("_bucket").over(in_order) == F.col("_bucket"), F.lead("_begin").over(in_order))
     carried, seen = written(chunks.select(
         *group, "_part", "_begin", end.alias("_end"), *[c.over(earlier).alias(n) for n, c in (before or {}).items()],
         *[c.over(later).alias(n) for n, c in (after or {}).items()]), "chunks", last=F.max("_part"))

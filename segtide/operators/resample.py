@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from segtide.functions.times import from_us, is_ntz, micros, slot_start, us
 from segtide.operators import ordered
-from segtide.operators.intervals import stab_join
 from segtide.operators.keys import per_key
 from segtide.operators.schedule import segment_schedule
+from segtide.operators.segments import pieces, within
 from segtide.operators.steps import explode_steps
+from segtide.sources.written import written
 
 
 def resample_down(samples: DataFrame, step: timedelta) -> DataFrame:
@@ -45,25 +46,20 @@ def resample_up(samples: DataFrame, step: timedelta, **kw) -> DataFrame:
             .select("node", from_us("_grid", is_ntz(samples, "ts")).alias("slot"), value.alias("value")))
 
 
-def gap_fill(samples: DataFrame, segments: DataFrame, step: timedelta) -> DataFrame:
+def gap_fill(samples: DataFrame, segments: DataFrame, step: timedelta, **kw) -> DataFrame:
     """On the grid of every segment, counted from its own start: slot mean less the segment's mean, and 0 where
     data is missing.
 
-    Samples of one instant are merged, then meet the segments that hold them (``seg_start <= ts < seg_end``) and
-    combine per slot; the window covers the slots of one segment.
+    Samples are summed up between the bounds of all slots, then put together per slot; the window covers the
+    slots of one segment.
     """
     whole_segments = segments.select("node", F.col("seg_start").alias("segment"), F.col("seg_end").alias("end")).distinct()
-    spans = whole_segments.withColumn("_from", us("segment") - 1).withColumn("_to", us("end") - 1)
-    instants = samples.groupBy(F.col("node").alias("_node"), us("ts").alias("_us")).agg(
-        F.sum("value").alias("_v"), F.count("value").alias("_c"))
-    held = stab_join(spans, instants, "_from", "_to", "_us", keys={"node": "_node"})
-    first = us("segment")
-    slots = per_key(held.withColumn("_slot", first + slot_start(F.col("_us") - first, step)), ["node", "segment", "end", "_slot"],
-                    F.sum("_v").alias("_sum"), F.sum("_c").alias("_n"))
     grid = segment_schedule(whole_segments.withColumn("start", F.col("segment")), step)
-    filled = grid.select("node", "segment", "end", us("seg_start").alias("_slot")).join(
-        slots, ["node", "segment", "end", "_slot"], "left")
+    slots, _ = written(grid.select("node", "segment", "end", F.col("seg_start").alias("slot"), F.col("seg_end").alias("slot_end")), "grid")
+    parts = pieces(samples, slots, "slot", "slot_end", F.sum("value").alias("_v"), F.count("value").alias("_c"), **kw)
+    key = ["node", "segment", "end", "slot"]
+    sums = per_key(within(slots, parts, "slot", "slot_end"), key, F.sum("_v").alias("_sum"), F.sum("_c").alias("_n"))
+    filled = slots.join(sums, key, "left")
     whole = W.partitionBy("node", "segment", "end")
     mean = F.sum("_sum").over(whole) / F.sum("_n").over(whole)
-    return filled.select("node", "segment", from_us("_slot", is_ntz(segments, "seg_start")).alias("slot"),
-                         F.coalesce(F.col("_sum") / F.col("_n") - mean, F.lit(0.0)).alias("value"))
+    return filled.select("node", "segment", "slot", F.coalesce(F.col("_sum") / F.col("_n") - mean, F.lit(0.0)).alias("value"))

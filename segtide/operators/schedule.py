@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from segtide.functions.names import DAY_PATH
 from segtide.functions.times import from_us, is_ntz, micros, slot_start, us
-from segtide.operators.intervals import stab_join
 from segtide.operators.keys import per_key
+from segtide.operators.segments import pieces, within
 from segtide.operators.steps import explode_steps
+from segtide.sources.written import written
 
 
 def plan_listing_days(requests: DataFrame, base: str) -> DataFrame:
@@ -50,18 +51,16 @@ def skip_existing(segments: DataFrame, present: DataFrame, on: tuple[str, ...] =
     return segments.join(per_key(present, list(on)), list(on), "left_anti")
 
 
-def with_sample_counts(segments: DataFrame, samples: DataFrame) -> DataFrame:
+def with_sample_counts(segments: DataFrame, samples: DataFrame, **kw) -> DataFrame:
     """Add ``n_samples`` per scheduled segment (0 where no data came back): samples with
-    ``seg_start <= ts < seg_end``, whatever grid or length the segments have.
+    ``seg_start <= ts < seg_end``, whatever grid or length the segments have, and where they overlap.
 
-    Samples of one instant are merged first, and the join's pairs combine in every task before they are
-    shuffled by segment.
+    Samples are counted between the segments' bounds; the counts are put together per segment. The segments' times are
+    written once, for all that is asked of them.
     """
-    spans = (segments.select("node", "seg_start", "seg_end").distinct()
-             .withColumn("_from", us("seg_start") - 1).withColumn("_to", us("seg_end") - 1))
-    instants = samples.groupBy(F.col("node").alias("_node"), us("ts").alias("_us")).agg(F.count("*").alias("_n"))
-    pairs = stab_join(spans, instants, "_from", "_to", "_us", keys={"node": "_node"})
-    counts = per_key(pairs, ["node", "seg_start", "seg_end"], F.sum("_n").alias("n_samples"))
+    spans, _ = written(segments.select("node", "seg_start", "seg_end").distinct(), "spans")
+    parts = pieces(samples, spans, "seg_start", "seg_end", F.count("*").alias("_n"), **kw)
+    counts = per_key(within(spans, parts, "seg_start", "seg_end"), ["node", "seg_start", "seg_end"], F.sum("_n").alias("n_samples"))
     return (segments.join(counts, ["node", "seg_start", "seg_end"], "left").select(*segments.columns, "n_samples")
             .withColumn("n_samples", F.coalesce("n_samples", F.lit(0))))
 

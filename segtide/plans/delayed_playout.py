@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segtide.functions.names import short_name
 from segtide.operators.catalog import anti_done, build_catalog, eligible_files, queue_state
+from segtide.operators.schedule import plan_listing_days
+from segtide.sources.layout import scan_planned_days
+
+
+def listed_names(spark: SparkSession, path: str, now: datetime, delay: timedelta, schema: str, base: str = "archive") -> DataFrame:
+    """Names of a listing laid out by day, of the days that a pass at ``now`` lists: other days are not read."""
+    request = spark.range(1).select(F.lit(now).cast("timestamp_ntz").alias("now"), F.lit(delay).alias("delay"))
+    return scan_planned_days(spark, path, plan_listing_days(request, base), schema).drop("day")
 
 
 def selected_files(names: DataFrame, done: DataFrame, now: datetime, delay: timedelta, segment: timedelta,

@@ -33,3 +33,13 @@ def write_days(catalog: DataFrame, path: str) -> str:
 
 def scan_days(spark: SparkSession, path: str, days: list[str], schema: str) -> DataFrame:
     return read_layout(spark, path, schema, day=days)
+
+
+def scan_planned_days(spark: SparkSession, path: str, plan: DataFrame, schema: str) -> DataFrame:
+    """Rows of a day layout on the days of a plan (``plan_listing_days``).
+
+    The days are found while the query runs, and the folders of other days are left unread: dynamic partition
+    pruning, which Spark only tries if the small side has a comparison.
+    """
+    wanted = plan.select(F.date_format("day", "yyyy-MM-dd").alias("day")).where("day >= ''").distinct()
+    return read_layout(spark, path, schema).join(wanted, "day", "left_semi")

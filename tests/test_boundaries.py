@@ -1,5 +1,7 @@
 """Hand-made rows at the edges of the rules."""
 
+import random
+import shutil
 from datetime import timedelta
 
 import pytest
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 
 from segtide.functions import names, routing, signal
 from segtide.operators import capture, catalog, nodes, playlist, playout, resample, schedule, segments, uploads
+from segtide.plans import delayed_playout
+from segtide.sources import layout
 from segtide.sources.listing import listing_extract
 from tests.conftest import at
 
@@ -336,7 +340,7 @@ def test_next_available_at_every_tick_of_every_node(spark):
             if k == len(free[node]) or free[node][k] >= tick - timedelta(hours=18):
                 k = bisect.bisect_right(every[node], tick - timedelta(hours=24))
                 wanted.add((node, tick, every[node][k] if k < len(every[node]) else None))
-    got = [(r.node, r.tick, r.next_time) for r in QUERIES["next_available_whole"](spark, "/root/testdata/sf0.001").collect()]
+    got = [(r.node, r.tick, r.next_time) for r in QUERIES["next_available"](spark, "/root/testdata/sf0.001").collect()]
     assert len(got) == len(wanted) and set(got) == wanted
     assert {g[0] for g in got} == set(every) and any(g[1].minute for g in got)
 
@@ -347,3 +351,67 @@ def test_append_adds_each_segment_once_and_raises_the_target(rows):
     first = playlist.build_playlist(df.where("ts_name = 'a.ts'"), ["node"])
     assert playlist.append_playlist(first, df, ["node"]).first().body.split("\n") == [
         "#EXTM3U", "#EXT-X-TARGETDURATION:60", "#EXTINF:10.000000,", "a.ts", "#EXTINF:60.000000,", "b.ts", "#EXT-X-ENDLIST"]
+
+
+def test_overlapping_and_touching_segments_share_samples(rows):
+    """Every sample counts in each segment that holds it, whatever bounds cross; also where chunks are cut."""
+    draw = random.Random(11)
+    t0 = at("2024-01-01T00:00:00")
+    times = [t0 + timedelta(seconds=draw.randrange(0, 7200)) for _ in range(300)] + [t0 + timedelta(seconds=600)] * 40
+    samples = [(draw.choice([1, 1, 1, 2, None]), t, float(i)) for i, t in enumerate(times)]
+    spans = []
+    for _ in range(60):
+        start = t0 + timedelta(seconds=draw.choice([0, 600, 1200, draw.randrange(-3000, 9000)]))
+        spans.append((draw.choice([1, 2, 3]), start, start + timedelta(seconds=draw.choice([0, 1, 600, 3600, 20_000]))))
+    spans = sorted(set(spans + spans[:5]))
+    want = {s: sum(n == s[0] and s[1] <= t < s[2] for n, t, _ in samples) for s in spans}
+    segs = rows(spans, "node bigint, seg_start timestamp_ntz, seg_end timestamp_ntz").repartition(3)
+    df = rows(samples, "node bigint, ts timestamp_ntz, value double").repartition(4)
+    for max_rows in (9, 1_000_000):
+        got = schedule.with_sample_counts(segs, df, max_rows=max_rows).collect()
+        assert {(r.node, r.seg_start, r.seg_end): r.n_samples for r in got} == want
+    filled = resample.gap_fill(df, segs.where("seg_end > seg_start"), timedelta(seconds=500), max_rows=9).collect()
+    for r in filled:
+        inside = [v for n, t, v in samples if n == r.node and r.slot <= t < r.slot + timedelta(seconds=500)]
+        if not inside:
+            assert r.value == 0.0
+    one = next(s for s in spans if s[2] - s[1] == timedelta(seconds=20_000) and want[s])
+    mine = [v for n, t, v in samples if n == one[0] and one[1] <= t < one[2]]
+    slot = [v for n, t, v in samples if n == one[0] and one[1] <= t < one[1] + timedelta(seconds=500)]
+    first = [r.value for r in filled if (r.node, r.segment, r.slot) == (one[0], one[1], one[1])]
+    expected = sum(slot) / len(slot) - sum(mine) / len(mine) if slot else 0.0
+    assert any(abs(v - expected) < 1e-9 for v in first)
+
+
+def test_no_segments_and_no_samples(rows):
+    none = rows([], "node bigint, seg_start timestamp_ntz, seg_end timestamp_ntz")
+    one = rows([(1, at("2024-01-01T00:00:00"), at("2024-01-01T01:00:00"))], "node bigint, seg_start timestamp_ntz, seg_end timestamp_ntz")
+    samples = rows([(1, at("2024-01-01T00:10:00"), 1.0)], "node bigint, ts timestamp_ntz, value double")
+    assert schedule.with_sample_counts(none, samples).count() == 0
+    assert [r.n_samples for r in schedule.with_sample_counts(one, samples.where("node = 2")).collect()] == [0]
+
+
+def test_planned_days_prune_the_scan(spark, rows, tmp_path):
+    """Days of the plan are found at run time; folders of other days stay unread."""
+    files = rows([(f"f{d}", at(f"2024-01-{d:02d}T12:00:00")) for d in range(1, 29)], "filepath string, file_time timestamp_ntz")
+    path = layout.write_days(files, str(tmp_path / "days"))
+    asked = rows([(at("2024-01-10T01:00:00"), timedelta(hours=30)), (at("2024-01-20T00:00:00"), timedelta(hours=1))],
+                 "now timestamp_ntz, delay interval day to second")
+    got = layout.scan_planned_days(spark, path, schedule.plan_listing_days(asked, "archive"), "filepath string, file_time timestamp_ntz, day string")
+    assert sorted(r.filepath for r in got.collect()) == ["f10", "f19", "f20", "f8", "f9"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression" in plan.lower()
+    for day in ("2024-01-01", "2024-01-28"):  # what isn't read may be gone by the time of the query
+        shutil.rmtree(f"{path}/day={day}")
+    listed = delayed_playout.listed_names(spark, path, at("2024-01-10T01:00:00"), timedelta(hours=30), "filepath string, file_time timestamp_ntz, day string")
+    assert sorted(r.filepath for r in listed.collect()) == ["f10", "f8", "f9"]
+
+
+@pytest.mark.parametrize("name, scans", [("asof_run", 3), ("xrun_flags", 2), ("reset_islands", 3), ("stall_report", 2), ("clock_fit", 3),
+                                         ("concat_timeline", 2), ("resample_up", 2), ("next_available", 3), ("live_to_store", 8)])
+def test_plans_read_their_inputs_once_after_the_summary(spark, name, scans):
+    """The start plan has one scan of each input and one of each written summary, and broadcasts nothing by force."""
+    from workbench.queries import QUERIES
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert physical.count("Scan parquet") <= scans and "strategy=broadcast" not in plan

@@ -13,7 +13,7 @@ from segtide.functions import routing, signal
 from segtide.functions.times import slot_start, from_us, us
 from segtide.operators import capture, catalog, nodes, playlist, playout, resample, schedule, segments, uploads
 from segtide.plans.day_playlists import day_playlists
-from segtide.plans.delayed_playout import delayed_playout
+from segtide.plans.delayed_playout import delayed_playout, listed_names
 from segtide.plans.live_to_store import live_to_store
 from segtide.session import configure, shared_dir
 from segtide.sources import layout, objects, pcm, sinks, tree
@@ -534,7 +534,11 @@ def stream_counters(t: Tables) -> DataFrame:
 
 @query
 def delayed_playout_(t: Tables) -> DataFrame:
-    return delayed_playout(t.names(), t.done(), tb.NOW, tb.DELAY, tb.SEGMENT, tb.PREFIX, tb.POSTFIX, tb.LATER)
+    # the listing as a store keeps it: a folder for each day's pages
+    day = F.concat_ws("-", *[F.regexp_extract("url", "^archive/([0-9]+)/([0-9]+)/([0-9]+)$", i) for i in (1, 2, 3)])
+    path = layout.write_layout(t.names().withColumn("day", day), shared_dir(t.spark, "listing"), ("day",))
+    names = listed_names(t.spark, path, tb.NOW, tb.DELAY, "node bigint, url string, filepath string, duration_s double, day string")
+    return delayed_playout(names, t.done(), tb.NOW, tb.DELAY, tb.SEGMENT, tb.PREFIX, tb.POSTFIX, tb.LATER)
 
 
 @query
