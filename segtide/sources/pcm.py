@@ -60,11 +60,9 @@ def pcm_write(frames: DataFrame, key: str, samples: str, rate: int, channels: in
     return rows.mapInPandas(encode, "path string, content binary")
 
 
-def pcm_read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frames of payloads (``path``, ``content``, as the binary file source gives), and failures.
-
-    A payload that cannot be decoded becomes a quarantine row with the reason.
-    """
+def pcm_decode(files: DataFrame) -> DataFrame:
+    """Frames of payloads (``path``, ``content``, as the binary file source gives), or the ``error`` of one that cannot
+    be decoded; for tables and streams."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -77,5 +75,10 @@ def pcm_read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = pd.DataFrame(rows, columns=["path", "rate", "channels", "samples", "error"])
             yield out.astype({"rate": "Int32", "channels": "Int32"})
 
-    decoded = files.select("path", "content").mapInPandas(decode, FRAMES_SCHEMA)
+    return files.select("path", "content").mapInPandas(decode, FRAMES_SCHEMA)
+
+
+def pcm_read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames of payloads, and a quarantine of those that cannot be decoded, with the reason."""
+    decoded = pcm_decode(files)
     return decoded.where("error is null").drop("error"), decoded.where("error is not null").select("path", "error")

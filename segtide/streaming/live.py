@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from segtide.functions.times import micros
 from segtide.operators.playlist import latest_pointer
-from segtide.sources.sinks import batch_sink, write_batch
+from segtide.sources.sinks import batch_sink
+from segtide.sources.state import StateTable
 
 
 def _text(delta: timedelta) -> str:
@@ -62,8 +63,16 @@ def stream_stall_alert(packets: DataFrame, timeout: timedelta, lateness: timedel
                     (F.col("last_ts") + F.lit(timeout)).alias("alert_at")))
 
 
-def stream_latest_pointer(runs: DataFrame, path: str, checkpoint: str,
-                          every: str | None = None) -> StreamingQuery:
-    """Keep one row per node; every batch writes the full pointer table to its own folder."""
-    return batch_sink(latest_pointer(runs), lambda df, i: write_batch(df, path, i), checkpoint,
-                      mode="complete", every=every)
+POINTER = "node bigint, run_id bigint, written_at timestamp_ntz"
+
+
+def latest_pointers(spark: SparkSession, path: str, schema: str = POINTER) -> StateTable:
+    """The pointer table that ``stream_latest_pointer`` keeps; ``read()`` gives one row per node."""
+    return StateTable(spark, path, schema, latest_pointer)
+
+
+def stream_latest_pointer(runs: DataFrame, path: str, checkpoint: str, every: str | None = None,
+                          schema: str = POINTER) -> StreamingQuery:
+    """Keep one row per node. A batch writes the pointers it changes; the whole table is written anew every few batches."""
+    table = latest_pointers(runs.sparkSession, path, schema)
+    return batch_sink(runs, lambda batch, i: table.update(i, batch.select("node", "run_id", "written_at")), checkpoint, every=every)

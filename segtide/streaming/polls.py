@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from segtide.functions.times import micros, us
 from segtide.operators.catalog import build_catalog, eligible_files, run_counters
-from segtide.sources.sinks import batch_sink, read_batches, write_batch
+from segtide.sources.sinks import batch_sink, write_batch
+from segtide.sources.state import StateTable
 
 POLL = "150 seconds"  # fixed value: polls keep this phase, however long a pass takes
 
@@ -44,19 +45,16 @@ def stream_late_drop(catalog: DataFrame, maxdelay: timedelta, kept: str, late: s
     """Split off files that are ``maxdelay`` or more behind the newest file time seen so far, and those
     without a file time.
 
-    The newest time after each batch is a one-row table per batch id, so a repeated batch starts
+    The newest time is a one-row table of snapshots and changes (``StateTable``); a repeated batch starts
     from the state its first try saw.
     """
+    table = StateTable(catalog.sparkSession, state, "high_us bigint", lambda rows: rows.agg(F.max("high_us").alias("high_us")))
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch.persist()
         try:
-            newest = batch.agg(F.max(us("file_time")).alias("high_us"))
-            if batch_id > 0:
-                before = read_batches(spark, state, "high_us bigint").where(F.col("batch_id") < batch_id)
-                newest = newest.unionByName(before.select("high_us")).agg(F.max("high_us").alias("high_us"))
-            write_batch(newest, state, batch_id)
-            high = newest.first()["high_us"]  # one row
+            table.update(batch_id, batch.select(us("file_time").alias("high_us")))
+            high = table.read(batch_id + 1).first()["high_us"]  # one row
             is_late = F.coalesce(us("file_time") <= F.lit(high) - micros(maxdelay), F.lit(True))
             write_batch(batch.where(~is_late), kept, batch_id)
             write_batch(batch.where(is_late), late, batch_id)

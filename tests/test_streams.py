@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from segtide.functions.routing import Buckets
 from segtide.operators import capture, segments
-from segtide.sources import objects, sinks, tree
-from segtide.streaming import live, polls, queue, upload
+from segtide.sources import objects, pcm, sinks, state, tree
+from segtide.streaming import frames, live, polls, queue, upload
 from tests.conftest import at
 
 PACKETS = "node bigint, ts timestamp_ntz, event_id bigint"
@@ -137,8 +137,48 @@ def test_latest_pointer_follows_the_writes(spark, feed):
     feed.put([(1, 10, T0), (2, 5, T0)], schema)
     feed.put([(1, 7, T0 + timedelta(hours=1))], schema)
     live.stream_latest_pointer(feed.stream(schema), feed.dir("latest"), feed.dir("cp")).awaitTermination()
-    got = sinks.read_batches(spark, feed.dir("latest"), "node bigint, run_id bigint")
-    assert sorted((r.batch_id, r.node, r.run_id) for r in got.collect()) == [(0, 1, 10), (0, 2, 5), (1, 1, 7), (1, 2, 5)]
+    table = live.latest_pointers(spark, feed.dir("latest"))
+    assert sorted(tuple(r)[:2] for r in table.read(before=1).collect()) == [(1, 10), (2, 5)]
+    assert sorted(tuple(r)[:2] for r in table.read().collect()) == [(1, 7), (2, 5)]
+
+
+def test_state_stays_flat_and_repeats_are_safe(spark, rows, tmp_path):
+    """Folders don't pile up over many batches; a batch repeated after a snapshot, or after half a snapshot, changes nothing."""
+    schema = "key bigint, n bigint"
+    table = state.StateTable(spark, str(tmp_path / "t"), schema, lambda df: df.groupBy("key").agg(F.sum("n").alias("n")), every=3)
+    assert table.read().count() == 0
+    want, most = {}, 0
+    for i in range(20):
+        for key in (i % 4, 9):
+            want[key] = want.get(key, 0) + i
+        again = 2 if i % 3 == 2 or i == 7 else 1
+        for _ in range(again):
+            table.update(i, rows([(i % 4, i), (9, i)], schema))
+            assert {r.key: r.n for r in table.read().collect()} == want
+        most = max(most, sum(len(os.listdir(tmp_path / "t" / k)) for k in os.listdir(tmp_path / "t")))
+    assert most <= 2 * 3 + 3
+    for part in os.listdir(tmp_path / "t" / "snapshot" / "batch_id=17"):  # a snapshot that broke off
+        if "_SUCCESS" in part:
+            os.remove(tmp_path / "t" / "snapshot" / "batch_id=17" / part)
+    assert {r.key: r.n for r in table.read().collect()} == want
+
+
+def test_sound_files_become_frames_and_bad_ones_errors(spark, rows, files, feed):
+    sound = pcm.pcm_write(rows([("1", [0.5, -0.5]), ("2", [0.0] * 4), ("3", [1.0])], "id string, s array<float>"), "id", "s", 8000)
+    made = {r.path: bytes(r.content) for r in sound.collect()}
+
+    def run():
+        frames.stream_frames(tree.watch_files(spark, files.root, "*.wav", files_per_trigger=1), feed.dir("good"), feed.dir("bad"), feed.dir("cp")).awaitTermination()
+
+    files.make("a/1.wav", made["1"])
+    files.make("a/b/2.wav", made["2"][:-1])
+    files.make("a/notes.txt", b"no sound")
+    run()
+    files.make("3.wav", made["3"])
+    run()  # the first two aren't read again
+    good = sinks.read_batches(spark, feed.dir("good"), "path string, rate int, samples array<float>").collect()
+    assert sorted((os.path.basename(r.path), r.rate, len(r.samples)) for r in good) == [("1.wav", 8000, 2), ("3.wav", 8000, 1)]
+    assert [(os.path.basename(r.path), r.error) for r in sinks.read_batches(spark, feed.dir("bad"), "path string, error string").collect()] == [("2.wav", "cut short")]
 
 
 EVENTS = "types array<string>, path string, filename string, kind string, bucket_type string"

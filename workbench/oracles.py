@@ -214,6 +214,11 @@ ORACLES: dict[str, str] = {
         CASE WHEN seg_id % 10 <> 0 THEN {_digits('''list_transform(samples, lambda y:
           (greatest(-32768, least(32767, floor(y::DOUBLE * 32767 + 0.5))) / 32767)::FLOAT)''')} END AS samples,
         CASE WHEN seg_id % 10 = 0 THEN 'cut short' END AS error FROM frames""", "frames"),
+    "watch_tree_frames": sql(f"""SELECT seg_id::VARCHAR AS path,
+        CASE WHEN seg_id % 10 <> 0 THEN 48000 END::INT AS rate, CASE WHEN seg_id % 10 <> 0 THEN 1 END::INT AS channels,
+        CASE WHEN seg_id % 10 <> 0 THEN {_digits('''list_transform(samples, lambda y:
+          (greatest(-32768, least(32767, floor(y::DOUBLE * 32767 + 0.5))) / 32767)::FLOAT)''')} END AS samples,
+        CASE WHEN seg_id % 10 = 0 THEN 'cut short' END AS error FROM frames""", "frames"),
 
     "parse_file_time": sql("SELECT event_id, filepath, file_time AS parsed FROM catalog", "catalog"),
     "full_url": sql("SELECT event_id, url || '/' || filepath AS full_url FROM catalog", "catalog"),

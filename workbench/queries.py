@@ -18,7 +18,7 @@ from segtide.plans.live_to_store import live_to_store
 from segtide.session import configure, shared_dir
 from segtide.sources import layout, objects, pcm, sinks, tree
 from segtide.sources.listing import listing_extract
-from segtide.streaming import live, polls, queue, upload
+from segtide.streaming import frames, live, polls, queue, upload
 from workbench import tables as tb
 from workbench.tables import Tables
 
@@ -125,6 +125,22 @@ def move_sink(t: Tables) -> DataFrame:
     return stored_and_left(t, store, folder)
 
 
+@query
+def watch_tree_frames(t: Tables) -> DataFrame:
+    """Sound files that appear in a tree, decoded as they come; every tenth is cut short and must reach the quarantine."""
+    folder = shared_dir(t.spark, "sound")
+    broken = F.when(F.col("path").cast("bigint") % 10 == 0, F.expr("substring(content, 1, length(content) - 1)"))
+    made = pcm.pcm_write(t.frames(), "seg_id", "samples", 48000).withColumn("content", F.coalesce(broken, "content"))
+    named = made.withColumn("path", F.concat(F.lit(folder), F.lit("/"), (F.col("path").cast("bigint") % 7).cast("string"), F.lit("/"), "path", F.lit(".wav")))
+    failed = objects.put_objects(named).where("error is not null").count()
+    assert not failed, failed
+    good, bad = (shared_dir(t.spark, n) for n in ("frames", "broken"))
+    frames.stream_frames(tree.watch_files(t.spark, folder, "*.wav"), good, bad, shared_dir(t.spark, "frames-checkpoint")).awaitTermination()
+    name = F.regexp_extract("path", "([^/]*)[.]wav$", 1).alias("path")
+    return (sinks.read_batches(t.spark, good, pcm.FRAMES_SCHEMA).select(name, "rate", "channels", digits(F.col("samples")).alias("samples"), F.lit(None).cast("string").alias("error"))
+            .unionByName(sinks.read_batches(t.spark, bad, "path string, error string").select(name, "error"), allowMissingColumns=True))
+
+
 @query
 def tee_sinks(t: Tables) -> DataFrame:
     def cut(length: timedelta):
@@ -503,11 +519,8 @@ def stream_stall_alert(t: Tables) -> DataFrame:
 @query
 def stream_latest_pointer(t: Tables) -> DataFrame:
     path = shared_dir(t.spark, "latest")
-    live.stream_latest_pointer(t.runs(t.event_stream()), path,
-                               shared_dir(t.spark, "latest-checkpoint")).awaitTermination()
-    written = sinks.read_batches(t.spark, path, "node bigint, run_id bigint, written_at timestamp_ntz")
-    return written.groupBy("node").agg(F.max_by("run_id", "batch_id").alias("run_id"),
-                                       F.max_by("written_at", "batch_id").alias("written_at"))
+    live.stream_latest_pointer(t.runs(t.event_stream()), path, shared_dir(t.spark, "latest-checkpoint")).awaitTermination()
+    return live.latest_pointers(t.spark, path).read()
 
 
 @query
