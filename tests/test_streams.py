@@ -1,6 +1,7 @@
 """Streams against their batch forms: several micro-batches, restarts, late rows, cleaning."""
 
 import os
+import random
 from datetime import timedelta
 
 import pytest
@@ -10,6 +11,7 @@ from segtide.functions.routing import Buckets
 from segtide.operators import capture, segments
 from segtide.sources import objects, pcm, sinks, state, tree
 from segtide.streaming import frames, live, polls, queue, upload
+from segtide.streaming import runs as runs_stream
 from tests.conftest import at
 
 PACKETS = "node bigint, ts timestamp_ntz, event_id bigint"
@@ -268,6 +270,33 @@ def test_files_of_any_kind_are_watched_and_listed(spark, files, feed):
         assert sorted((r.path, r.length) for r in objects.list_objects(spark, root).collect()) == want
 
 
+def test_run_segments_of_streams_are_those_of_tables(spark, feed, tmp_path):
+    """Runs that begin while samples come, starts that arrive after their samples, over restarts."""
+    starts = "node bigint, started_at timestamp_ntz"
+    length, late = timedelta(minutes=50), timedelta(hours=3)
+    draw, sent, begun = random.Random(4), [], []
+
+    def run():
+        runs = spark.readStream.schema(starts).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "runs"))
+        drain(runs_stream.stream_run_segments(feed.stream(PACKETS), runs, length, late), feed, "cut")
+
+    for part in range(4):
+        t0 = T0 + timedelta(hours=4 * part)
+        some = [(draw.choice([1, 1, 1, 2, 3]), t0 + timedelta(seconds=draw.randrange(4 * 3600)), part * 1000 + i) for i in range(120)]
+        runs = [(n, t0 + timedelta(seconds=draw.randrange(4 * 3600))) for n in (1, 1, 2)] + ([(None, t0)] if part == 1 else [])
+        feed.put(some, PACKETS)
+        spark.createDataFrame(runs, starts).coalesce(1).write.parquet(str(tmp_path / "runs" / str(part)))
+        sent, begun = sent + some, begun + runs
+        run()
+    feed.put([(9, T0 + timedelta(days=9), 1)], PACKETS)  # moves the watermark past the rest
+    spark.createDataFrame([(9, T0 + timedelta(days=9))], starts).coalesce(1).write.parquet(str(tmp_path / "runs" / "last"))
+    run()
+    columns = ["node", "run_id", "seg_index", "n_samples", "first_ts", "last_ts", "seg_start"]
+    got = spark.read.parquet(feed.dir("cut")).select([F.col(c).cast("timestamp_ntz") if c.endswith(("ts", "start")) else F.col(c) for c in columns])
+    want = segments.run_segments(spark.createDataFrame(sent, PACKETS), spark.createDataFrame(begun, starts), length).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 30
+
+
 def test_repeated_batch_replaces_itself(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     for _ in range(2):

@@ -281,6 +281,9 @@ ORACLES: dict[str, str] = {
                           to_list="SELECT * FROM segments"),
     "append_playlist": sql("SELECT node, subdir, body FROM named_playlist", "segments", "named_playlist",
                            to_list="SELECT * FROM segments"),
+    "paged_playlist": sql("""SELECT node, '#EXTM3U' || chr(10) || '#EXT-X-TARGETDURATION:3600' || chr(10) ||
+        string_agg('#EXTINF:3600.000000,' || chr(10) || ts_name, chr(10) ORDER BY extract(hour FROM seg_start) >= 12, seg_start)
+        || chr(10) || '#EXT-X-ENDLIST' AS body FROM segments GROUP BY node""", "segments"),
     "downmix": sql(f"""SELECT seg_id, {_digits('''list_transform(range(1, 33), lambda i: (ch1[i] + ch2[i])::DOUBLE / 2.0::DOUBLE)''')}
         AS samples FROM frames""", "frames"),
     "resample_down": sql(f"""SELECT node, make_timestamp({_slot('ts', H)}) AS slot, round(avg(value), 6) AS value,
@@ -337,6 +340,8 @@ ORACLES: dict[str, str] = {
     "stream_segments": sql(f"""SELECT node, seg_start, n_samples, last_ts
         FROM ({CLOCK.format(slot=_slot('ts', H), w=H, src='samples')}) c, mark WHERE epoch_us(seg_end) <= mark_us""",
                            "samples", "mark"),
+    "stream_run_segments": sql(f"""SELECT c.* FROM ({CUT.format(w=600_000_000, src='tied')}) c, mark
+        WHERE epoch_us(seg_start) + 600000000 <= mark_us""", "tied", "mark"),
     "stream_late_drop": sql("""SELECT filepath, event_id, CASE WHEN file_time <= (SELECT max(file_time) FROM catalog)
         - INTERVAL 10 DAY THEN 'late' ELSE 'kept' END AS outcome FROM catalog""", "catalog"),
     "stream_islands": sql(f"""SELECT node, first_ts, last_ts, n_packets FROM islands, mark

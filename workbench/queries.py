@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from segtide.functions import names as nm
 from segtide.functions import routing, signal
 from segtide.functions.times import slot_start, from_us, us
-from segtide.operators import capture, catalog, nodes, playlist, playout, resample, schedule, segments, uploads
+from segtide.operators import capture, catalog, nodes, pages, playlist, playout, resample, schedule, segments, uploads
 from segtide.plans.day_playlists import day_playlists
 from segtide.plans.delayed_playout import delayed_playout, listed_names
 from segtide.plans.live_to_store import live_to_store
@@ -19,6 +19,7 @@ from segtide.session import configure, shared_dir
 from segtide.sources import layout, objects, pcm, sinks, tree
 from segtide.sources.listing import listing_extract
 from segtide.streaming import frames, live, polls, queue, upload
+from segtide.streaming import runs as stream_runs
 from workbench import tables as tb
 from workbench.tables import Tables
 
@@ -363,6 +364,16 @@ def append_playlist(t: Tables) -> DataFrame:
     return playlist.append_playlist(playlist.build_playlist(old, ["node", "subdir"]), new, ["node", "subdir"])
 
 
+@query
+def paged_playlist(t: Tables) -> DataFrame:
+    """One long list per node: pages of the mornings, stored; the afternoons appended; the texts of all."""
+    path = shared_dir(t.spark, "pages")
+    pages.store_pages(pages.build_pages(t.segments().where(F.hour("seg_start") < 12), ["node"], page_rows=100), path, ["node"])
+    stored = pages.read_pages(t.spark, path, "node bigint")
+    pages.store_pages(pages.append_pages(stored, t.segments(), ["node"], page_rows=100), path, ["node"])
+    return pages.page_texts(pages.read_pages(t.spark, path, "node bigint"), ["node"])
+
+
 @query
 def downmix(t: Tables) -> DataFrame:
     return t.frames().select("seg_id", digits(signal.downmix(F.col("ch1"), F.col("ch2"))).alias("samples"))
@@ -485,6 +496,13 @@ def stream_segments(t: Tables) -> DataFrame:
     return ntz(out, "seg_start", "last_ts")
 
 
+@query
+def stream_run_segments(t: Tables) -> DataFrame:
+    cut = stream_runs.stream_run_segments(t.samples(t.event_stream()), t.runs(t.event_stream()), timedelta(minutes=10), tb.LATENESS)
+    schema = "node bigint, run_id bigint, seg_index bigint, n_samples bigint, first_ts timestamp, last_ts timestamp, seg_start timestamp"
+    return ntz(finished(t.spark, lambda out, cp: sinks.append_sink(cut, out, cp), schema, "run-segments"), "first_ts", "last_ts", "seg_start")
+
+
 @query
 def stream_late_drop(t: Tables) -> DataFrame:
     paths = [shared_dir(t.spark, n) for n in ("kept", "late", "high", "late-checkpoint")]
