@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from segtide.functions.times import micros, us
 from segtide.operators.catalog import build_catalog, eligible_files, run_counters
-from segtide.sources.sinks import batch_sink, write_batch
+from segtide.sources.sinks import batch_sink, tee_sinks, write_batch
 from segtide.sources.state import StateTable
 
+REMEMBERED = 100_000
 POLL = "150 seconds"  # fixed value: polls keep this phase, however long a pass takes
 
 
@@ -33,9 +36,38 @@ def stream_bad_names(listing: DataFrame, prefix: str, postfix: str) -> DataFrame
     return build_catalog(listing, prefix, postfix)[1]
 
 
+def _first_copies(catalog: DataFrame) -> DataFrame:
+    """Drop copies of a file that one task sees, before anything is shuffled; a task remembers so many paths."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            keep = []
+            for path in batch.column("filepath").to_pylist():
+                keep.append(path not in seen)
+                seen.add(path)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+
+    return catalog.mapInArrow(work, catalog.schema)
+
+
+def poll_sinks(listing: DataFrame, now: datetime | Column, delay: timedelta, segment: timedelta, prefix: str, postfix: str, files: str,
+               bad_names: str, checkpoint: str, every: str | None = POLL) -> StreamingQuery:
+    """The poll as it runs: every 150 s on a fixed phase, eligible files to one folder and names that can't be read to another; each
+    listing is parsed once. Without ``every`` it takes what is there and ends."""
+    outputs = {"files": (lambda batch: stream_poll_catalog(batch, now, delay, segment, prefix, postfix), files),
+               "bad": (lambda batch: stream_bad_names(batch, prefix, postfix), bad_names)}
+    return tee_sinks(listing, outputs, checkpoint, every)
+
+
 def stream_dedup_done(catalog: DataFrame, delay: timedelta) -> DataFrame:
-    """Pass each file once; a file is forgotten when the watermark is past its play-out time."""
-    timed = catalog.withColumn("file_time", F.col("file_time").cast("timestamp"))
+    """Pass each file once; a file is forgotten when the watermark is past its play-out time.
+
+    Copies in one task are dropped before the shuffle to the state, so a file with very many copies sends a few
+    rows of each task, not all of them to one.
+    """
+    timed = _first_copies(catalog.withColumn("file_time", F.col("file_time").cast("timestamp")))
     return (timed.withWatermark("file_time", f"{micros(delay) // 1000} milliseconds")
             .dropDuplicatesWithinWatermark(["filepath"]))
 

@@ -83,3 +83,19 @@ def test_range_join(small):
     want = sum(sum(1 for k in range(4) if s < (p := (s // 10_000_000 + k) * 10_000_000 + 5) <= s + 30_000_000
                    and 20_000_000 < p < N * 10_000_000) for s in (0 if i % 3 == 0 else i * 10_000_000 for i in ids))
     assert joined.count() == want
+
+
+@pytest.mark.parametrize("size", [64, 1 << 12, 1 << 20])
+def test_ledger_filter_passes_new_files_by(files, size):
+    """Exact with any filter, also one that is full; a new path with a third of all rows is not shuffled."""
+    done = files.where("pos % 7 = 0 and pos % 3 <> 0").select("filepath")
+    null = files.limit(1).withColumn("filepath", F.lit(None).cast("string"))
+    left = catalog.anti_done(files.unionByName(null), done, catalog.ledger_filter(done, size), size)
+    assert left.count() == 1 + sum(1 for i in range(N) if i % 3 == 0 or i % 7)
+    if size == 1 << 20:
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Union") >= 1
+        old = catalog.anti_done(files, done, catalog.ledger_filter(done, size), size)
+        old.write.format("noop").mode("overwrite").save()
+        hot = files.where("filepath like 'hot%'")
+        assert catalog.anti_done(hot, done, catalog.ledger_filter(done, size), size).count() == N // 3

@@ -270,6 +270,28 @@ def test_files_of_any_kind_are_watched_and_listed(spark, files, feed):
         assert sorted((r.path, r.length) for r in objects.list_objects(spark, root).collect()) == want
 
 
+def test_copies_of_a_file_are_dropped_before_the_shuffle(spark, feed):
+    hot = [(1, T0, "hot", 1.0)] * 5000 + [(1, T0 + timedelta(minutes=i), f"f{i}", 1.0) for i in range(20)] + [(1, T0, None, 1.0)] * 3
+    feed.put(hot, FILES)
+    feed.put(hot[4990:], FILES)
+    query = sinks.append_sink(polls.stream_dedup_done(feed.stream(FILES), timedelta(days=1)), feed.dir("once"), feed.dir("cp"))
+    query.awaitTermination()
+    got = [r.filepath for r in spark.read.parquet(feed.dir("once")).collect()]
+    assert sorted(got, key=str) == sorted(["hot", None] + [f"f{i}" for i in range(20)], key=str)
+    updated = [o["numRowsTotal"] + o["customMetrics"].get("numDroppedDuplicateRows", 0) for p in query.recentProgress for o in p["stateOperators"]]
+    assert max(updated) < 100  # the state saw a few rows, not thousands
+
+
+def test_polls_keep_both_outputs(spark, feed):
+    schema = "url string, filepath string"
+    feed.put([("u", "2024-01-01T00:00:00"), ("u", "no name"), ("u", "2024-01-01T20:00:00")], schema)
+    feed.put([("u", None), ("u", "2024-01-01T01:00:00")], schema)
+    polls.poll_sinks(feed.stream(schema), T0 + timedelta(hours=20), timedelta(hours=24), timedelta(hours=6), "", "", feed.dir("files"), feed.dir("bad"),
+                     feed.dir("cp"), every=None).awaitTermination()
+    names = lambda d: sorted((r.filepath for r in sinks.read_batches(spark, feed.dir(d), "filepath string").collect()), key=str)
+    assert names("files") == ["2024-01-01T00:00:00", "2024-01-01T01:00:00"] and names("bad") == [None, "no name"]
+
+
 def test_run_segments_of_streams_are_those_of_tables(spark, feed, tmp_path):
     """Runs that begin while samples come, starts that arrive after their samples, over restarts."""
     starts = "node bigint, started_at timestamp_ntz"

@@ -336,6 +336,8 @@ ORACLES: dict[str, str] = {
         FROM catalog""", "catalog"),
 
     "stream_poll_catalog": sql(f"SELECT node, file_time, filepath FROM catalog WHERE {ELIGIBLE}", "catalog"),
+    "stream_polls": sql(f"""SELECT node, url, filepath, CASE WHEN file_time IS NULL THEN 'bad' ELSE 'eligible' END AS kind
+        FROM timed WHERE file_time IS NULL OR ({ELIGIBLE})""", "timed"),
     "stream_dedup_done": sql("SELECT node, file_time, filepath FROM catalog", "catalog"),
     "stream_segments": sql(f"""SELECT node, seg_start, n_samples, last_ts
         FROM ({CLOCK.format(slot=_slot('ts', H), w=H, src='samples')}) c, mark WHERE epoch_us(seg_end) <= mark_us""",

@@ -292,7 +292,7 @@ def queue_state(t: Tables) -> DataFrame:
 
 @query
 def anti_done(t: Tables) -> DataFrame:
-    return catalog.anti_done(t.catalog(), t.done())
+    return catalog.anti_done(t.catalog(), t.done(), catalog.ledger_filter(t.done()))
 
 
 @query
@@ -480,6 +480,19 @@ def stream_poll_catalog(t: Tables) -> DataFrame:
                     "node bigint, file_time timestamp_ntz, filepath string", "polled")
 
 
+@query
+def stream_polls(t: Tables) -> DataFrame:
+    """The poll with both of its outputs: eligible files, and names of the listing that can't be read."""
+    feed = shared_dir(t.spark, "listing")
+    t.names().select("node", "url", "filepath").write.parquet(feed)
+    listing = t.spark.readStream.schema("node bigint, url string, filepath string").parquet(feed)
+    files, bad = shared_dir(t.spark, "polled"), shared_dir(t.spark, "bad-names")
+    polls.poll_sinks(listing, tb.NOW, tb.DELAY, tb.SEGMENT, tb.PREFIX, tb.POSTFIX, files, bad, shared_dir(t.spark, "poll-checkpoint"), every=None).awaitTermination()
+    pick = ["node", "url", "filepath"]
+    return (sinks.read_batches(t.spark, files, "node bigint, url string, filepath string").select(*pick, F.lit("eligible").alias("kind"))
+            .unionByName(sinks.read_batches(t.spark, bad, "node bigint, url string, filepath string").select(*pick, F.lit("bad").alias("kind"))))
+
+
 @query
 def stream_dedup_done(t: Tables) -> DataFrame:
     twice = t.catalog(t.event_stream()).withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
