@@ -195,6 +195,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, size
         F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     links = write_shared(_confirmed(pairs, sets, percent), "links")
     labels = components(links)
+    links = links.unionByName(write_shared(_confirmed(_second_hubs(members, labels, percent), sets, percent), "links"))
+    labels = components(links)
     links = links.unionByName(write_shared(_outside_links(members, labels, sets, percent), "links"))
     labels = components(links)
     of_class = classes.select("set_a", "set_b", "n_shingles", F.col("doc").alias("_doc"))
@@ -218,17 +220,35 @@ def _sizes_allow(n: str, other: str, percent: int):
 BLOCK, CHUNK = 256, 1024  # sets compared with each other in one task
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets other than the first, with their component's ``label`` and whether it is another than the first one's."""
+    main = labels.select(F.col("node").alias("first"), F.col("label").alias("main"))
+    rest = members.where("doc <> first").join(labels.withColumnRenamed("node", "doc"), "doc", "left").join(main, "first", "left")
+    label = F.coalesce("label", "doc")
+    return write_shared(rest.select("bucket", "doc", "n", label.alias("label"), (label != F.coalesce("main", "first")).alias("outside")),
+                        "bucket_members")
+
+
+def _second_hubs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each bucket's smallest member outside the first one's component with the others outside it: near copies of one
+    another become one component by a link each."""
+    out = _labelled(members, labels).where("outside")
+    hub = out.groupBy("bucket").agg(F.min(F.struct("doc", "n", "label")).alias("hub")).select(
+        "bucket", F.col("hub.doc").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.label").alias("label_a"))
+    return out.join(hub, "bucket").where("doc <> a and label <> label_a").where(_sizes_allow("n", "n_a", percent)).select(
+        "a", F.col("doc").alias("b")).distinct()
+
+
 def _outside_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of bucket members outside their first one's component with all the bucket's members.
+    """Links (u, v) of bucket members outside their first one's component with members of other components.
 
-    The first has been compared with everyone. Outsiders are dealt into blocks, the others into chunks, both of bounded size
-    by the bucket's counts; each block meets each chunk in one task.
+    The first has been compared with everyone, and what is in one component needs no comparison. Outsiders are dealt into blocks, the
+    others into chunks, both of bounded size by the bucket's counts; each block meets each chunk in one task, which gives out the links
+    that join components, no more than there are members.
     """
-    main = labels.select(F.col("node").alias("first"), F.col("label").alias("main"))
-    rest = (members.where("doc <> first").join(labels.withColumnRenamed("node", "doc"), "doc", "left").join(main, "first", "left")
-            .select("bucket", "doc", (F.coalesce("label", "doc") != F.coalesce("main", "first")).alias("outside")))
-    rest = write_shared(rest, "bucket_members")
-    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("outside").alias("n_out")).where("n > 1 and n_out > 0")
+    rest = _labelled(members, labels)
+    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("outside").alias("n_out"), F.min("label").alias("low"),
+                                       F.max("label").alias("high")).where("n_out > 0 and low <> high")
     sizes = sizes.select("bucket", F.ceil(F.col("n_out") / BLOCK).cast("int").alias("blocks"),
                          F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     open_ = rest.join(sizes, "bucket")
@@ -236,13 +256,14 @@ def _outside_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
     hubs = open_.where("outside").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     others = open_.withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["bucket", "block", "chunk"]
-    hubs, others = [side.select(*key, "doc").join(sets, "doc").select(*key, "doc", "hashes").toDF(*[f"{name}_{c}" for c in key], "doc", "hashes")
+    hubs, others = [side.select(*key, "doc", "label").join(sets, "doc").select(*key, "doc", "label", "hashes")
+                    .toDF(*[f"{name}_{c}" for c in key], "doc", "label", "hashes")
                     for name, side in (("hub", hubs), ("other", others))]
 
     def compare(hubs_of: pa.Table, others_of: pa.Table) -> pa.Table:
-        found_u, found_v = [], []
+        found: list[tuple[int, int]] = []
         if hubs_of.num_rows and others_of.num_rows:
-            hub_docs = hubs_of.column("doc").to_numpy()
+            hub_docs, hub_labels = hubs_of.column("doc").to_numpy(), hubs_of.column("label").to_numpy().copy()
             hashes = hubs_of.column("hashes").combine_chunks()
             n_hub = hashes.value_lengths().to_numpy()
             owner = np.repeat(np.arange(len(n_hub)), n_hub)
@@ -250,17 +271,27 @@ def _outside_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
             order = np.argsort(values, kind="stable")
             known, first = np.unique(values[order], return_index=True)
             owner, ends = owner[order], np.append(first, len(values))
-            for doc, of_doc in zip(others_of.column("doc").to_pylist(), others_of.column("hashes")):
+            joined: dict[int, int] = {}  # labels that links have joined to others
+            for doc, label, of_doc in zip(*(others_of.column(c) for c in ("doc", "label", "hashes"))):
+                doc, label = doc.as_py(), label.as_py()
+                while label in joined:
+                    label = joined[label]
+                open_ = hub_labels != label
+                if not open_.any():
+                    continue
                 mine = of_doc.values.to_numpy()
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 common = np.bincount(ragged_take(owner, ends, at[known[at] == mine])[0], minlength=len(n_hub))
-                hit = (100 * common >= percent * (n_hub + len(mine) - common)) & (hub_docs != doc)
-                found_u += hub_docs[hit].tolist()
-                found_v += [doc] * int(hit.sum())
-        return pa.table([pa.array(found_u, pa.int64()), pa.array(found_v, pa.int64())], names=["u", "v"])
-
-    # of many links to outsiders one for each pair is enough
-    return hubs.groupBy(*hubs.columns[:3]).cogroup(others.groupBy(*others.columns[:3])).applyInArrow(compare, "u bigint, v bigint").distinct()
+                hit = (100 * common >= percent * (n_hub + len(mine) - common)) & open_
+                labels_hit, firsts = np.unique(hub_labels[hit], return_index=True)
+                for other, i in zip(labels_hit.tolist(), np.flatnonzero(hit)[firsts].tolist()):
+                    found.append((int(hub_docs[i]), doc))
+                    joined[other] = label
+                    hub_labels[hub_labels == other] = label
+        u, v = zip(*found) if found else ((), ())
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return hubs.groupBy(*hubs.columns[:3]).cogroup(others.groupBy(*others.columns[:3])).applyInArrow(compare, "u bigint, v bigint")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

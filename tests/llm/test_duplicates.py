@@ -53,6 +53,30 @@ def test_large_group_of_near_copies(spark):
     assert rows_of(superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("m", [100, 400])
+def test_links_grow_with_the_members(spark, monkeypatch, m):
+    """A first document that is near none of the group, and groups of near copies near no other group: links stay
+    linear in the members, and the groups are those of all pairs."""
+    counts = {}
+    real = superminhash.write_shared
+
+    def counted(df, label):
+        out = real(df, label)
+        if label == "links":
+            counts[label] = counts.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(superminhash, "write_shared", counted)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base[:158] + [f"f{i}" for i in range(42)]))]  # about 0.68 of the others
+    rows += [(1 + d, " ".join(base[:199] + [f"x{d}"])) for d in range(m)]
+    other = [f"w{i}" if i % 9 else f"y{i}" for i in range(200)]
+    rows += [(1000 + d, " ".join(other[:199] + [f"z{d}"])) for d in range(m // 4)]
+    got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "component_id").collect())) == [(0, 0)] + [(d, 1) for d in range(1, m + 1)] + [(d, 1000) for d in range(1000, 1000 + m // 4)]
+    assert counts["links"] <= 3 * len(rows)
+
+
 def test_ids_shared_by_different_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, a), (2, b), (3, a), (3, b)]
