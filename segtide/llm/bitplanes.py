@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,8 +42,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for piece, number in vocabulary.items():
             self.ends[number] = piece.endswith("</w>")
-        self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile(r"[\x21-\x7e\xa1-įĲ-ž]*").fullmatch  # one lower-case form, composed already
+        self.pretokens = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.plain = re.compile(r"[\n\x21-\x7e\xa1-įĲ-ž]*").fullmatch  # one lower-case form, composed already
         self.forget()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -66,32 +67,37 @@ class WordEncoder:
         return ids_of, sizes
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words one after another, and where each begins. Pre-tokens are remembered."""
-        known, base = self.pieces, len(self.piece_offsets) - 1
-        new: dict[str, int] = {}
-        numbers, counts, odd = [], [], []
-        for word in words:
-            if self.plain(word) and not ("<" in word and any(s in word for s in self.specials)):
-                parts = self.pretokens(word.lower())
-                for p in parts:
-                    n = known.get(p)
-                    numbers.append(new.setdefault(p, base + len(new)) if n is None else n)
-                counts.append(len(parts))
+        """Ids of distinct words one after another, and where each begins. Pre-tokens are remembered.
+
+        Words are cut many at a time, with a line break behind each (piece 0, without ids); a word that needs the
+        library as it stands is one piece, marked by a zero character.
+        """
+        def usual(text: str) -> bool:
+            return self.plain(text) is not None and not any(s in text for s in self.specials)
+
+        base, parts = len(self.piece_offsets) - 1, []
+        for low in range(0, len(words), 1000):
+            group = words[low:low + 1000]
+            text = "\n".join(group)
+            if usual(text):
+                parts += self.pretokens(text.lower() + "\n")
             else:
-                odd.append((len(numbers), word))
-                numbers.append(-1)
-                counts.append(1)
-        ids, sizes = self._pretokens(list(new))
-        known.update(new)
-        encoded = self._encode([w for _, w in odd])
-        for k, (at, _) in enumerate(odd):
-            numbers[at] = base + len(new) + k
+                for word in group:
+                    parts += self.pretokens(word.lower()) if usual(word) else [ODD + word]
+                    parts.append("\n")
+        numbers = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
+        new = list(islice(self.pieces, base, None))
+        odd = np.array([p[0] == ODD for p in new], dtype=bool)
+        ids, sizes = self._pretokens([p for p in new if p[0] != ODD])
+        encoded = self._encode([p[1:] for p in new if p[0] == ODD])
         ids += [np.array(x, dtype=np.uint32) for x in encoded]
         sizes.append(np.array([len(x) for x in encoded], dtype=np.int64))
-        self.piece_flat = np.concatenate([self.piece_flat, *ids])
-        self.piece_offsets = np.concatenate([self.piece_offsets, self.piece_offsets[-1] + np.cumsum(np.concatenate(sizes))])
-        flat, lengths = ragged_take(self.piece_flat, self.piece_offsets, np.array(numbers, dtype=np.int64))
-        return flat, starts(lengths)[starts(np.array(counts, dtype=np.int64))]
+        place = np.argsort(np.argsort(odd, kind="stable"), kind="stable")  # usual pieces came before odd ones
+        flat, lengths = ragged_take(np.concatenate(ids) if ids else np.empty(0, np.uint32), starts(np.concatenate(sizes)), place)
+        self.piece_flat = np.concatenate([self.piece_flat, flat])
+        self.piece_offsets = np.concatenate([self.piece_offsets, self.piece_offsets[-1] + np.cumsum(lengths)])
+        flat, lengths = ragged_take(self.piece_flat, self.piece_offsets, numbers)
+        return flat, starts(lengths)[np.concatenate([[0], np.flatnonzero(numbers == 0) + 1])]
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each begins. Words are remembered, up to ``MEMORY`` of them."""
@@ -111,10 +117,12 @@ class WordEncoder:
     def forget(self) -> None:
         self.seen: defaultdict = defaultdict(count().__next__)
         self.flat, self.offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
-        self.pieces: dict[str, int] = {}
-        self.piece_flat, self.piece_offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.pieces: defaultdict = defaultdict(count().__next__)
+        self.pieces["\n"]
+        self.piece_flat, self.piece_offsets = np.empty(0, np.uint32), np.zeros(2, np.int64)
 
 
+ODD = "\0"
 MEMORY = 500_000  # words a worker remembers between groups of texts
 
 
