@@ -16,7 +16,8 @@ from pyspark.sql.types import StructType
 
 from segtide.llm.tables import ship
 
-KINDS = ["email", "ip", "card", "phone"]
+BASE_KINDS = ["email", "ip", "card", "phone"]  # of the fixed patterns
+KINDS = [*BASE_KINDS, "secret"]  # secrets (keys, tokens, passwords that machines made) are the field's alone
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
 # --- fixed patterns -------------------------------------------------------------------------------
@@ -92,7 +93,13 @@ SENTENCES = [
     "the host {ip} did not reply", "server at {ip} went down again", "ping {ip} and wait", "blocked {ip} this morning",
     "paid with card {card} on Monday", "card number {card} expires soon", "charge {card} for the order",
     "the refund went to {card} last week", "order {no} was shipped", "version {no} is out now",
-    "in chapter {no} the story ends", "we counted {no} of them", "meeting on {no} in the hall", "token = {no} in the file",
+    "in chapter {no} the story ends", "we counted {no} of them", "meeting on {no} in the hall", "commit {digest} broke the build",
+    "token = {secret} in the file", "TOKEN = {secret} is set", "and then token = {secret} was there", "api_key : {secret} ,",
+    "the password is {secret} for now", "secret = {secret} , keep it", "access_key = {secret}", "Authorization: Bearer {secret} sent",
+    "key = {secret} .", "{word} token = {secret} {word}", "{word} {word} secret: {secret} {word}", "run {assigned} then", "set {assigned}",
+    "{word} {assigned} {word}", "{word} {word} {assigned} {word} {word}", "{assigned}", "{word} {assigned}",
+    "checksum {digest} matches", "sha1 {digest} of the file", "the commit {digest} is in", "etag {digest} was sent", "{digest} archive.tar",
+    "digest = {digest} , as before", "{word} {word} {digest} {word}",
     "{card}", "{phone}", "{email}", "{ip}", "{no}", "{no} {no}", "card {card} please", "now {card} then", "{phone} then",
     "then {phone}", "from {email} , yes", "{ip} now", "old {ip} new", "then {no} now", "the {no} , a {no} .", "{no} there",
     "total {no} in all", "look at the dot on the map at night", "he was at home and she was at work",
@@ -105,11 +112,25 @@ VALUES = {
               "030/555 012345", "0033 1 55 50 12 34", "212.555.0187"],
     "ip": ["192[.]168[.]1[.]20", "10(.)0(.)0(.)7", "172 dot 16 dot 4 dot 9", "203[.]0[.]113[.]45"],
     "card": ["4111.1111.1111.1111", "5500/0000/0000/0004", "4012.8888.8888.1881", "3400_000000_00009"],
+    "secret": ['"{40}"', '"{40}"', "{40}", '"{32}"', "{64}", "AKIA{A16}", "ghp_{a36}", "sk-{a32}", '"{a24}"', "'{a40}'", '"{A40}"'],
+    "assigned": ['token="{40}"', "API_KEY={a32}", "password={a20}", 'secret="{32}";'],
+    "digest": ["{40}", "{64}", "{32}", "{40}"],
+    "word": ["the", "pone", "eauou", "chsch", "ando", "thereer", "queê", "ungen."],
     "no": ["2023-11-05", "12:45:10", "3.11.2", "1,250,000", "17", "1998", "9f86d081884c7d659a2f", "45.60", "2001/02", "99%",
            "9807915762804490", "1 000", "12-14", "4.5.6-rc1", "AB-1234-X", "#20941", "1/2", "7th", "\"04dbebab91ab\"", "100.000"],
 }
 
 
+MADE = re.compile(r"\{([aA]?)([0-9]+)\}")
+
+
+def made_up(form: re.Match, draw: random.Random) -> str:
+    """A string of the length asked for: of hex digits, of all letters and digits (a), or of capitals and digits (A)."""
+    signs = {"": "0123456789abcdef", "a": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ",
+             "A": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}[form[1]]
+    return ("4K" if form[1] else "7b") + "".join(draw.choices(signs, k=int(form[2]) - 2))  # always a letter and a digit
+
+
 def labelled_table(copies: int = 12, seed: int = 3) -> list[tuple[list[str], list[str]]]:
     """(words, labels) of the example sentences with values drawn into them."""
     draw = random.Random(seed)
@@ -122,32 +143,51 @@ def labelled_table(copies: int = 12, seed: int = 3) -> list[tuple[list[str], lis
                 words.append(word)
                 labels.append("O")
                 continue
-            value = re.sub(r"[0-8]", lambda m: str(draw.randint(0, 9)), draw.choice(VALUES[kind])).split()
+            value = draw.choice(VALUES[kind])
+            if MADE.search(value):
+                value = [MADE.sub(lambda m: made_up(m, draw), value)]
+            else:
+                value = re.sub(r"[0-8]", lambda m: str(draw.randint(0, 9)), value).split()
+            kind = "secret" if kind == "assigned" else kind
             words += value
-            labels += ["O"] * len(value) if kind == "no" else [f"B-{kind}", *[f"I-{kind}"] * (len(value) - 1)]
+            labels += ["O"] * len(value) if kind not in KINDS else [f"B-{kind}", *[f"I-{kind}"] * (len(value) - 1)]
         out.append((words, labels))
     return out
 
 
 # --- the field ------------------------------------------------------------------------------------
 
+_RUN = re.compile(r"[0-9A-Za-z](?:[0-9A-Za-z]|[_-](?=[0-9A-Za-z]))*")
+
+
+def machine_made(text: str, begin: int = 0, end: int | None = None) -> tuple[int, int] | None:
+    """First run of at least 16 letters and digits, both of them there, perhaps with single strokes inside."""
+    end = len(text) if end is None else end
+    for m in _RUN.finditer(text, begin, end) if end - begin >= 16 else ():
+        if len(m[0]) >= 16 and _DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0]):
+            return m.span()
+    return None
+
+
 _RUNS = (re.compile(r"[A-Z]+"), re.compile(r"[a-zÀ-ɏ]+"))
 
 
 @lru_cache(maxsize=200_000)
 def _own(word: str) -> tuple[str, ...]:
     """Shape features of a word: digits keep the length of their runs up to 5, letters do not."""
-    shape = re.sub(r"[0-9]+", lambda m: "9" * min(len(m[0]), 5), _RUNS[1].sub("a", _RUNS[0].sub("A", word[:60])))
-    n = len(_digits(word))
+    made = machine_made(word)
+    plain = word if made is None else word[:made[0]] + "#" + word[made[1]:]  # any such run has one shape
+    shape = re.sub(r"[0-9]+", lambda m: "9" * min(len(m[0]), 5), _RUNS[1].sub("a", _RUNS[0].sub("A", plain[:60])))
+    n = len(_digits(plain))
     return ("shape=" + shape, f"digits={n if n < 4 else 4 + (n > 6) + (n > 9) + (n > 12)}", f"first={shape[:1]}",
             f"last={shape[-1:]}", f"dots={min(word.count('.'), 4)}", f"bracket={'(' in word}{'[' in word}",
-            "word=" + (word.lower().strip(".,:;") if len(word) < 12 and n == 0 else ""))
+            f"set={made is not None and word[:made[0]].lower()[-16:]}", f"made={made is not None and min((made[1] - made[0]) // 8, 5)}", "word=" + (word.lower().strip(".,:;") if len(word) < 16 and n == 0 else ""))
 
 
 def word_features(words: list[str]) -> list[list[str]]:
     """Features of each word and, marked by distance, of its neighbours up to two away."""
     own = [_own(w) for w in words]
-    edge = ("edge",) * 3
+    edge = ("edge",) * 3  # as many as a neighbour gives
     out = []
     for i in range(len(words)):
         row = list(own[i])
@@ -278,6 +318,8 @@ def _valid(kind: str, text: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts)
     if kind == "card":
         return re.fullmatch(r"[0-9]+(?:[ ./_-][0-9]+)*", text) is not None and _is_card(text)
+    if kind == "secret":
+        return machine_made(text) == (0, len(text))
     return _PLAIN_PHONE.fullmatch(text) is not None and 9 <= len(_digits(text)) <= 15 and not re.fullmatch(
         r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}.*", text)
 
@@ -295,6 +337,8 @@ def _labelled(words: list[re.Match], path: np.ndarray, text: str) -> Iterator[tu
                 end -= 1
             while begin < end and text[begin] in "\"'<:":
                 begin += 1
+            if label == "B-secret":  # without the name it is assigned to, and without quotes
+                begin, end = machine_made(text, begin, end) or (begin, end)
             if _valid(label[2:], text[begin:end]):
                 yield label[2:], begin, end
         i = j
@@ -325,10 +369,10 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Add ``spans, redacted`` to every row; spans are (kind, start, end, base) of the whole text in code points, ends
-    exclusive, by kind (email, ip, card, phone) and start. ``redacted`` is the text with every span as ``[KIND]``.
+    exclusive, by kind (email, ip, card, phone, secret) and start. ``redacted`` is the text with every span as ``[KIND]``.
 
     Fixed patterns give the spans marked ``base``; the field adds others that hold what their kind needs (an
-    address in full, the card's check digit, 9 to 15 digits) and touch no fixed one. A null text has no spans and
+    address in full, the card's check digit, 9 to 15 digits, letters and digits in one run of 16 or more) and touch no fixed one. A null text has no spans and
     stays null; rows stay as they are, repeated ones and null ids too; columns of the new names are replaced.
     """
     ship(docs)
@@ -371,6 +415,6 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["base"])
-    counts = [of_kind(k) for k in KINDS]
+    counts = [of_kind(k) for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
-                        (F.size("spans") - F.size(base)).cast("bigint").alias("n_added"))
+                        (F.size("spans") - F.size(base)).cast("bigint").alias("n_added"), F.size("spans").cast("bigint").alias("n_spans"))

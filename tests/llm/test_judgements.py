@@ -123,6 +123,7 @@ def test_field_adds_and_keeps(field):
 @pytest.mark.parametrize("kind, value", [(k, v) for k in crf.KINDS for v in crf.VALUES[k]])
 def test_every_form_in_a_line_without_other_signs(kind, value, field):
     sentence = next(s for s in crf.SENTENCES if s.count("{") == 1 and f" {{{kind}}} " in s)
+    value = crf.MADE.sub(lambda m: crf.made_up(m, random.Random(value)), value)
     text = f"no sign here\n{sentence.format(**{kind: value})}\nnor here"
     assert any(value in " ".join(w[0] for w in words) for words in crf.windows(text))
     begin = text.index(value)
@@ -130,6 +131,44 @@ def test_every_form_in_a_line_without_other_signs(kind, value, field):
         assert (kind, begin, begin + len(value)) in [s[:3] for s in crf.find_all([text], field)[0]]
 
 
+def test_secrets_by_their_surroundings(field):
+    """Held-out keys in held-out words: a string that machines made is a secret by what stands before it."""
+    draw = random.Random(77)
+    filler = ["lerin", "thouer", "queles", "ungheit", "ando", "sch.", "été"]
+    texts, gold = [], []
+    for k in range(400):
+        key = crf.MADE.sub(lambda m: crf.made_up(m, draw), draw.choice(["{40}", "{32}", "{64}", "{a32}", "ghp_{a36}"]))
+        secret = k % 2 == 0
+        before = draw.choice(['token = "', "TOKEN = '", "api_key : ", "secret = ", 'token="'] if secret else
+                             ["checksum ", "commit ", "etag ", "sha1 "])
+        after = {'"': '"', "'": "'"}.get(before[-1], "")
+        text = " ".join(draw.choices(filler, k=draw.randint(0, 30))) + " " + before
+        gold.append({("secret", len(text), len(text) + len(key), False)} if secret else set())
+        texts.append(text + key + after + " " + " ".join(draw.choices(filler, k=draw.randint(0, 30))))
+    found = [set(s) for s in crf.find_all(texts, field)]
+    right = sum(len(f & g) for f, g in zip(found, gold))
+    assert right >= 0.95 * sum(map(len, gold)) and right >= 0.95 * sum(map(len, found))
+
+
+def test_secrets_of_the_given_documents(spark, field):
+    """The query's own columns over whole documents: every planted key is found, nothing else is added, the base is the patterns'."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = queries.QUERIES["op10_personal_data"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(docs) and sum(r.n_added for r in got) > 0
+    for r in got:
+        text = docs[r.doc_id]
+        keys = [m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', text, re.I)]
+        base = [f"{k}:{a}:{b}" for k, a, b in brute_base(text)]
+        assert r.spans == ",".join(base + [f"secret:{a}:{b}" for a, b in keys])
+        assert (r.n_added, r.n_spans) == (len(keys), len(base) + len(keys))
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
+def test_long_runs_take_linear_time(field):
+    for text in ("a-" * 500_000 + "1", "a_1" * 400_000, "token = " + "x" * 1_000_000 + "1 end"):
+        assert len(crf.find_all([text], field)) == 1
+
+
 @pytest.mark.parametrize("at", ["@", " at ", " AT ", "(at)", " [at] ", " (At) "])
 @pytest.mark.parametrize("dot", [".", "[.]", "(.)", " [.] ", " dot ", "(dot)", " [Dot] "])
 def test_lines_with_a_valid_address_are_seen(at, dot):
