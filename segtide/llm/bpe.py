@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from segtide.llm.tables import binary_pieces, one_thread, ragged_take, ship, starts, unpack
+from segtide.llm.tables import binary_pieces, one_thread, ragged_take, release_memory, ship, starts, unpack
 from segtide.llm.words import BLOCK_CHARS, once_per_word, values_in_order, word_blocks
 
 #: White space of the pattern language (the Unicode property), as text.
@@ -92,6 +92,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
     def put_together(docs_of: pa.Table, ids_of: pa.Table) -> pa.Table:
         out = []
         flat, offsets = values_in_order(ids_of.column("value"))
+        del ids_of
         flat, offsets = flat.view(stored).astype("<u4"), offsets // np.dtype(stored).itemsize
         for row in docs_of.to_pylist():
             picks, ends = unpack(row["picks"]), starts(np.array(row["lengths"], dtype=np.int64))
@@ -103,6 +104,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
                 out.append(pa.table([pa.array(row["doc_ids"][low:high], pa.int64()), pa.array(np.diff(at)),
                                      binary_pieces(tokens, at * 4)], names=["doc_id", "n_tokens", "ids"]))
                 low = high
+        del flat, offsets
+        release_memory()
         return pa.concat_tables(out) if out else pa.table(
             {"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()),
              "ids": pa.array([], pa.binary())})

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from segtide.llm.tables import ship
+from segtide.llm.tables import release_memory, ship
 
 BASE_KINDS = ["email", "ip", "card", "phone"]  # of the fixed patterns
 KINDS = [*BASE_KINDS, "secret"]  # secrets (keys, tokens, passwords that machines made) are the field's alone
@@ -277,6 +277,8 @@ def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 8
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             value -= 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+    del feats, groups, state
+    release_memory()
     return Field(index, w, moves)
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.tables import pack, ragged_take, ship, starts, unpack, write_shared
+from segtide.llm.tables import pack, ragged_take, release_memory, ship, starts, unpack, write_shared
 
 MAX_ITEMS = 20_000  # benchmark items that may be handed to every task
 _STRIP = b".,;:!?\"'()[]{}|*#%&$<>-_=+/\\`~"
@@ -64,6 +64,7 @@ def encode_words(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
                     words = words_of(text or "")
                     coded.append(pack(np.fromiter((get(w, 0) for w in words), np.uint32, len(words))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], names=["doc_id", "numbers"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
         work, "doc_id bigint, numbers binary")
@@ -406,6 +407,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 8, rank
         return docs.sparkSession.createDataFrame([], MATCHES)
     coded = write_shared(encode_words(docs.where("doc_id is not null"), number), "benchmark_words")
     space = latent_space(coded, item_ids, items, answers, len(number) + 1, rank, min_words=min_words)
+    release_memory()  # a driver goes on to other work
     found = search(coded, space, **search_options)
     top = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("common_share", "cosine", "answer_share", "word_at")).alias("m"))
     return top.select("doc_id", "item_id", "m.cosine", "m.common_share", "m.answer_share", "m.word_at")

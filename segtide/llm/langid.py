@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from segtide.llm.tables import ship
+from segtide.llm.tables import release_memory, ship
 
 BUCKETS = 4096  # hashed n-grams of three bytes
 CHUNK = 1 << 20
@@ -113,8 +113,12 @@ def train(docs: DataFrame, max_rows: int = 4000, max_languages: int = 500, steps
     label = np.array([at[n] for n in got.column("lang").to_pylist()])
     x = np.stack([np.frombuffer(b, np.float16) for b in got.column("x").to_pylist()]).astype(np.float32)
     code = codewords(len(names), 15 + 5 * int(np.ceil(np.log2(max(len(names), 2)))))
+    del got
     share = 1.0 / np.bincount(label)[label] / len(names)
-    return Model(names, code, _fit(x, code[label].astype(np.float32), share.astype(np.float32), steps))
+    weights = _fit(x, code[label].astype(np.float32), share.astype(np.float32), steps)
+    del x
+    release_memory()  # a driver goes on to other work
+    return Model(names, code, weights)
 
 
 RESULT = ["lang_pred", "score", "ambiguous", "runner_up_score"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -56,6 +57,14 @@ def one_thread() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+def release_memory() -> None:
+    """Give freed memory back to the machine: workers are kept for later stages, which need theirs beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, mostly small, under zstandard: a byte each, and byte planes of those from 255 on."""
     values = np.ascontiguousarray(values, dtype="<u4")
@@ -107,3 +116,5 @@ def documents_in(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tupl
                 ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
+    del ids, texts
+    release_memory()

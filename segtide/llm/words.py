@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.tables import pack, ship, shuffle_partitions, write_bucketed
+from segtide.llm.tables import pack, release_memory, ship, shuffle_partitions, write_bucketed
 
-BLOCK_CHARS = 40_000_000  # text of one block; a longer document is a block of its own
+BLOCK_CHARS = 20_000_000  # text of one block; a longer document is a block of its own
 # A word's place is one number: task, block of the task, place in the block.
 NUMBER_BITS, IDX_BITS = 14, 28
 
@@ -84,10 +84,13 @@ def word_blocks(docs: DataFrame, label: str, splitter: Callable[[], Callable], f
                 if held.chars >= block_chars:
                     yield held.close(block, frequencies)
                     block, held = block + 1, _Block(splitter)
+                    release_memory()
                     if block == last:
                         raise ValueError("too many blocks in one task: read the documents in smaller splits")
         if held.ids:
             yield held.close(block, frequencies)
+        del held
+        release_memory()
 
     ship(docs)
     blocks = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(work, BLOCKS)
@@ -116,6 +119,8 @@ def once_per_word(blocks: DataFrame, work: Callable[[list[bytes]], list[bytes]])
             flat = places.tobytes()
             joined = [flat[4 * i:4 * i + 4] + values[k] for i, k in enumerate(word.indices.to_numpy())]
             yield pa.RecordBatch.from_arrays([pa.array(at >> IDX_BITS), pa.array(joined, pa.binary())], names=["block", "value"])
+            del word, distinct, values, joined
+        release_memory()
 
     return words.mapInArrow(run, "block bigint, value binary")
 
