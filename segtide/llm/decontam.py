@@ -87,15 +87,63 @@ def _passages(batch: pa.RecordBatch, stride: int, known: np.ndarray) -> Iterator
         yield np.concatenate(numbers), np.concatenate(places), n
 
 
+def _first_of(group: np.ndarray) -> np.ndarray:
+    """Where each group begins; ``group`` ascends."""
+    return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+
+
 def _by_group(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     """Sums of rows by group; ``group`` ascends."""
     out = np.zeros((groups, values.shape[1]), dtype=values.dtype)
     if len(group):
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        first = _first_of(group)
         out[group[first]] = np.add.reduceat(values, first, axis=0)
     return out
 
 
+def _sums_of_rows(table: np.ndarray, picks: np.ndarray, first: np.ndarray, rounds: int = 32) -> np.ndarray:
+    """Sums of the rows ``table[picks]`` by group, a group going from one place of ``first`` to the next.
+
+    The n-th rows of all groups are added at once, whole rows at a time; groups longer than ``rounds`` are added up by themselves.
+    """
+    lengths = np.diff(first, append=len(picks))
+    out = np.empty((len(first), table.shape[1]), dtype=table.dtype)
+    for i in np.flatnonzero(lengths > rounds):
+        out[i] = table[picks[first[i]:first[i] + lengths[i]]].sum(axis=0)
+    short = np.flatnonzero(lengths <= rounds)
+    short = short[np.argsort(-lengths[short], kind="stable")]
+    if len(short):
+        begin, ends = first[short], np.searchsorted(-lengths[short], -np.arange(lengths[short[0]]))
+        sums = table[picks[begin]]
+        for nth in range(1, len(ends)):
+            sums[:ends[nth]] += table[picks[begin[:ends[nth]] + nth]]
+        out[short] = sums
+    return out
+
+
+def _add_gram(total: np.ndarray, omega: np.ndarray, numbers: np.ndarray, places: np.ndarray, piece: int = 10_000) -> None:
+    """Adds ``B'B`` times ``omega`` to ``total``, where B says how often a passage has a word; ``places`` ascends.
+
+    Rows as long as those of ``omega`` are held for whole passages of about ``piece`` words at a time.
+    """
+    bounds = np.append(_first_of(places), len(places))
+    passage = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    cuts = np.unique(np.searchsorted(bounds, [*range(0, len(places), piece), len(places)]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        part = slice(bounds[a], bounds[b])
+        projected = _sums_of_rows(omega, numbers[part], bounds[a:b] - bounds[a])
+        order = np.argsort(numbers[part], kind="stable")
+        mine = numbers[part][order]
+        first = _first_of(mine)
+        total[mine[first]] += _sums_of_rows(projected, passage[part][order] - a, first)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending; sorts the array in place."""
+    values.sort()
+    return values[_first_of(values)]
+
+
 def document_frequencies(coded: DataFrame, size: int, stride: int) -> tuple[np.ndarray, int]:
     """In how many passages of the corpus each word of the vocabulary occurs, and how many passages there are."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +152,7 @@ def document_frequencies(coded: DataFrame, size: int, stride: int) -> tuple[np.n
         every[0] = False
         for batch in batches:
             for numbers, places, n in _passages(batch, stride, every):
-                pairs = np.unique(places * size + numbers)
+                pairs = _distinct(places * size + numbers)
                 total += np.bincount(pairs % size, minlength=size)
                 passages += n
         total[0] = passages
@@ -133,14 +181,9 @@ def gram_sketch(coded: DataFrame, idf: np.ndarray, stride: int, columns: int, se
         omega *= weight[:, None].astype(np.float32)  # a word counts as often as it stands in the passage
         total, energy = np.zeros((size, columns)), 0.0
         for batch in batches:
-            for numbers, places, n in _passages(batch, stride, weight > 0):
+            for numbers, places, _ in _passages(batch, stride, weight > 0):
                 energy += float((weight[numbers] ** 2).sum())
-                projected = _by_group(omega[numbers], places, n)
-                order = np.argsort(numbers, kind="stable")
-                mine = numbers[order]
-                first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else []
-                if len(first):
-                    total[mine[first]] += np.add.reduceat(projected[places[order]], first, axis=0)
+                _add_gram(total, omega, numbers, places)
         total *= weight[:, None]
         task = TaskContext.get().partitionId()
         blocks = range(0, size, rows)
@@ -148,6 +191,8 @@ def gram_sketch(coded: DataFrame, idf: np.ndarray, stride: int, columns: int, se
             [pa.array([task] * (len(blocks) + 1), pa.int32()), pa.array([-1, *range(len(blocks))], pa.int32()),
              pa.array([np.float64(energy).tobytes(), *(total[b:b + rows].tobytes() for b in blocks)], pa.binary())],
             names=["task", "block", "sums"])
+        del omega, total
+        release_memory()
 
     def add(rows_of: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(s) for s in rows_of.column("sums").to_pylist())
@@ -230,57 +275,62 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 
 
 class CommonWords:
-    """A bound on how many words an item can have in common with a stretch of passages, without loss.
+    """A bound on how many of an item's telling words can be in a stretch of passages, without loss.
 
-    ``least`` of an item's words have to be in the stretch. Its most frequent words, up to half of ``least``, are left out,
-    and as many fewer are needed of the others; a word counts in every passage that has it, as often as the item has it.
+    ``share`` of them have to be in the stretch; a word counts in every passage that has it, as often as the item has it.
     """
 
-    def __init__(self, s: Space, share: float, passages: np.ndarray, cells: int = 4_000_000):
+    def __init__(self, s: Space, share: float, passages: np.ndarray, cells: int = 250_000):
         size, n_items = s.weights.shape[0], len(s.items)
         self.n_items, self.longest = n_items, int(passages.max())
         self.of_length = [(int(p), np.flatnonzero(passages == p)) for p in np.unique(passages)]
         self.rows = max(cells // n_items, 2 * self.longest)
         self.need = np.full(n_items, np.inf)
-        words, owners, times = [], [], []
+        words, owners, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in np.flatnonzero(~s.whole):
-            item = s.items[k]
-            least = int(np.ceil(share * len(item) - 1e-9))
-            distinct, n = np.unique(item, return_counts=True)
-            order = np.argsort(-s.frequency[distinct], kind="stable")
-            left_out = np.cumsum(n[order])
-            first = int((left_out <= least // 2).sum())
-            self.need[k] = max(least - (int(left_out[first - 1]) if first else 0), 1)
-            words.append(distinct[order[first:]])
-            owners.append(np.full(len(order) - first, k))
-            times.append(n[order[first:]])
-        words = np.concatenate([np.empty(0, np.int64), *words])
+            distinct, n = np.unique(s.telling[k], return_counts=True)
+            self.need[k] = max(np.ceil(share * len(s.telling[k]) - 1e-9), 1)
+            words.append(distinct)
+            owners.append(np.full(len(distinct), k))
+            times.append(n)
+        words = np.concatenate(words)
         order = np.argsort(words, kind="stable")
-        self.owners = np.concatenate([np.empty(0, np.int64), *owners])[order]
-        self.times = np.concatenate([np.empty(0, np.int64), *times])[order]
+        self.owners, self.times = np.concatenate(owners)[order], np.concatenate(times)[order]
         self.offsets = starts(np.bincount(words, minlength=size))
         self.known = self.offsets[1:] > self.offsets[:-1]
 
     def near(self, words: np.ndarray, stride: int) -> Iterator[tuple[int, int]]:
         """(first passage, item) of every stretch of a document that may match; a stretch over the end is within the last whole one."""
-        size, n = len(self.known), -(-len(words) // stride)
-        if not n:
-            return
-        at = np.flatnonzero(self.known[words])
-        pairs = np.unique(at // stride * size + words[at])
-        place, word = pairs // size, pairs % size
-        for low in range(0, max(n - self.longest, 0) + 1, self.rows - self.longest + 1):
-            rows = min(self.rows, n - low)
+        return ((first, k) for _, first, k in self.near_any([words], stride))
+
+    def near_any(self, documents: list[np.ndarray], stride: int) -> Iterator[tuple[int, int, int]]:
+        """(place of the document, first passage, item) of every such stretch of several documents."""
+        size = len(self.known)
+        begin = starts(np.array([-(-len(words) // stride) for words in documents], dtype=np.int64))
+        numbers, places = [], []
+        for words, passage in zip(documents, begin.tolist()):
+            at = np.flatnonzero(self.known[words])
+            numbers.append(words[at])
+            places.append(passage + at // stride)
+        place, word = np.divmod(_distinct(np.concatenate(places) * size + np.concatenate(numbers)), size)
+        document = np.repeat(np.arange(len(documents)), np.diff(begin))  # of each passage
+        ends = begin[1:][document]
+        step = self.rows - self.longest + 1
+        for low in range(0, len(document), step):
+            rows = min(self.rows, len(document) - low)
             a, b = np.searchsorted(place, (low, low + rows))
             owner, lengths = ragged_take(self.owners, self.offsets, word[a:b])
             times, _ = ragged_take(self.times, self.offsets, word[a:b])
             cell = np.repeat(place[a:b] - low, lengths) * self.n_items + owner
             total = np.zeros((rows + 1, self.n_items))
             np.cumsum(np.bincount(cell, times, rows * self.n_items).reshape(rows, -1), axis=0, out=total[1:])
+            every = np.arange(low, min(low + step, len(document)))
             for passages, items in self.of_length:
-                span = min(passages, rows)
-                for first, k in zip(*np.nonzero((total[span:] - total[:rows + 1 - span])[:, items] >= self.need[items])):
-                    yield low + int(first), int(items[k])
+                firsts = every[(every + passages <= ends[every]) | (every == begin[document[every]])]
+                stop = np.minimum(firsts + passages, ends[firsts])
+                for i, k in zip(*np.nonzero((total[stop - low] - total[firsts - low])[:, items] >= self.need[items])):
+                    first = int(firsts[i])
+                    yield int(document[first]), first - int(begin[document[first]]), int(items[k])
 
 
 class WholeItems:
@@ -327,7 +377,7 @@ def search(coded: DataFrame, space: Space, sure: float = 0.8, likely: float = 0.
         lengths = np.array([len(i) for i in s.items])
         reach = np.maximum(-(-3 * lengths // (2 * s.stride)) + 1, 4)  # passages of a stretch
         wide = -(-lengths // s.stride) + 1  # and of a window
-        common_words, whole_items = CommonWords(s, min(sure, likely), reach), WholeItems(s)
+        common_words, whole_items = CommonWords(s, likely, reach), WholeItems(s)
         known = np.abs(s.weights).max(axis=1) > 0
 
         def confirm(words: np.ndarray, first: int, k: int) -> tuple[float, float]:
@@ -339,41 +389,44 @@ def search(coded: DataFrame, space: Space, sure: float = 0.8, likely: float = 0.
             return (common_subsequence(masks[k], n, part) / n,
                     common_subsequence(ends[k], n - a, part) / (n - a) if n > a else 1.0)
 
-        def sums(words: np.ndarray) -> np.ndarray:
+        def nearest(words: np.ndarray, first: int, passages: int, k: int) -> tuple[int, float]:
+            """Of the windows of the item that begin in some passages, the one nearest to it."""
+            words = words[first * s.stride:(first + passages) * s.stride]
             at = np.flatnonzero(known[words])
-            z = np.zeros((-(-len(words) // s.stride), s.weights.shape[1]), dtype=np.float32)
-            for low in range(0, len(at), 100_000):
-                z += _by_group(s.weights[words[at[low:low + 100_000]]], at[low:low + 100_000] // s.stride, len(z))
-            return z
-
-        def nearest(z: np.ndarray, k: int) -> tuple[int, float]:
+            z = _by_group(s.weights[words[at]], at // s.stride, -(-len(words) // s.stride))
             window = np.stack([z[f:f + wide[k]].sum(0) for f in range(len(z))])
             near = window @ s.latent[k] / np.maximum(np.linalg.norm(window, axis=1), 1e-12)
             return int(near.argmax()), float(near.max())
 
-        def in_document(words: np.ndarray, out: list, doc) -> None:
-            best: dict[int, tuple] = {}
-            z = None
-            for first, k in common_words.near(words, s.stride):
-                common, answer = confirm(words, first, k)
+        def in_documents(ids: list, documents: list[np.ndarray], out: list) -> None:
+            best: list[dict[int, tuple]] = [{} for _ in documents]
+            for d, first, k in common_words.near_any(documents, s.stride):
+                common, answer = confirm(documents[d], first, k)
                 if common >= sure or common >= likely and answer >= min_answer:
-                    z = sums(words) if z is None else z
-                    at, near = nearest(z[first:first + reach[k] - 1], k)
+                    at, near = nearest(documents[d], first, reach[k] - 1, k)
                     found = (common, near, answer, (first + at) * s.stride)
-                    best[k] = max(best.get(k, found), found)
-            for at, k in whole_items.near(words):
-                if k not in best:
-                    z = sums(words) if z is None else z
-                    first = at // s.stride
-                    best[k] = (1.0, nearest(z[first:first + wide[k]], k)[1], 1.0, at)
-            out += [(doc, s.item_ids[i], c, m, a, at) for i, (m, c, a, at) in sorted(best.items())]
+                    best[d][k] = max(best[d].get(k, found), found)
+            for doc, words, found in zip(ids, documents, best):
+                for at, k in whole_items.near(words):
+                    if k not in found:
+                        found[k] = (1.0, nearest(words, at // s.stride, wide[k], k)[1], 1.0, at)
+                out += [(doc, s.item_ids[i], c, m, a, at) for i, (m, c, a, at) in sorted(found.items())]
 
         for batch in batches:
             out: list[tuple] = []
-            for doc, packed in zip(batch.column("doc_id").to_pylist(), batch.column("numbers").to_pylist()):
-                in_document(unpack(packed), out, doc)
+            ids, documents, held = [], [], 0
+            for doc, packed in zip(batch.column("doc_id").to_pylist(), batch.column("numbers")):
+                ids.append(doc)
+                documents.append(unpack(packed.as_py()))
+                held += len(documents[-1])
+                if held > 100_000 or len(ids) == 2000:
+                    in_documents(ids, documents, out)
+                    ids, documents, held = [], [], 0
+            if ids:
+                in_documents(ids, documents, out)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+        release_memory()
 
     return coded.mapInArrow(work, MATCHES)
 

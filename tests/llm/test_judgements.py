@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -270,6 +271,45 @@ def test_bound_on_common_words_loses_nothing(n_items, cells):
     assert matches > 30
 
 
+def test_frequent_words_alone_give_no_stretch():
+    """Half of an item's words are in every document; only where its other words are too is it compared."""
+    draw = random.Random(5)
+    items = {k: " ".join(f"the{i}" if i % 2 else f"own{k}x{i}" for i in range(30)) for k in range(40)}
+    texts = [" ".join(f"the{draw.randint(0, 29)}" if draw.random() < 0.5 else f"t{draw.randint(0, 999)}" for _ in range(300)) for _ in range(200)]
+    texts += [f"{texts[k]} {items[k]} {texts[k]}" for k in range(10)]
+    number = {}
+    coded = [np.array([number.setdefault(w, len(number) + 1) for w in t.split()]) for t in [*items.values(), *texts]]
+    passages = [np.unique(t[a:a + 30]) for t in coded[40:] for a in range(0, len(t), 30)]
+    frequency = np.bincount(np.concatenate(passages), minlength=len(number) + 1)
+    items, coded = coded[:40], coded[40:]
+    telling = decontam.telling_words(items, frequency, 0.05 * len(passages))
+    space = decontam.Space([], items, [], telling, frequency, 30, np.zeros(40, bool), np.zeros((len(number) + 1, 1)), np.zeros((40, 1)))
+    bound = decontam.CommonWords(space, 0.55, np.full(40, 4))
+    assert [{k for _, k in bound.near(t, 30)} for t in coded] == [set()] * 200 + [{k} for k in range(10)]
+    alone = [(d, first, k) for d, t in enumerate(coded) for first, k in bound.near(t, 30)]
+    empty = np.empty(0, int)
+    assert sorted(bound.near_any(coded, 30)) == alone and [*bound.near_any([empty, coded[200], empty], 30)] == [(1, *f) for _, *f in alone if _ == 200]
+
+
+def test_sketch_of_passages_is_right_and_small():
+    draw = np.random.default_rng(3)
+    size, columns = 500, 64
+    omega = draw.standard_normal((size, columns), dtype=np.float32)
+    numbers = (size * draw.random(60_000) ** 3).astype(np.uint32)
+    places = np.sort(np.concatenate([draw.integers(0, 3000, 50_000), np.full(10_000, 4000)]))  # one passage is longer than a piece
+    counted = np.zeros((4001, size))
+    np.add.at(counted, (places, numbers), 1)
+    total = np.zeros((size, columns))
+    tracemalloc.start()
+    decontam._add_gram(total, omega, numbers, places, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wanted = counted.T @ (counted @ omega.astype(float))
+    assert np.abs(total - wanted).max() < 1e-4 * np.abs(wanted).max()
+    assert peak < 60_000 * columns * 4 / 2
+    decontam._add_gram(total, omega, numbers[:0], places[:0])
+
+
 def test_items_of_every_length_are_found(spark):
     lengths = [1, 2, 3, 5, 7, 8, 12, 24, 60, 180, 900]
     items = {n: " ".join(f"only{n}x{i % 400}" for i in range(n)) for n in lengths} | {24 + i: made_up(f"short {i}", 24) for i in range(1, 30)}
